@@ -1,0 +1,33 @@
+"""Ranking inside groups without sorting a whole group in one task.
+
+``rank() OVER (PARTITION BY g ORDER BY v DESC)`` equals one plus the number
+of rows of the same group with a strictly greater ``v``.  That count comes
+from a histogram ``(g, v) -> n``: an aggregation with map-side combine whose
+size is bounded by the distinct values per group, not by the rows.  The
+running sum runs over the histogram only, and the join back is left to AQE,
+which broadcasts the histogram when its measured size allows and otherwise
+plans a shuffle join.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def rank_desc(df: DataFrame, group_cols: list[str], value_col: str, out_col: str) -> DataFrame:
+    """Add ``out_col`` = SQL ``rank()`` over ``group_cols`` by ``value_col``
+    descending (NULLs last, ties share a rank, gaps after ties)."""
+    hist = df.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_n"))
+    ahead = (Window.partitionBy(*group_cols)
+             .orderBy(F.col(value_col).desc_nulls_last())
+             .rowsBetween(Window.unboundedPreceding, -1))
+    hist = hist.select(
+        *[F.col(c).alias(f"_k_{c}") for c in group_cols],
+        F.col(value_col).alias("_k_v"),
+        (F.lit(1) + F.coalesce(F.sum("_n").over(ahead), F.lit(0))).cast("int").alias(out_col),
+    )
+    cond = [df[c].eqNullSafe(hist[f"_k_{c}"]) for c in group_cols]
+    cond.append(df[value_col].eqNullSafe(hist["_k_v"]))
+    out = df.join(hist, cond, "left")
+    return out.drop(*[f"_k_{c}" for c in group_cols], "_k_v")

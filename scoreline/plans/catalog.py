@@ -87,3 +87,7 @@ QUERIES: dict[str, Query] = {
     "leaderboard_totals": q_leaderboard_totals,
     "player_list": q_player_list,
 }
+
+from scoreline.plans import function_queries  # noqa: E402
+
+QUERIES.update(function_queries.QUERIES)

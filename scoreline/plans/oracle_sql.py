@@ -95,3 +95,143 @@ SELECT cast(count(*) AS bigint) AS n_players, cast(sum(pts) AS bigint) AS total_
 FROM reclasificacion""",
     "player_list": BASE + "SELECT DISTINCT jugador FROM reclasificacion WHERE jugador IS NOT NULL",
 }
+
+
+# ---------------------------------------------------------------------------
+# Functions, calendar, ids and reports
+# ---------------------------------------------------------------------------
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _list(items) -> str:
+    return "[" + ", ".join(_q(x) for x in items) + "]"
+
+
+def _phase_case(comp: str, d: str, season_year: str) -> str:
+    from scoreline.functions.phases import calendar_rows
+    k = f"((year({d}) - {season_year}) * 10000 + month({d}) * 100 + day({d}))"
+    arms = " ".join(f"WHEN {comp} = {_q(c)} AND {k} BETWEEN {lo} AND {hi} THEN {_q(p)}"
+                    for c, p, lo, hi in calendar_rows())
+    return (f"CASE WHEN {d} IS NULL OR {season_year} IS NULL OR {d} = DATE '2024-01-01' "
+            f"THEN 'UNKNOWN' {arms} ELSE 'UNKNOWN' END")
+
+
+def _season_sql(d: str) -> str:
+    return (f"CASE WHEN month({d}) >= 7 THEN printf('%d/%d', year({d}), year({d}) + 1) "
+            f"ELSE printf('%d/%d', year({d}) - 1, year({d})) END")
+
+
+def _season_year_sql(d: str) -> str:
+    return f"(year({d}) - CASE WHEN month({d}) >= 7 THEN 0 ELSE 1 END)"
+
+
+def _normalize_phase_sql(t: str) -> str:
+    from scoreline.functions.phases import PHASE_RULES
+    arms = " ".join(f"WHEN strpos(lower({t}), {_q(k)}) > 0 THEN {_q(v)}" for k, v in PHASE_RULES)
+    return (f"CASE WHEN {t} IS NULL OR {t} = '' THEN 'UNKNOWN' {arms} "
+            f"ELSE substr(regexp_replace(upper({t}), '[^A-Z0-9_]', '_', 'g'), 1, 30) END")
+
+
+def _strip_sql(t: str) -> str:
+    return f"regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _is_club_sql(t: str) -> str:
+    from scoreline.functions.teams import CLUB_TOKENS, COUNTRY_NAMES, NATIONAL_TEAM_PHRASES
+    low = f"lower({_strip_sql(t)})"
+    nat = " OR ".join(f"strpos({low}, {_q(p)}) > 0" for p in NATIONAL_TEAM_PHRASES)
+    tok = " OR ".join(f"strpos({low}, {_q(x.lower())}) > 0" for x in CLUB_TOKENS)
+    countries = ", ".join(_q(c) for c in COUNTRY_NAMES)
+    return (f"CASE WHEN {t} IS NULL OR length({_strip_sql(t)}) < 3 THEN false "
+            f"WHEN {nat} THEN false "
+            f"WHEN {low} IN ({countries}) AND NOT ({tok}) THEN false ELSE true END")
+
+
+def _match_id_sql(comp, season, phase, home, away, date_text) -> str:
+    return (f"concat_ws('_', {comp}, replace({season}, '/', '_'), "
+            f"substr(regexp_replace(upper({phase}), '[^A-Z0-9_]', '_', 'g'), 1, 20), "
+            f"upper(substr(md5(concat_ws('|', {comp}, {season}, {phase}, {home}, {away}, "
+            f"{date_text})), 1, 8)))")
+
+
+def _function_oracles() -> dict[str, str]:
+    from scoreline.functions.ids import COMPETITION_NAMES
+    from scoreline.plans import function_queries as fq
+
+    names = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in COMPETITION_NAMES.items())
+    comp_name = f"CASE competition {names} ELSE competition END"
+    out = {}
+    out["matches_per_competition"] = BASE + f"""
+SELECT competition, {comp_name} AS competition_name,
+       concat(competition, '_', lower(regexp_replace({comp_name}, '[ -]', '_', 'g')), '_matches.csv') AS file_name,
+       cast(count(*) AS bigint) AS n_matches
+FROM matches GROUP BY competition"""
+    out["recent_matches_top10"] = BASE + """
+SELECT * FROM (
+  SELECT match_id, competition, match_date, home_team, away_team, home_goals, away_goals,
+         cast(row_number() OVER (PARTITION BY competition ORDER BY match_date DESC NULLS LAST,
+              match_id ASC NULLS FIRST, home_team ASC NULLS FIRST, away_team ASC NULLS FIRST,
+              home_goals ASC NULLS FIRST, away_goals ASC NULLS FIRST) AS integer) AS rn,
+         cast(greatest(count(*) OVER (PARTITION BY competition) - 10, 0) AS bigint) AS n_more
+  FROM matches) t
+WHERE rn <= 10"""
+    out["duplicate_match_ids"] = BASE + """
+SELECT match_id, cast(count(*) AS bigint) AS n FROM matches GROUP BY match_id HAVING count(*) > 1"""
+    season = _season_sql("match_date")
+    sy = _season_year_sql("match_date")
+    out["season_of_match"] = BASE + f"""
+SELECT match_id, competition, match_date, {season} AS season FROM matches"""
+    out["phase_by_calendar"] = BASE + f"""
+SELECT match_id, competition, match_date, {season} AS season,
+       {_phase_case('competition', 'match_date', sy)} AS phase FROM matches"""
+    out["match_ids"] = BASE + f"""
+SELECT competition, season, phase, home_team, away_team, match_date,
+       {_match_id_sql('competition', 'season', 'phase', 'home_team', 'away_team', "strftime(match_date, '%Y-%m-%d')")} AS match_key
+FROM (SELECT *, {season} AS season, {_phase_case('competition', 'match_date', sy)} AS phase FROM matches) m"""
+    wp = fq.WINDOW_PARAMS
+    out["in_window"] = BASE + f"""
+SELECT match_id, competition, match_date,
+  CASE WHEN match_date IS NULL OR match_date = DATE '2024-01-01' THEN false
+       WHEN competition = 'UCL' THEN match_date BETWEEN DATE {_q(wp['UCL_LEAGUE_PHASE_INITIAL_DATE'])} AND DATE {_q(wp['UCL_LEAGUE_PHASE_END_DATE'])}
+       WHEN competition = 'UEL' THEN match_date BETWEEN DATE {_q(wp['UEL_LEAGUE_PHASE_INITIAL_DATE'])} AND DATE {_q(wp['UEL_LEAGUE_PHASE_END_DATE'])}
+       ELSE true END AS in_window
+FROM matches"""
+    n = len(fq.PHASE_SAMPLES)
+    out["phase_normalized"] = f"""
+SELECT p_partkey, label, {_normalize_phase_sql('label')} AS phase FROM (
+  SELECT p_partkey, concat({_list(fq.PHASE_SAMPLES)}[p_partkey % {n} + 1],
+         CASE WHEN p_size % 2 = 0 THEN concat(' - ', p_name) ELSE '' END) AS label
+  FROM part) t"""
+    n = len(fq.CLUB_SAMPLES)
+    out["club_filter"] = f"""
+SELECT p_partkey, label, {_is_club_sql('label')} AS is_club FROM (
+  SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_name
+         ELSE {_list(fq.CLUB_SAMPLES)}[p_partkey % {n} + 1] END AS label
+  FROM part) t"""
+    out["clean_team"] = f"""
+SELECT p_partkey, raw,
+       regexp_replace({_strip_sql("regexp_replace(raw, '^\\d+\\.?\\s*', '')")}, '\\s+', ' ', 'g') AS team
+FROM (SELECT p_partkey,
+        CASE p_partkey % 3 WHEN 0 THEN concat(cast(p_size AS varchar), '. ', p_name, '  ', p_brand)
+                           WHEN 1 THEN concat(cast(p_size AS varchar), p_name)
+                           ELSE concat('  ', p_name, '   x') END AS raw
+      FROM part) t"""
+    nl = len(fq.DATE_LAYOUTS)
+    asof = fq.AS_OF
+    y_now, m_now = int(asof[:4]), int(asof[5:7])
+    d = "cast(o_orderdate AS date)"
+    y0 = f"(CASE WHEN month({d}) > {m_now} THEN {y_now - 1} ELSE {y_now} END)"
+    first = f"try_cast(printf('%04d-%02d-%02d', {y0}, month({d}), day({d})) AS date)"
+    back = f"try_cast(printf('%04d-%02d-%02d', {y0} - 1, month({d}), day({d})) AS date)"
+    out["parsed_dates"] = f"""
+SELECT o_orderkey, cast(o_orderkey % {nl} AS integer) AS fmt,
+  CASE WHEN o_orderkey % {nl} = {nl - 1} THEN
+         CASE WHEN {first} IS NULL THEN NULL WHEN {first} > DATE '{asof}' THEN {back} ELSE {first} END
+       ELSE {d} END AS parsed_date
+FROM orders"""
+    return out
+
+
+ORACLE.update(_function_oracles())

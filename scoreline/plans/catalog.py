@@ -91,3 +91,7 @@ QUERIES: dict[str, Query] = {
 from scoreline.plans import function_queries  # noqa: E402
 
 QUERIES.update(function_queries.QUERIES)
+
+from scoreline.plans import ingest_queries  # noqa: E402
+
+QUERIES.update(ingest_queries.QUERIES)

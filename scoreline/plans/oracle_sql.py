@@ -235,3 +235,49 @@ FROM orders"""
 
 
 ORACLE.update(_function_oracles())
+
+
+# ---------------------------------------------------------------------------
+# Loading
+# ---------------------------------------------------------------------------
+
+def _ingest_oracles() -> dict[str, str]:
+    from scoreline.functions.ids import COMPETITION_NAMES
+    from scoreline.plans import ingest_queries as iq
+
+    season = _season_sql("match_date")
+    sy = _season_year_sql("match_date")
+    names = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in COMPETITION_NAMES.items())
+    comp_name = f"CASE competition {names} ELSE competition END"
+    feed = f"""
+feed AS (
+  SELECT *, {_match_id_sql('competition', 'season', 'phase', 'home_name', 'away_team', "strftime(match_date, '%Y-%m-%d')")} AS feed_id,
+         concat(competition, '_', lower(regexp_replace({comp_name}, '[ -]', '_', 'g')), '_matches.csv') AS file_name,
+         l_orderkey % {iq.BAD_DATE_EVERY} = 0 AS bad_date,
+         l_orderkey % {iq.BAD_GOALS_EVERY} = 0 AS bad_goals
+  FROM (SELECT *, {season} AS season, {_phase_case('competition', 'match_date', sy)} AS phase,
+               CASE WHEN l_partkey % {iq.QUOTED_NAME_EVERY} = 0 THEN concat(home_team, {_q(iq.QUOTED_SUFFIX)})
+                    ELSE home_team END AS home_name
+        FROM matches) m)"""
+    base = with_ctes(ADAPTER, feed)
+    out = {}
+    out["csv_load_roundtrip"] = base + """
+SELECT feed_id AS match_id, competition, season, phase, match_date, home_name AS home_team, away_team,
+       home_goals, away_goals
+FROM feed WHERE NOT bad_date AND NOT bad_goals"""
+    out["load_log"] = base + """
+SELECT file_name, cast(count(*) FILTER (WHERE NOT bad_date AND NOT bad_goals) AS bigint) AS rows_inserted,
+       cast(count(*) FILTER (WHERE bad_date OR bad_goals) AS bigint) AS rows_rejected,
+       CASE WHEN count(*) FILTER (WHERE bad_date OR bad_goals) = 0 THEN 'SUCCESS' ELSE 'PARTIAL' END AS status
+FROM feed GROUP BY file_name"""
+    out["rejected_rows"] = base + """
+SELECT file_name, feed_id AS match_id,
+       CASE WHEN bad_date THEN strftime(match_date, '%d/%m/%Y') ELSE strftime(match_date, '%Y-%m-%d') END AS raw_match_date,
+       cast(home_goals AS varchar) AS raw_home_goals,
+       CASE WHEN bad_goals THEN concat(cast(away_goals AS varchar), '.5') ELSE cast(away_goals AS varchar) END AS raw_away_goals,
+       CASE WHEN bad_date THEN 'bad match_date' ELSE 'bad away_goals' END AS reject_reason
+FROM feed WHERE bad_date OR bad_goals"""
+    return out
+
+
+ORACLE.update(_ingest_oracles())

@@ -95,3 +95,7 @@ QUERIES.update(function_queries.QUERIES)
 from scoreline.plans import ingest_queries  # noqa: E402
 
 QUERIES.update(ingest_queries.QUERIES)
+
+from scoreline.plans import sequence_queries  # noqa: E402
+
+QUERIES.update(sequence_queries.QUERIES)

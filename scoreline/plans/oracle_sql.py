@@ -281,3 +281,45 @@ FROM feed WHERE bad_date OR bad_goals"""
 
 
 ORACLE.update(_ingest_oracles())
+
+
+# ---------------------------------------------------------------------------
+# Ordered state over events
+# ---------------------------------------------------------------------------
+
+def _sequence_oracles() -> dict[str, str]:
+    from scoreline.plans import sequence_queries as sq
+    out = {}
+    out["carry_forward_date"] = f"""
+SELECT event_id, user_id,
+       coalesce(last_value(CASE WHEN event_type = {_q(sq.DATE_EVENT)} THEN cast(ts AS date) END IGNORE NULLS)
+                OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                DATE {_q(sq.AS_OF)}) AS match_date
+FROM events"""
+    arms = " ".join(f"WHEN event_type = {_q(k)} THEN {_q(v)}" for k, v in sq.PHASE_TEXT_BY_EVENT.items())
+    c = sq.COMPETITION_BY_USER
+    comp = f"CASE user_id % 3 WHEN 0 THEN {_q(c[0])} WHEN 1 THEN {_q(c[1])} ELSE {_q(c[2])} END"
+    d = "cast(ts AS date)"
+    out["carry_forward_phase"] = f"""
+WITH e AS (
+  SELECT event_id, user_id, ts, CASE {arms} END AS txt,
+         {_phase_case('comp', d, _season_year_sql(d))} AS inferred
+  FROM (SELECT *, {comp} AS comp FROM events) x),
+f AS (
+  SELECT *, CASE WHEN txt IS NOT NULL AND txt <> '' THEN {_normalize_phase_sql('txt')} END AS explicit FROM e),
+g AS (
+  SELECT *,
+    count(explicit) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seg,
+    last_value(explicit IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS base
+  FROM f),
+h AS (
+  SELECT *, first_value(nullif(inferred, 'UNKNOWN') IGNORE NULLS) OVER (PARTITION BY user_id, seg ORDER BY ts, event_id
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS first_inf
+  FROM g)
+SELECT event_id, user_id,
+       CASE WHEN coalesce(base, 'UNKNOWN') <> 'UNKNOWN' THEN base ELSE coalesce(first_inf, 'UNKNOWN') END AS phase
+FROM h"""
+    return out
+
+
+ORACLE.update(_sequence_oracles())

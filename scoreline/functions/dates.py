@@ -97,7 +97,8 @@ def part_date_text(part: Column, as_of: Column) -> Column:
 
 def first_part_date_text(parts: Column, as_of: Column) -> Column:
     """E10 rule 1 over the ordered parts: the first part that yields a date."""
-    cands = F.filter(F.transform(parts, lambda p: part_date_text(p, as_of)),
+    hits = F.filter(parts, lambda p: p.rlike(PART_DATE))
+    cands = F.filter(F.transform(hits, lambda p: part_date_text(p, as_of)),
                      lambda x: x.isNotNull())
     return F.try_element_at(cands, F.lit(1))
 

@@ -99,3 +99,7 @@ QUERIES.update(ingest_queries.QUERIES)
 from scoreline.plans import sequence_queries  # noqa: E402
 
 QUERIES.update(sequence_queries.QUERIES)
+
+from scoreline.plans import extract_queries  # noqa: E402
+
+QUERIES.update(extract_queries.QUERIES)

@@ -323,3 +323,115 @@ FROM h"""
 
 
 ORACLE.update(_sequence_oracles())
+
+
+# ---------------------------------------------------------------------------
+# Extraction
+# ---------------------------------------------------------------------------
+
+def _clean_team_sql(x: str) -> str:
+    inner = f"regexp_replace({x}, '^\\d+\\.?\\s*', '')"
+    return f"regexp_replace({_strip_sql(inner)}, '\\s+', ' ', 'g')"
+
+
+def _extract_oracles() -> dict[str, str]:
+    from scoreline.plans import extract_queries as xq
+    out = {}
+    order = "l_linenumber, l_partkey, l_suppkey, away_goals, home_goals, match_date"
+    hdr = " ".join(f"WHEN {r} THEN {_normalize_phase_sql(_q(t))}" for r, t in xq.HEADER_BY_ORDER.items())
+    hdr_keys = ", ".join(str(r) for r in xq.HEADER_BY_ORDER)
+    out["match_extract_html"] = with_ctes(ADAPTER) + f""",
+el AS (
+  SELECT *, strftime(match_date, '%Y-%m-%d') AS dtxt, concat('FC ', home_team) AS h,
+         concat('FC ', away_team) AS a, {_season_sql('match_date')} AS season,
+         {_season_year_sql('match_date')} AS sy,
+         -- more than 10 elements whose class contains 'event' (matches, plus the header if
+         -- any): each element is read on its own, so the page header is not seen
+         CASE WHEN n_on_page + CASE WHEN l_orderkey % 4 IN ({hdr_keys}) THEN 1 ELSE 0 END > 10
+              THEN NULL ELSE CASE l_orderkey % 4 {hdr} END END AS explicit
+  FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n_on_page FROM matches) m
+  WHERE home_goals IS NOT NULL),
+st AS (
+  SELECT *, coalesce(explicit,
+           first_value(nullif({_phase_case('competition', 'match_date', 'sy')}, 'UNKNOWN') IGNORE NULLS)
+             OVER (PARTITION BY l_orderkey ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+           'UNKNOWN') AS phase
+  FROM el)
+SELECT {_match_id_sql('competition', 'season', 'phase', 'h', 'a', 'dtxt')} AS match_id, competition, season,
+       phase, dtxt AS match_date, h AS home_team, a AS away_team, home_goals, away_goals
+FROM st"""
+    texts = with_ctes(ADAPTER) + """,
+t AS (
+  SELECT match_id,
+    CASE l_linenumber % 3
+      WHEN 0 THEN concat_ws(' | ', concat('FC ', home_team), concat('FC ', away_team), cast(home_goals AS varchar),
+                            cast(away_goals AS varchar), strftime(match_date, '%d.%m.'))
+      WHEN 1 THEN concat_ws(' | ', concat(cast(l_linenumber AS varchar), '. ', home_team),
+                            cast(home_goals AS varchar) || ':' || cast(away_goals AS varchar), away_team)
+      ELSE concat_ws(' | ', strftime(match_date, '%d.%m.%Y'), home_team, away_team,
+                     cast(home_goals AS varchar) || ' - ' || cast(away_goals AS varchar)) END AS full_text
+  FROM matches),
+p AS (SELECT *, list_transform(string_split(full_text, '|'), lambda x: trim(x)) AS parts FROM t)"""
+    cand = ("list_filter(parts, lambda x: NOT regexp_full_match(x, '[0-9]+') "
+            "AND NOT regexp_matches(x, '^[0-9]{1,2}\\.[0-9]{1,2}') AND length(x) > 2)")
+    out["teams_from_text"] = texts + f""",
+c AS (SELECT *, {cand} AS cands FROM p),
+h AS (SELECT *, CASE WHEN len(cands) >= 2 THEN cands[1] END AS home_candidate,
+             CASE WHEN len(cands) >= 2 THEN cands[2] END AS away_candidate,
+             list_filter(cands, lambda x: x <> cands[1])[1] AS second_distinct FROM c),
+k AS (SELECT *, {_clean_team_sql('home_candidate')} AS hc, {_clean_team_sql('away_candidate')} AS ac FROM h),
+r AS (SELECT *, (hc = ac AND hc <> '' AND second_distinct IS NOT NULL) AS fix FROM k)
+SELECT match_id, full_text, home_candidate, away_candidate,
+       CASE WHEN fix THEN cands[1] ELSE hc END AS home_team,
+       CASE WHEN fix THEN second_distinct ELSE ac END AS away_team,
+       coalesce(home_candidate IS NOT NULL AND away_candidate IS NOT NULL
+                AND length(CASE WHEN fix THEN cands[1] ELSE hc END) >= 2
+                AND length(CASE WHEN fix THEN second_distinct ELSE ac END) >= 2
+                AND (CASE WHEN fix THEN cands[1] ELSE hc END) <> (CASE WHEN fix THEN second_distinct ELSE ac END),
+                false) AS teams_ok
+FROM r"""
+    colon, pipe = "'(\\d+)\\s*[:]\\s*(\\d+)'", "'(\\d+)\\s*[|]\\s*(\\d+)'"
+    out["score_from_text"] = texts + f""",
+s AS (
+  SELECT *, nullif(regexp_extract(full_text, {colon}, 1), '') AS c1h, nullif(regexp_extract(full_text, {colon}, 2), '') AS c1a,
+         list_filter(range(1, len(parts)), lambda i: regexp_full_match(parts[i], '[0-9]+')
+                     AND regexp_full_match(parts[i + 1], '[0-9]+'))[1] AS idx,
+         nullif(regexp_extract(full_text, {pipe}, 1), '') AS c3h, nullif(regexp_extract(full_text, {pipe}, 2), '') AS c3a
+  FROM p)
+SELECT match_id, full_text,
+       try_cast(coalesce(c1h, parts[idx], c3h) AS integer) AS home_goals,
+       try_cast(coalesce(c1a, parts[idx + 1], c3a) AS integer) AS away_goals,
+       CASE WHEN c1h IS NOT NULL THEN 'colon' WHEN idx IS NOT NULL THEN 'adjacent'
+            WHEN c3h IS NOT NULL THEN 'pipe' END AS score_rule
+FROM s"""
+    d_from, d_to = xq.DIGIT_LETTERS
+    pat = "'([A-Za-z\\s]+?)\\s+(\\d+)\\s*:\\s*(\\d+)\\s+([A-Za-z\\s]+)'"
+    asof = xq.AS_OF
+    y = int(asof[:4])
+    season = f"{y - 1}/{y}"
+    d = f"DATE '{asof}'"
+    out["broad_text_matches"] = with_ctes(ADAPTER) + f""",
+pg AS (
+  SELECT l_orderkey, competition,
+         string_agg(concat('Club ', translate(home_team, '{d_from}', '{d_to}'), ' ', cast(home_goals AS varchar), ' : ',
+                           cast(away_goals AS varchar), ' ', 'Club ', translate(away_team, '{d_from}', '{d_to}')),
+                    ', ' ORDER BY {order}) AS txt
+  FROM matches GROUP BY l_orderkey, competition),
+g AS (
+  SELECT competition, unnest(regexp_extract_all(txt, {pat}, 1)) AS g1, unnest(regexp_extract_all(txt, {pat}, 2)) AS g2,
+         unnest(regexp_extract_all(txt, {pat}, 3)) AS g3, unnest(regexp_extract_all(txt, {pat}, 4)) AS g4
+  FROM pg WHERE regexp_matches(txt, '\\d\\s*:\\s*\\d')),
+f AS (
+  SELECT competition, {_strip_sql('g1')} AS home_team, {_strip_sql('g4')} AS away_team,
+         try_cast(g2 AS integer) AS home_goals, try_cast(g3 AS integer) AS away_goals,
+         '{season}' AS season, '{asof}' AS match_date,
+         {_phase_case('competition', d, str(y - 1))} AS phase
+  FROM g)
+SELECT {_match_id_sql('competition', 'season', 'phase', 'home_team', 'away_team', 'match_date')} AS match_id,
+       competition, season, phase, match_date, home_team, away_team, home_goals, away_goals
+FROM f
+WHERE length(home_team) > 2 AND length(away_team) > 2 AND {_is_club_sql('home_team')} AND {_is_club_sql('away_team')}"""
+    return out
+
+
+ORACLE.update(_extract_oracles())

@@ -108,18 +108,46 @@ def calendar_key(d: Column, season_year: Column) -> Column:
     return (F.year(d) - season_year) * 10000 + F.month(d) * 100 + F.dayofmonth(d)
 
 
-def phase_from_date(competition: Column, d: Column, season: Column) -> Column:
-    """F5 as one CASE expression (for per-row use inside wider plans).
-    Unknown competition, a gap, a bad season, a NULL or the sentinel date
-    give UNKNOWN."""
-    s = season_first_year(season)
-    k = calendar_key(d, s)
-    expr = None
+def phase_from_key(competition: Column, key: Column) -> Column:
+    """F5 on a precomputed calendar key (see ``calendar_key``): a CASE on
+    the competition, then integer range tests -- cheap enough to stay in
+    generated code.  NULL key -> UNKNOWN."""
+    by_comp: dict[str, list] = {}
     for comp, phase, lo, hi in calendar_rows():
-        cond = (competition == comp) & k.between(lo, hi)
-        expr = F.when(cond, F.lit(phase)) if expr is None else expr.when(cond, F.lit(phase))
-    bad = d.isNull() | s.isNull() | (d == F.lit(SENTINEL_DATE).cast("date"))
-    return F.when(bad, F.lit(UNKNOWN)).otherwise(F.coalesce(expr, F.lit(UNKNOWN)))
+        by_comp.setdefault(comp, []).append((phase, lo, hi))
+    outer = None
+    for comp, arms in by_comp.items():
+        inner = None
+        for phase, lo, hi in arms:
+            c = key.between(lo, hi)
+            inner = F.when(c, F.lit(phase)) if inner is None else inner.when(c, F.lit(phase))
+        outer = (F.when(competition == comp, inner) if outer is None
+                 else outer.when(competition == comp, inner))
+    return F.coalesce(outer, F.lit(UNKNOWN))
+
+
+def phase_key(d: Column, season: Column) -> Column:
+    """Calendar key of a date within a season; NULL for a NULL date, a bad
+    season or the sentinel date (all of which give UNKNOWN)."""
+    s = season_first_year(season)
+    return F.when(d != F.lit(SENTINEL_DATE).cast("date"), calendar_key(d, s))
+
+
+def phase_from_date(competition: Column, d: Column, season: Column) -> Column:
+    """F5 as a column expression.  The key expression is repeated in every
+    range test; on large frames prefer ``with_phase``, which computes the
+    key once."""
+    return phase_from_key(competition, phase_key(d, season))
+
+
+def with_phase(df: DataFrame, competition: str, d: Column, season: Column,
+               out: str = "phase") -> DataFrame:
+    """F5 on a frame: the calendar key is computed once as its own column,
+    then ranged over (Catalyst keeps the two projections apart because the
+    key is referenced many times)."""
+    return (df.withColumn("_cal_key", phase_key(d, season))
+              .withColumn(out, phase_from_key(F.col(competition), F.col("_cal_key")))
+              .drop("_cal_key"))
 
 
 def phase_by_calendar(df: DataFrame, spark: SparkSession, competition: str,

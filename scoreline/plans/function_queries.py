@@ -75,8 +75,7 @@ def q_phase_by_calendar(spark, sf):
 
 
 def q_match_ids(spark, sf):
-    m = _seasoned(spark, sf).withColumn(
-        "phase", phases.phase_from_date(F.col("competition"), F.col("match_date"), F.col("season")))
+    m = phases.with_phase(_seasoned(spark, sf), "competition", F.col("match_date"), F.col("season"))
     return m.select(
         "competition", "season", "phase", "home_team", "away_team", "match_date",
         ids.match_id(F.col("competition"), F.col("season"), F.col("phase"), F.col("home_team"),

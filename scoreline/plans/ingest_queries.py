@@ -28,12 +28,11 @@ def raw_feed(spark: SparkSession, sf: str) -> DataFrame:
     """Nine text columns per match, as a scraper would emit them."""
     m = tables.matches(spark, sf, keep_keys=True)
     season = phases.season_from_date(F.col("match_date"))
-    phase = phases.phase_from_date(F.col("competition"), F.col("match_date"), season)
     home = F.when(F.col("l_partkey") % QUOTED_NAME_EVERY == 0,
                   F.concat(F.col("home_team"), F.lit(QUOTED_SUFFIX))).otherwise(F.col("home_team"))
     iso = dates.date_text(F.col("match_date"))
     m = m.select("*", season.alias("season"), home.alias("home_name"), iso.alias("iso_date"))
-    m = m.withColumn("phase", phase)
+    m = phases.with_phase(m, "competition", F.col("match_date"), F.col("season"))
     return m.select(
         ids.match_id(F.col("competition"), F.col("season"), F.col("phase"), F.col("home_name"),
                      F.col("away_team"), F.col("iso_date")).alias("match_id"),
@@ -98,9 +97,29 @@ def q_new_files(spark, sf):
         "file_name", "length")
 
 
+def q_stream_load(spark, sf):
+    """S4+S5 as a stream: the feed lands in two deliveries; two
+    ``availableNow`` runs of the same query each pick up only new files
+    (the file source's checkpoint), and the union of their outputs equals
+    a full load."""
+    from scoreline.streaming import file_stream
+    root = scratch_path(spark, "stream")
+    land, out = os.path.join(root, "landing"), os.path.join(root, "out")
+    ckpt, arch = os.path.join(root, "checkpoint"), os.path.join(root, "archive")
+    feed = raw_feed(spark, sf)
+    for i, batch in enumerate([feed.where(F.col("competition") != "UECL"),
+                               feed.where(F.col("competition") == "UECL")]):
+        csv_ingest.write_match_csv(batch, os.path.join(land, f"delivery{i}"))
+        q = file_stream.start_load(spark, land, out, ckpt, archive_dir=arch, key="source_file",
+                                   prepare=_source_name)
+        q.awaitTermination()
+    return file_stream.loaded_matches(spark, out).select(*csv_ingest.MATCH_COLUMNS)
+
+
 QUERIES = {
     "csv_load_roundtrip": q_csv_load_roundtrip,
     "load_log": q_load_log,
     "rejected_rows": q_rejected_rows,
     "new_files": q_new_files,
+    "stream_load": q_stream_load,
 }

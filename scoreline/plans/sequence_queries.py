@@ -40,9 +40,9 @@ def q_carry_forward_phase(spark, sf):
              .otherwise(F.lit(COMPETITION_BY_USER[2])))
     d = F.col("ts").cast("date")
     e = e.select(
-        "event_id", "user_id", "ts",
-        F.when(text.isNotNull() & (text != ""), phases.normalize_phase(text)).alias("explicit"),
-        phases.phase_from_date(comp, d, phases.season_from_date(d)).alias("inferred"))
+        "event_id", "user_id", "ts", comp.alias("competition"),
+        F.when(text.isNotNull() & (text != ""), phases.normalize_phase(text)).alias("explicit"))
+    e = phases.with_phase(e, "competition", d, phases.season_from_date(d), "inferred")
     s = phase_state(e, ["user_id"], ["ts", "event_id"], F.to_date("ts"), "explicit", "inferred")
     return s.select("event_id", "user_id", "phase")
 

@@ -1,0 +1,121 @@
+import gzip
+import os
+
+from pyspark.sql import functions as F
+
+from scoreline.operators import report
+from scoreline.sources import csv_ingest, landing
+
+HEADER = "MATCH_ID,COMPETITION,SEASON,PHASE,MATCH_DATE,HOME_TEAM,AWAY_TEAM,HOME_GOALS,AWAY_GOALS\n"
+BODY = (
+    'id1,UCL,2025/2026,LEAGUE_PHASE,2025-10-01,Arsenal,"Bayern, Munich",2,1\n'
+    'id2,UCL,2025/2026,LEAGUE_PHASE,2025-10-01,"Club ""Brugge""",PSV,1,1\n'
+    'id3,UCL,2025/2026,LEAGUE_PHASE,2025-10-01,Inter,Milan\n'
+    'id4,UCL,2025/2026,LEAGUE_PHASE,2025-10-01,Inter,Milan,1,2,extra\n'
+    'id5,UCL,2025/2026,LEAGUE_PHASE,not-a-date,Inter,Milan,1,2\n'
+    'id6,UCL,2025/2026,LEAGUE_PHASE,2025-10-01,Inter,Milan,x,2\n'
+    'id7,UCL,2025/2026,LEAGUE_PHASE,2025-10-01,Inter,Milan,,2\n'
+    '  id8 , UCL ,2025/2026,LEAGUE_PHASE, 2025-10-01 , Inter , Milan , 3 , 0\n'
+    'id9,UCL,2025/2026,LEAGUE_PHASE,2025-10-01,Inter,Milan,2.5,0\n'
+)
+
+
+def _land(tmp_path):
+    d = tmp_path / "landing"
+    d.mkdir()
+    (d / "UCL_champions_league_matches.csv").write_text(HEADER + BODY)
+    # header names in another order: columns are still read by position
+    swapped = "AWAY_GOALS,HOME_GOALS,MATCH_ID,COMPETITION,SEASON,PHASE,MATCH_DATE,HOME_TEAM,AWAY_TEAM\n"
+    (d / "UEL_europa_league_matches.csv").write_bytes(
+        (swapped + "u1,UEL,2025/2026,LEAGUE_PHASE,2025-11-06,Lyon,Betis \xff,2,0\n").encode("latin-1"))
+    with gzip.open(d / "UECL_conference_league_matches.csv.gz", "wt") as f:
+        f.write(HEADER + "c1,UECL,2025/2026,LEAGUE_PHASE,2025-10-02,Rakow,Rapid,1,0\n"
+                + "c1,UECL,2025/2026,LEAGUE_PHASE,2025-10-02,Rakow,Rapid,1,0\n")
+    (d / "UCL_empty_matches.csv").write_text("")
+    return str(d)
+
+
+def test_tolerant_read_and_split(spark, tmp_path):
+    d = _land(tmp_path)
+    raw = csv_ingest.read_raw(spark, d, glob="*.csv*")
+    typed = csv_ingest.typed_with_reason(raw)
+    rows = {r.match_id: r for r in typed.collect()}
+    assert rows["id1"].away_team == "Bayern, Munich"
+    assert rows["id2"].home_team == 'Club "Brugge"'
+    assert rows["id3"].home_goals is None and rows["id3"].reject_reason is None
+    assert rows["id4"].away_goals == 2 and rows["id4"].reject_reason is None
+    assert rows["id5"].reject_reason == "bad match_date"
+    assert rows["id6"].reject_reason == "bad home_goals"
+    assert rows["id7"].home_goals is None and rows["id7"].reject_reason is None
+    assert rows["id8"].competition == "UCL" and rows["id8"].home_goals == 3
+    assert rows["id9"].reject_reason == "bad home_goals"
+    assert rows["u1"].competition == "UEL" and rows["u1"].home_goals == 2
+    assert rows["u1"].away_team == "Betis �"
+    assert typed.where(F.col("match_id") == "c1").count() == 2
+
+
+def test_full_refresh_log_and_duplicates(spark, tmp_path):
+    d = _land(tmp_path)
+    out = tmp_path / "out"
+    raw = csv_ingest.read_raw(spark, d, glob="*.csv*")
+    res = csv_ingest.full_refresh(spark, raw, str(out / "t"), str(out / "log"), str(out / "rej"))
+    assert res.rows_loaded == 9          # 6 good of 9 in UCL + 1 UEL + 2 UECL
+    log = {r.file_name: (r.rows_inserted, r.rows_rejected, r.status)
+           for r in spark.read.parquet(res.log_path).collect()}
+    assert log["UCL_champions_league_matches.csv"] == (6, 3, "PARTIAL")
+    assert log["UECL_conference_league_matches.csv.gz"] == (2, 0, "SUCCESS")
+    dups = report.duplicate_keys(spark.read.parquet(res.table_path)).collect()
+    assert [(r.match_id, r.n) for r in dups] == [("c1", 2)]
+    # loading twice gives the same table (full refresh)
+    res2 = csv_ingest.full_refresh(spark, raw, str(out / "t"), str(out / "log"), str(out / "rej"))
+    assert res2.rows_loaded == res.rows_loaded
+    assert spark.read.parquet(res.log_path).count() == 2 * len(log)
+
+
+def test_sink_roundtrip(spark, tmp_path):
+    df = spark.createDataFrame(
+        [("a1", "UCL", "2025/2026", "LEAGUE_PHASE", "2025-10-01", 'He said "hi", twice', "B", None, "1")],
+        ", ".join(f"{c} string" for c in csv_ingest.MATCH_COLUMNS))
+    out = str(tmp_path / "sink")
+    csv_ingest.write_match_csv(df, out, compression="gzip")
+    files = [f for _, _, fs in os.walk(out) for f in fs if f.endswith(".csv.gz")]
+    assert files
+    back = csv_ingest.typed_with_reason(csv_ingest.read_raw(spark, out, glob="*.csv.gz", recursive=True))
+    r = back.first()
+    assert r.home_team == 'He said "hi", twice' and r.home_goals is None and r.away_goals == 1
+    assert r.competition == "UCL"
+
+
+def test_landing_listing_new_and_retire(spark, tmp_path):
+    d = _land(tmp_path)
+    listing = landing.list_files(spark, d)
+    names = sorted(r.file_name for r in listing.collect())
+    assert names == ["UCL_champions_league_matches.csv", "UCL_empty_matches.csv",
+                     "UECL_conference_league_matches.csv.gz", "UEL_europa_league_matches.csv"]
+    log = spark.createDataFrame([("UCL_champions_league_matches.csv", 0)],
+                                "file_name string, modification_time long")
+    new = sorted(r.file_name for r in landing.not_yet_loaded(listing, log).collect())
+    assert "UCL_champions_league_matches.csv" not in new and len(new) == 3
+    plan = {r.file_name: r.retired_name for r in landing.retire_plan(listing).collect()}
+    assert plan["UECL_conference_league_matches.csv.gz"] == "UECL_conference_league_matches.csv_OLD.gz"
+    first, rest = landing.inventory(listing, 2)
+    assert first.count() == 2 and rest.first().n_more == 2
+    st = landing.upload_status(listing, log)
+    assert {r.status: r.n_files for r in landing.status_counts(st).collect()} == {"skipped": 1, "uploaded": 3}
+
+
+def test_stream_load_exactly_once(spark, tmp_path):
+    from scoreline.streaming import file_stream
+    d = tmp_path / "land"
+    d.mkdir()
+    (d / "a.csv").write_text(HEADER + "s1,UCL,2025/2026,LEAGUE_PHASE,2025-10-01,A,B,1,0\n")
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    file_stream.start_load(spark, str(d), out, ck).awaitTermination()
+    (d / "b.csv").write_text(HEADER + "s2,UCL,2025/2026,LEAGUE_PHASE,2025-10-02,C,D,x,0\n"
+                             + "s3,UCL,2025/2026,LEAGUE_PHASE,2025-10-02,E,F,2,2\n")
+    file_stream.start_load(spark, str(d), out, ck).awaitTermination()
+    file_stream.start_load(spark, str(d), out, ck).awaitTermination()   # nothing new
+    got = sorted(r.match_id for r in file_stream.loaded_matches(spark, out).collect())
+    assert got == ["s1", "s3"]
+    log = {r.file_name: (r.rows_inserted, r.rows_rejected) for r in file_stream.loaded_log(spark, out).collect()}
+    assert log == {"a.csv": (1, 0), "b.csv": (1, 1)}

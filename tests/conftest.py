@@ -15,6 +15,7 @@ def spark():
     ckpt = tempfile.mkdtemp(prefix="scoreline-test-ckpt-")
     s = (SparkSession.builder.master("local[*]")
          .config("spark.sql.shuffle.partitions", "8")
+         .config("spark.driver.memory", "4g")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")

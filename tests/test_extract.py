@@ -295,7 +295,7 @@ def test_extraction_matches_brute_force(spark):
     # the fixture exercises: carried date, standalone pages, broad fallback, quirks
     teams = {(r[5], r[6]) for r in rows}
     assert ("FC X", "FC Y") in teams and ("Lille", "Roma") in teams
-    assert ("Rakow Czestochowa", "Rapid Wien") in teams
+    assert ("Yesterday Rakow Czestochowa", "Rapid Wien and then") in teams
     assert not any("Fake" in r[5] for r in rows)
 
 

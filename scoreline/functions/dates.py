@@ -100,27 +100,15 @@ PART_WITH_DATE = r"(?:^|\|)[^|]*?(\d{1,2})\.(\d{1,2})(?:\.(\d{4}))?"
 
 def first_part_date_text(norm_parts: Column, as_of: Column) -> Column:
     """E10 rule 1 over the ordered parts (given as one ``p1|p2|...`` text):
-    the first part that yields a date.  The day/month/year of the first
-    hit in every part come from regular expressions; only the (short) list
-    of date-bearing parts is walked."""
-    ds = F.regexp_extract_all(norm_parts, F.lit(PART_WITH_DATE), F.lit(1))
-    ms = F.regexp_extract_all(norm_parts, F.lit(PART_WITH_DATE), F.lit(2))
-    ys = F.regexp_extract_all(norm_parts, F.lit(PART_WITH_DATE), F.lit(3))
-
-    def as_text(d, m, y):
-        y = F.nullif(y, F.lit(""))
-        y0 = _inferred_year(m, as_of)
-        first = date_from_parts(y0, m, d)
-        year_text = (F.when(y.isNotNull(), y).when(first > as_of, (y0 - 1).cast("string"))
-                      .when(first.isNotNull(), y0.cast("string")))
-        return F.when(year_text.isNotNull(), F.concat_ws("-", year_text, zfill2(m), zfill2(d)))
-
-    first_hit = as_text(F.element_at(ds, 1), F.element_at(ms, 1), F.element_at(ys, 1))
-    rest = F.try_element_at(F.filter(
-        F.transform(F.arrays_zip(ds.alias("d"), ms.alias("m"), ys.alias("y")),
-                    lambda z: as_text(z["d"], z["m"], z["y"])),
-        lambda x: x.isNotNull()), F.lit(1))
-    return F.when(F.size(ds) == 0, F.lit(None).cast("string")).otherwise(F.coalesce(first_hit, rest))
+    the first part that yields a date.  The first date-bearing part is read
+    with one pattern; the list of further date-bearing parts is only
+    walked when that one yields no date."""
+    first = F.regexp_extract(norm_parts, PART_WITH_DATE, 0)
+    first_hit = part_date_text(first, as_of)
+    more = F.regexp_extract_all(norm_parts, F.lit(PART_WITH_DATE), F.lit(0))
+    rest = F.try_element_at(F.filter(F.transform(more, lambda x: part_date_text(x, as_of)),
+                                     lambda x: x.isNotNull()), F.lit(1))
+    return F.when(first != "", F.coalesce(first_hit, rest))
 
 
 def text_date_with_year(text: Column) -> Column:

@@ -84,27 +84,38 @@ def part_date_text(part: Column, as_of: Column) -> Column:
     (not validated); ``d.m`` gives the F6b date as text, or NULL when it is
     impossible (so the next part is tried).  When F6b moves the year back
     the date is not checked again, so the text keeps that form."""
-    d = nonempty_extract(part, PART_DATE, 1)
-    m = nonempty_extract(part, PART_DATE, 2)
-    y = nonempty_extract(part, PART_DATE, 3)
+    return date_core_text(F.regexp_extract(part, PART_DATE, 0), as_of)
+
+
+def date_core_text(core: Column, as_of: Column) -> Column:
+    """``core`` is a matched ``d.m`` or ``d.m.yyyy`` (or '' for none); the
+    pattern is matched once and its pieces are taken apart by splitting."""
+    bits = F.split(core, r"\.")
+    d = F.element_at(bits, 1)
+    m = F.try_element_at(bits, F.lit(2))
+    y = F.try_element_at(bits, F.lit(3))
     y0 = _inferred_year(m, as_of)
     first = date_from_parts(y0, m, d)
-    year_text = F.when(y.isNotNull(), y).when(first > as_of, (y0 - 1).cast("string")) \
-                 .when(first.isNotNull(), y0.cast("string"))
-    return F.when(d.isNotNull() & year_text.isNotNull(),
+    no_year = (F.when(first > as_of, (y0 - 1).cast("string"))
+                .when(first.isNotNull(), y0.cast("string")))
+    year_text = F.when(y.isNotNull(), y).otherwise(no_year)
+    return F.when((core != "") & year_text.isNotNull(),
                   F.concat_ws("-", year_text, zfill2(m), zfill2(d)))
 
 
 PART_WITH_DATE = r"(?:^|\|)[^|]*?(\d{1,2})\.(\d{1,2})(?:\.(\d{4}))?"
 
 
+PART_WITH_DATE_CORE = r"(?:^|\|)[^|]*?(\d{1,2}\.\d{1,2}(?:\.\d{4})?)"
+
+
 def first_part_date_text(norm_parts: Column, as_of: Column) -> Column:
     """E10 rule 1 over the ordered parts (given as one ``p1|p2|...`` text):
     the first part that yields a date.  The first date-bearing part is read
     with one pattern; the list of further date-bearing parts is only
     walked when that one yields no date."""
-    first = F.regexp_extract(norm_parts, PART_WITH_DATE, 0)
-    first_hit = part_date_text(first, as_of)
+    first = F.regexp_extract(norm_parts, PART_WITH_DATE_CORE, 1)
+    first_hit = date_core_text(first, as_of)
     more = F.regexp_extract_all(norm_parts, F.lit(PART_WITH_DATE), F.lit(0))
     rest = F.try_element_at(F.filter(F.transform(more, lambda x: part_date_text(x, as_of)),
                                      lambda x: x.isNotNull()), F.lit(1))

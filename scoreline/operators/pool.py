@@ -7,12 +7,11 @@ are named ``league_pts`` and ``pts``; only the pool points are published.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreline.functions.outcomes import round2, safe_ratio
 from scoreline.operators.contest import DEFAULT, ContestSpec
-from scoreline.operators.ranking import rank_desc
 
 
 def pool_table(league: DataFrame, spec: ContestSpec = DEFAULT) -> DataFrame:
@@ -24,7 +23,12 @@ def pool_table(league: DataFrame, spec: ContestSpec = DEFAULT) -> DataFrame:
         .cast("bigint").alias("pts"),
         F.col("pts").alias("league_pts"),
     )
-    ranked = rank_desc(t, [spec.group], "league_pts", "pos")
+    # The league table has one row per (group, team), so a rank window over
+    # the group sorts a small frame once.  (``rank_desc`` gives the same
+    # positions without a per-group sort but reads its input twice, which
+    # here would mean aggregating the matches twice.)
+    w = Window.partitionBy(spec.group).orderBy(F.col("league_pts").desc_nulls_last())
+    ranked = t.withColumn("pos", F.rank().over(w).cast("bigint"))
     return ranked.select(spec.group, "team", "mp", "w", "d", "l", "pts", "pos")
 
 

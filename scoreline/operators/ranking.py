@@ -1,5 +1,9 @@
 """Ranking inside groups without sorting a whole group in one task.
 
+Use it when the ranked frame is large *and* cheap to read twice (a stored
+table); on a frame computed from a big aggregation, a rank window over the
+(small) aggregate is cheaper, as the frame would otherwise be computed twice.
+
 ``rank() OVER (PARTITION BY g ORDER BY v DESC)`` equals one plus the number
 of rows of the same group with a strictly greater ``v``.  That count comes
 from a histogram ``(g, v) -> n``: an aggregation with map-side combine whose
@@ -25,7 +29,7 @@ def rank_desc(df: DataFrame, group_cols: list[str], value_col: str, out_col: str
     hist = hist.select(
         *[F.col(c).alias(f"_k_{c}") for c in group_cols],
         F.col(value_col).alias("_k_v"),
-        (F.lit(1) + F.coalesce(F.sum("_n").over(ahead), F.lit(0))).cast("int").alias(out_col),
+        (F.lit(1) + F.coalesce(F.sum("_n").over(ahead), F.lit(0))).cast("bigint").alias(out_col),
     )
     cond = [df[c].eqNullSafe(hist[f"_k_{c}"]) for c in group_cols]
     cond.append(df[value_col].eqNullSafe(hist["_k_v"]))

@@ -22,6 +22,10 @@ from scoreline.functions.text import collapse_ws, nonempty_extract, strip_ws, zf
 # the same text as each other or as the named-month ones, so they are read
 # with one pattern (ISO text is first rewritten to d.m.Y).
 NAMED_MONTH_PATTERNS = ["d MMMM yyyy", "d MMM yyyy", "MMMM d, yyyy", "MMM d, yyyy"]
+# Shape of the texts each named-month pattern can accept; a parse is only
+# attempted on a text of that shape (a failed formatter parse is costly).
+NAMED_MONTH_SHAPES = [r"^\d{1,2} [A-Za-z]+ \d{4}$", r"^\d{1,2} [A-Za-z]+ \d{4}$",
+                      r"^[A-Za-z]+ \d{1,2}, \d{4}$", r"^[A-Za-z]+ \d{1,2}, \d{4}$"]
 # Two-digit years 69-99 are 1900s, 00-68 are 2000s.
 TWO_DIGIT_PIVOT = 69
 # -------------------------------------------------------------------------
@@ -35,9 +39,11 @@ PART_DATE = r"(\d{1,2})\.(\d{1,2})(?:\.(\d{4}))?"
 
 def date_from_parts(y: Column, m: Column, d: Column) -> Column:
     """Date from year/month/day (text or int); NULL when a part is missing
-    or the parts are not a real date (no exception under ANSI mode)."""
-    return F.try_to_date(F.concat_ws("-", y.cast("string"), m.cast("string"), d.cast("string")),
-                         "y-M-d")
+    or the parts are not a real date (no exception under ANSI mode).  The
+    parse is only attempted when all three parts are present."""
+    return F.when(y.isNotNull() & m.isNotNull() & d.isNotNull(),
+                  F.try_to_date(F.concat_ws("-", y.cast("string"), m.cast("string"),
+                                            d.cast("string")), "y-M-d"))
 
 
 def _inferred_year(month: Column, as_of: Column) -> Column:
@@ -70,7 +76,8 @@ def parse_date(text: Column, as_of: Column) -> Column:
     whole = date_from_parts(y, nonempty_extract(numeric, NUMERIC_WHOLE, 3),
                             nonempty_extract(numeric, NUMERIC_WHOLE, 1))
     collapsed = collapse_ws(s)   # a blank in a layout accepts any run of blanks
-    named = [F.try_to_date(collapsed, p) for p in NAMED_MONTH_PATTERNS]
+    named = [F.when(collapsed.rlike(shape), F.try_to_date(collapsed, p))
+             for p, shape in zip(NAMED_MONTH_PATTERNS, NAMED_MONTH_SHAPES)]
     anywhere = date_from_parts(nonempty_extract(s, DAY_MONTH_YEAR_ANYWHERE, 3),
                                nonempty_extract(s, DAY_MONTH_YEAR_ANYWHERE, 2),
                                nonempty_extract(s, DAY_MONTH_YEAR_ANYWHERE, 1))

@@ -95,3 +95,17 @@ def player_list(board: DataFrame) -> DataFrame:
 def player_summary(board: DataFrame, jugador: str) -> DataFrame:
     """The leaderboard row of one player."""
     return board.where(F.col("jugador") == F.lit(jugador)).limit(1)
+
+
+# Display headers of the dashboard tables (P5).
+LEADERBOARD_HEADERS = {"jugador": "Jugador", "pts": "Points", "avg": "Average",
+                       "avg_rounded": "Avg (Rounded)"}
+DETAIL_HEADERS = {"competition": "Competition", "team": "Team", "mp": "Matches Played",
+                  "w": "Wins", "d": "Draws", "l": "Losses", "pts": "Points", "pos": "Position"}
+SUMMARY_HEADERS = {"competition": "Competition", "total_mp": "Total MP", "total_w": "Total W",
+                   "total_d": "Total D", "total_l": "Total L", "total_points": "Total Points"}
+
+
+def for_display(df: DataFrame, headers: dict[str, str]) -> DataFrame:
+    """P5: rename columns to their display headers (others keep their name)."""
+    return df.withColumnsRenamed({k: v for k, v in headers.items() if k in df.columns})

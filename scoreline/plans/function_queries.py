@@ -60,7 +60,7 @@ def q_duplicate_match_ids(spark, sf):
 
 
 def _seasoned(spark, sf):
-    m = tables.matches(spark, sf)
+    m = tables.matches(spark, sf, balanced=True)
     return m.withColumn("season", phases.season_from_date(F.col("match_date")))
 
 

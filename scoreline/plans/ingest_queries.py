@@ -26,7 +26,7 @@ QUOTED_SUFFIX = ', "B"'
 
 def raw_feed(spark: SparkSession, sf: str) -> DataFrame:
     """Nine text columns per match, as a scraper would emit them."""
-    m = tables.matches(spark, sf, keep_keys=True)
+    m = tables.matches(spark, sf, keep_keys=True, balanced=True)
     season = phases.season_from_date(F.col("match_date"))
     home = F.when(F.col("l_partkey") % QUOTED_NAME_EVERY == 0,
                   F.concat(F.col("home_team"), F.lit(QUOTED_SUFFIX))).otherwise(F.col("home_team"))

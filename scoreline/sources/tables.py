@@ -25,6 +25,30 @@ ADAPTER_NULL_GOAL_EVERY = 97
 ADAPTER_PICK_SLOTS = 40
 
 
+# A scan below this estimated size is left as it is (too small to matter).
+SPREAD_MIN_BYTES = 1 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance a scan that yields fewer splits than there are cores, for
+    CPU-heavy row-wise work (rendering, hashing, text rules).
+
+    A file written as one large row group is read by a single task, and
+    every row-wise expression before the first exchange then runs on one
+    core.  Such a scan is repartitioned round-robin to the default
+    parallelism.  A scan that already has enough splits -- any large input
+    on a cluster -- is returned unchanged, so no shuffle is added at scale.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < SPREAD_MIN_BYTES:
+        return df
+    return df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
@@ -56,10 +80,14 @@ def match_feed_columns(li: DataFrame) -> DataFrame:
     )
 
 
-def matches(spark: SparkSession, sf_dir: str, keep_keys: bool = False) -> DataFrame:
-    """Typed match table derived from ``lineitem``."""
+def matches(spark: SparkSession, sf_dir: str, keep_keys: bool = False,
+            balanced: bool = False) -> DataFrame:
+    """Typed match table derived from ``lineitem`` (``balanced``: see
+    ``spread``; for CPU-heavy row-wise plans, not for aggregations)."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate")
+    if balanced:
+        li = spread(li)
     df = match_feed_columns(li)
     if keep_keys:
         return df

@@ -7,10 +7,12 @@ each file is loaded exactly once however often the job runs; with
 stops, so the same code serves scheduled batch runs and a continuous
 stream.
 
-Each micro-batch is split into accepted rows, rejected rows and per-file
-log rows; every output is written under ``batch_id=<n>`` with overwrite, so
-a batch replayed after a failure replaces its own earlier output instead of
-duplicating it.
+The stream itself is stateless: every row is typed and tagged accepted or
+rejected, and Spark's parquet file sink writes it partitioned by that tag.
+The file sink commits through its own metadata log, so a micro-batch
+replayed after a failure is not written twice and readers only see
+committed files.  The load log (rows per file and status) is a batch
+aggregation over the committed rows.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql.streaming import StreamingQuery
 from scoreline.schemas import RAW_MATCH, RAW_MATCH_COLUMNS
 from scoreline.sources import csv_ingest
 
+STATUS = "load_status"
+
 
 def raw_stream(spark: SparkSession, landing_dir: str, glob: str = "*.csv",
                archive_dir: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -39,35 +43,45 @@ def raw_stream(spark: SparkSession, landing_dir: str, glob: str = "*.csv",
                      F.col("_metadata.file_name").alias("file_name"))
 
 
-def _writer(out_root: str, key: str):
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        typed = csv_ingest.typed_with_reason(batch)
-        part = f"batch_id={batch_id}"
-        (csv_ingest.accepted(typed).withColumn("load_datetime", F.localtimestamp())
-            .write.mode("overwrite").parquet(os.path.join(out_root, "matches", part)))
-        csv_ingest.rejected(typed, key).write.mode("overwrite").parquet(
-            os.path.join(out_root, "rejects", part))
-        csv_ingest.load_log_rows(typed, key).write.mode("overwrite").parquet(
-            os.path.join(out_root, "load_log", part))
-    return write_batch
-
-
 def start_load(spark: SparkSession, landing_dir: str, out_root: str, checkpoint_dir: str,
                archive_dir: str | None = None, key: str = "file_name",
                prepare=None, available_now: bool = True) -> StreamingQuery:
     """Start the incremental load; ``prepare`` may add columns (e.g. a
-    logical source name) to the raw stream before the split."""
+    logical source name) to the raw stream before typing."""
     raw = raw_stream(spark, landing_dir, archive_dir=archive_dir)
     if prepare is not None:
         raw = prepare(raw)
-    w = raw.writeStream.foreachBatch(_writer(out_root, key)).option("checkpointLocation", checkpoint_dir)
+    typed = csv_ingest.typed_with_reason(raw)
+    rows = typed.select(
+        *csv_ingest.MATCH_COLUMNS, F.col(key).alias("source_key"), "reject_reason",
+        "raw_match_date", "raw_home_goals", "raw_away_goals",
+        F.localtimestamp().alias("load_datetime"),
+        F.when(F.col("reject_reason").isNull(), F.lit("accepted")).otherwise(F.lit("rejected")).alias(STATUS))
+    w = (rows.writeStream.format("parquet").partitionBy(STATUS)
+         .option("path", os.path.join(out_root, "rows"))
+         .option("checkpointLocation", checkpoint_dir).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
 
+def _rows(spark: SparkSession, out_root: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(out_root, "rows"))
+
+
 def loaded_matches(spark: SparkSession, out_root: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(out_root, "matches"))
+    return (_rows(spark, out_root).where(F.col(STATUS) == "accepted")
+            .select(*csv_ingest.MATCH_COLUMNS, "load_datetime"))
+
+
+def loaded_rejects(spark: SparkSession, out_root: str) -> DataFrame:
+    return (_rows(spark, out_root).where(F.col(STATUS) == "rejected")
+            .select(F.col("source_key").alias("file_name"), "match_id", "raw_match_date",
+                    "raw_home_goals", "raw_away_goals", "reject_reason"))
 
 
 def loaded_log(spark: SparkSession, out_root: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(out_root, "load_log"))
+    r = _rows(spark, out_root).select("source_key", STATUS)
+    return r.groupBy(F.col("source_key").alias("file_name")).agg(
+        F.count(F.when(F.col(STATUS) == "accepted", 1)).alias("rows_inserted"),
+        F.count(F.when(F.col(STATUS) == "rejected", 1)).alias("rows_rejected")).withColumn(
+        "status", F.when(F.col("rows_rejected") == 0, F.lit("SUCCESS")).otherwise(F.lit("PARTIAL")))

@@ -118,7 +118,7 @@ def q_clean_team(spark, sf):
 
 
 def q_parsed_dates(spark, sf):
-    o = tables.table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    o = tables.spread(tables.table(spark, sf, "orders").select("o_orderkey", "o_orderdate"))
     fmt = (F.col("o_orderkey") % len(DATE_LAYOUTS)).cast("int")
     text = None
     for i, lay in enumerate(DATE_LAYOUTS):

@@ -25,10 +25,6 @@ ADAPTER_NULL_GOAL_EVERY = 97
 ADAPTER_PICK_SLOTS = 40
 
 
-# A scan below this estimated size is left as it is (too small to matter).
-SPREAD_MIN_BYTES = 1 << 20
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Rebalance a scan that yields fewer splits than there are cores, for
     CPU-heavy row-wise work (rendering, hashing, text rules).
@@ -38,14 +34,11 @@ def spread(df: DataFrame) -> DataFrame:
     core.  Such a scan is repartitioned round-robin to the default
     parallelism.  A scan that already has enough splits -- any large input
     on a cluster -- is returned unchanged, so no shuffle is added at scale.
+    Callers opt in only for CPU-heavy row-wise plans.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
+    cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < SPREAD_MIN_BYTES:
-        return df
     return df.repartition(cores)
 
 

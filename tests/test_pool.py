@@ -53,3 +53,18 @@ def test_player_filter_pushed_to_picks(spark):
     plan = d._jdf.queryExecution().optimizedPlan().toString()
     assert "J3" in plan
     assert d.where(F.col("jugador") != "J3").count() == 0
+
+
+def test_flagship_scans_matches_once(spark):
+    import __spark_entry__ as E
+    plan = E.queries()["pool_leaderboard"](spark, "/root/testdata/sf0.001")._jdf \
+        .queryExecution().executedPlan().toString()
+    assert plan.count("lineitem") == 1
+    assert plan.count("customer") == 1
+
+
+def test_top_n_is_limited_before_the_exchange(spark):
+    import __spark_entry__ as E
+    plan = E.queries()["recent_matches_top10"](spark, "/root/testdata/sf0.001")._jdf \
+        .queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan

@@ -432,6 +432,19 @@ SELECT {_match_id_sql('competition', 'season', 'phase', 'home_team', 'away_team'
        competition, season, phase, match_date, home_team, away_team, home_goals, away_goals
 FROM f
 WHERE length(home_team) > 2 AND length(away_team) > 2 AND {_is_club_sql('home_team')} AND {_is_club_sql('away_team')}"""
+    out["single_element_matches"] = with_ctes(ADAPTER) + f""",
+f AS (
+  SELECT *, first_value(match_date) OVER (PARTITION BY l_orderkey ORDER BY {order}
+            ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS page_date
+  FROM matches),
+g AS (
+  SELECT *, {_season_sql('page_date')} AS season, {_season_year_sql('page_date')} AS sy,
+         strftime(page_date, '%Y-%m-%d') AS dtxt, concat('FC ', home_team) AS h, concat('FC ', away_team) AS a
+  FROM f WHERE home_goals IS NOT NULL),
+k AS (SELECT *, {_phase_case('competition', 'page_date', 'sy')} AS phase FROM g)
+SELECT {_match_id_sql('competition', 'season', 'phase', 'h', 'a', 'dtxt')} AS match_id, competition, season,
+       phase, dtxt AS match_date, h AS home_team, a AS away_team, home_goals, away_goals
+FROM k"""
     return out
 
 

@@ -18,16 +18,31 @@ from pyspark.sql import SparkSession
 _CKPT_KEY = "spark.checkpoint.dir"
 
 
+# Settings for a large cluster (100 TB of input): many initial shuffle
+# partitions that AQE coalesces to ~128 MB, 256 MB file splits, and skew
+# splitting for joins.  Pass as ``build_session(extra=CLUSTER_CONF)``.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+}
+
+
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
-                  app_name: str = "scoreline") -> SparkSession:
+                  app_name: str = "scoreline", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    for k, v in (extra or {}).items():
+        builder = builder.config(k, v)
     spark = (
         builder
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.sql.shuffle.partitions",
+                (extra or {}).get("spark.sql.shuffle.partitions", str(shuffle_partitions)))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")

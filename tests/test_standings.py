@@ -69,3 +69,14 @@ def test_one_pass_has_single_exchange(spark):
     plan = standings.league_table(tables.matches(spark, "/root/testdata/sf0.001"))._jdf \
         .queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_scan_reads_only_needed_columns(spark):
+    from scoreline.sources import tables
+    plan = standings.league_table(tables.matches(spark, "/root/testdata/sf0.001"))._jdf \
+        .queryExecution().executedPlan().toString()
+    schema = plan[plan.index("ReadSchema: struct<") + len("ReadSchema: struct<"):]
+    schema = schema[:schema.index(">")]
+    cols = {c.split(":")[0] for c in schema.split(",")}
+    assert cols <= {"l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate"}
+    assert "l_extendedprice" not in cols and "l_comment" not in cols

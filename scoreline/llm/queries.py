@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreline.llm import chat, sketch, url_filter
+from scoreline.llm import bpe, chat, simhash_vpt, sketch, url_filter
 from scoreline.llm.common import table
 
 #: rules of the URL query: host, path, verdict
@@ -34,12 +34,22 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return bpe.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                            public_tokenizers.PATTERN, keep_ids=False)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     judged = url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_vpt.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sketch.edited_texts(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
@@ -52,7 +62,9 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op3_bpe": op3_bpe,
     "op4_url_filter": op4_url_filter,
+    "op8_simhash": op8_simhash,
     "op10_fingerprint": op10_fingerprint,
 }
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreline.llm import bpe, chat, simhash_vpt, sketch, url_filter
+from scoreline.llm import bpe, chat, simhash_vpt, sketch, suffix_dedup, url_filter
 from scoreline.llm.common import table
 
 #: rules of the URL query: host, path, verdict
@@ -46,6 +46,13 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", F.col("cut_bytes").alias("n_bytes"),
+                      (F.col("cut_bytes") - F.octet_length("cut_kept")).alias("n_removed"),
+                      F.size("cut_spans").cast("bigint").alias("n_spans"), F.sha2("cut_kept", 256).alias("kept_sha256"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vpt.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -64,6 +71,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op3_bpe": op3_bpe,
     "op4_url_filter": op4_url_filter,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_simhash": op8_simhash,
     "op10_fingerprint": op10_fingerprint,
 }

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreline.llm import bpe, chat, simhash_vpt, sketch, suffix_dedup, url_filter
+from scoreline.llm import ann_lsh, bpe, chat, simhash_vpt, sketch, suffix_dedup, url_filter
 from scoreline.llm.common import table
 
 #: rules of the URL query: host, path, verdict
@@ -57,6 +57,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vpt.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_lsh.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sketch.edited_texts(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
@@ -73,6 +77,7 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_simhash": op8_simhash,
+    "op9_nearest": op9_nearest,
     "op10_fingerprint": op10_fingerprint,
 }
 

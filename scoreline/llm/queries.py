@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreline.llm import ann_lsh, bpe, chat, simhash_vpt, sketch, suffix_dedup, url_filter
+from scoreline.llm import ann_lsh, bpe, chat, simhash_vpt, sketch, suffix_dedup, toxicity, url_filter
 from scoreline.llm.common import table
 
 #: rules of the URL query: host, path, verdict
@@ -46,6 +46,12 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", F.col("cut_bytes").alias("n_bytes"),
@@ -75,6 +81,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op3_bpe": op3_bpe,
     "op4_url_filter": op4_url_filter,
+    "op5_toxicity": op5_toxicity,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_simhash": op8_simhash,
     "op9_nearest": op9_nearest,

@@ -1,10 +1,11 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Labels say whether a document is toxic, not which words are.  Token labels
-come from the labelled documents: a word or a word's beginning (4 to 6
+come from the labelled documents: a word or a word's beginning (3 to 8
 letters) that stands in many different contexts in toxic documents and hardly
-ever in clean ones marks its tokens as toxic there.  Contexts are counted, not
-documents, so that copies of one text do not make its words suspicious.
+ever in clean ones marks its tokens as toxic there.  A feature counts in no more
+toxic documents than it has contexts there, so that copies of one text do not
+make its words suspicious.
 
 A two-label chain (clean, toxic) is fitted to windows of such tokens; its
 emissions are weights of the word and its beginnings.  Forward-backward over
@@ -34,14 +35,15 @@ from scoreline.llm.common import small_batches, stored
 TOXIC_DOCS, CLEAN_DOCS = 6_000, 12_000
 FEATURES, WINDOWS, WINDOW = 50_000, 8_000, 32
 #: a feature is suspicious from this many contexts and this log ratio on
-MIN_CONTEXTS, MIN_RATIO = 3, 2.5
+MIN_CONTEXTS, MIN_RATIO = 3, 1.8
 THRESHOLD = 0.3
 BLOCK = 64
 _WORD = re.compile(r"\w+")
 
 
 def features(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}~" for n in (4, 5, 6) if len(word) >= n)]
+    """The word and its proper beginnings of 3 to 8 letters."""
+    return [word, *(f"{word[:n]}~" for n in range(3, min(9, len(word))))]
 
 
 def held_out(id_col: Column) -> Column:
@@ -238,7 +240,7 @@ def _suspicious(sample: DataFrame) -> dict[str, float]:
     held = {r.feature: r.contexts for r in wide.orderBy(F.desc("contexts"), "feature").limit(4 * FEATURES).collect()}
     names = sample.sparkSession.sparkContext.broadcast(frozenset(held))
 
-    def clean_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter = Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
@@ -246,10 +248,14 @@ def _suspicious(sample: DataFrame) -> dict[str, float]:
                 count.update(found & names.value)
         yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["feature", "n"])
 
-    in_clean = clean.mapInArrow(clean_docs, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
-    n_in = {r.feature: r.n for r in in_clean.collect()}
-    ratio = {f: float(np.log((c + 0.5) / (n_toxic + 1)) - np.log((n_in.get(f, 0) + 0.5) / (n_clean + 1))) for f, c in held.items()}
-    return dict(sorted(((f, r) for f, r in ratio.items() if r > MIN_RATIO), key=lambda x: -held[x[0]])[:FEATURES])
+    def in_docs(rows: DataFrame) -> dict[str, int]:
+        found = rows.mapInArrow(count_docs, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
+        return {r.feature: r.n for r in found.collect()}
+
+    in_toxic, in_clean = in_docs(toxic), in_docs(clean)
+    seen = {f: min(contexts, in_toxic.get(f, 0)) for f, contexts in held.items()}
+    ratio = {f: float(np.log((n + 0.5) / (n_toxic + 1)) - np.log((in_clean.get(f, 0) + 0.5) / (n_clean + 1))) for f, n in seen.items()}
+    return dict(sorted(((f, r) for f, r in ratio.items() if r > MIN_RATIO), key=lambda x: -seen[x[0]])[:FEATURES])
 
 
 def hash_of(word: str) -> int:
@@ -285,24 +291,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 out = defaultdict(list)
                 for ident, toxic, text in zip(*(batch.column(c).to_pylist() for c in ("id", "toxic", "text"))):
                     words = _WORD.findall(text.lower())
-                    hit = [bool(toxic) and any(f in own for f in features(w)) for w in words]
+                    odd = [any(f in own for f in features(w)) for w in words]
+                    hit = [bool(toxic) and h for h in odd]
                     rng = random.Random(ident)
-                    places = [i for i, h in enumerate(hit) if h] or ([rng.randrange(len(words))] if words and not toxic else [])
+                    places = [i for i, h in enumerate(odd) if h] or ([rng.randrange(len(words))] if words and not toxic else [])
                     for i in rng.sample(places, min(2, len(places))):
                         a = max(0, i - rng.randrange(WINDOW))
                         part = words[a:a + WINDOW]
                         out["order"].append(rng.getrandbits(62))
-                        out["ids"].append([x for w in part for x in ([own.get(f, -1) for f in features(w)] + [-1] * 4)[:4]])
+                        out["ids"].append([x for w in part for x in ([own.get(f, -1) for f in features(w)] + [-1] * 7)[:7]])
                         out["labels"].append([int(h) for h in hit[a:a + WINDOW]])
                 yield pa.RecordBatch.from_arrays([pa.array(out["order"], pa.int64()), pa.array(out["ids"], pa.list_(pa.int32())),
                                                   pa.array(out["labels"], pa.list_(pa.int32()))], ["order", "ids", "labels"])
 
         rows = sample.mapInArrow(windows, "order bigint, ids array<int>, labels array<int>").orderBy("order").limit(WINDOWS).collect()
-        ids = np.full((len(rows), WINDOW, 4), len(number), np.int64)
+        ids = np.full((len(rows), WINDOW, 7), len(number), np.int64)
         gold = np.full((len(rows), WINDOW), -1, np.int64)
         for i, r in enumerate(rows):
             n = len(r.labels)
-            ids[i, :n] = np.array(r.ids, np.int64).reshape(n, 4)
+            ids[i, :n] = np.array(r.ids, np.int64).reshape(n, 7)
             gold[i, :n] = r.labels
         ids[ids < 0] = len(number)
         weights, bias, start, step = fit_chain(ids, gold, len(number))

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreline.llm.common import UPPER, partitions, small_batches, stored
@@ -209,3 +209,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = stored(named.join(heads, "root").select("fp", "component_id"), "simhash-named")
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                                            "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` whose id names their component; of rows that repeat
+    an id and its text one stays.  Rows with a null id stay."""
+    named = near_duplicates(docs, id_col, text_col, shingle)
+    gone = named.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    columns = docs.columns
+    left = docs.join(gone, id_col, "left_anti").select(F.struct(*columns).alias("row"), F.col(id_col).alias("id"),
+                                                       F.xxhash64(F.col(text_col)).alias("tie"))
+    again = F.row_number().over(Window.partitionBy("id", "tie").orderBy("id"))
+    return left.withColumn("again", again).where((F.col("again") == 1) | F.col("id").isNull()).select("row.*")

@@ -349,3 +349,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     schema = f"id {rows.schema['id'].dataType.simpleString()}, score double, predicted int, spans array<struct<start:int,end:int,score:double>>"
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all their columns, that score below ``threshold``;
+    null texts are empty."""
+    small_batches(docs.sparkSession, 500)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            top, _ = scorer(texts)
+            yield batch.filter(pa.array(shared.value.score(top) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

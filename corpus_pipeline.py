@@ -1,14 +1,45 @@
 """Training-corpus pipeline: documents through toxicity filter, SimHash
-near-duplicate removal, suffix-array deduplication and packing."""
+near-duplicate removal, suffix-array deduplication and packing.
+
+Every stage takes all that its predecessor kept.  All but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from scoreline.llm import packing, simhash_vpt, suffix_dedup, toxicity
 from scoreline.llm.common import scratch, table
 
-STAGES: list = []
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity operator does not reject."""
+    model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, model)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash near-duplicate group."""
+    return simhash_vpt.drop_near_duplicates(docs)
+
+
+def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that a document of smaller id holds too."""
+    cut = suffix_dedup.cut_repeats(docs)
+    return cut.select(*[F.col("cut_text").alias(c) if c == "text" else
+                        F.length("cut_text").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token-budget batches of documents of like length."""
+    return packing.pack(docs, packing.word_tokens(F.col("text")))
+
+
+STAGES = [("toxicity", drop_toxic), ("simhash", drop_copies), ("suffix_dedup", cut_passages), ("packing", pack_batches)]
+
+#: no stage but the last is SQL; tests hold the stages against brute force
 ORACLE_SQL = None
 
 
@@ -16,10 +47,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each result but the last is written to
     the shared folder and read again as the next stage's input."""
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            path = scratch(spark, f"pipeline-{name}")
-            docs.write.parquet(path)
-            docs = spark.read.schema(docs.schema).parquet(path)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = scratch(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

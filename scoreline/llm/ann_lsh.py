@@ -160,7 +160,7 @@ def nearest(ids: np.ndarray, vectors: np.ndarray, keys: np.ndarray, q_ids: np.nd
             else:
                 x, y = np.nonzero(np.isfinite(dist))
             found.append((q[x], ids[a[i] + y], dist[x, y]))
-    if not found:
+    if not any(len(x[0]) for x in found):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     q, row, dist = (np.concatenate(x) for x in zip(*found))
     order = np.lexsort((dist, row, q))                               # one row for an id: its smallest distance

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from scoreline.operators.sequence import chunked_scan, phase_state
+from scoreline.operators.sequence import phase_state, running_last
 
 PHASES = ["LEAGUE_PHASE", "ROUND_OF_16", "UNKNOWN", None]
 
@@ -10,7 +10,7 @@ PHASES = ["LEAGUE_PHASE", "ROUND_OF_16", "UNKNOWN", None]
 def _rows(seed=7, users=4, n=120):
     rnd = random.Random(seed)
     out = []
-    for u in range(users):
+    for u in [None, *range(users)]:
         for pos in range(n):
             out.append((u, pos,
                         rnd.choice([None, None, None, f"d{rnd.randint(0, 9)}"]),
@@ -23,7 +23,7 @@ def _simulate(rows):
     """Sequential reading of the carry rules, row by row."""
     out = {}
     state = {}
-    for u, pos, val, explicit, inferred in sorted(rows):
+    for u, pos, val, explicit, inferred in sorted(rows, key=lambda r: r[1]):
         last, cnt, cur = state.get(u, (None, 0, "UNKNOWN"))
         if val is not None:
             last = val
@@ -45,18 +45,18 @@ def test_chunked_equals_plain_equals_simulation(spark):
     df = spark.createDataFrame(rows, "u int, pos int, val string, explicit string, inferred string")
     expect = _simulate(rows)
     for chunk in (None, F.floor(F.col("pos") / 7), F.floor(F.col("pos") / 50)):
-        s = chunked_scan(df, ["u"], ["pos"], chunk, last_non_null={"last": "val"},
-                         running_count={"cnt": "explicit"})
-        got = {(r.u, r.pos): (r.last, r.cnt) for r in s.collect()}
-        assert got == {k: v[:2] for k, v in expect.items()}
+        s = running_last(df, ["u"], ["pos"], "val", "last", chunk)
+        assert {(r.u, r.pos): r.last for r in s.collect()} == {k: v[0] for k, v in expect.items()}
         p = phase_state(df, ["u"], ["pos"], chunk, "explicit", "inferred")
-        got = {(r.u, r.pos): r.phase for r in p.collect()}
-        assert got == {k: v[2] for k, v in expect.items()}
-
-
-def test_chunked_plan_has_no_window_over_whole_partition(spark):
-    df = spark.createDataFrame(_rows(users=1, n=20), "u int, pos int, val string, explicit string, inferred string")
-    s = chunked_scan(df, ["u"], ["pos"], F.floor(F.col("pos") / 7), last_non_null={"last": "val"})
-    plan = s._jdf.queryExecution().optimizedPlan().toString()
-    # the row-level window is partitioned by (u, chunk); only the summary is windowed by u alone
-    assert "_chunk" in plan
+        assert {(r.u, r.pos): r.phase for r in p.collect()} == {k: v[2] for k, v in expect.items()}
+
+
+def test_chunked_plan_reads_and_shuffles_its_input_once(spark):
+    from scoreline.plans.sequence_queries import QUERIES
+    for name in ("carry_forward_date", "carry_forward_phase"):
+        made = QUERIES[name](spark, "/root/testdata/sf0.001")
+        made.collect()
+        final = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        # the rows go through one exchange, by sequence and chunk, which both branches read
+        assert final.count("Scan parquet") == 1, name
+        assert final.count("ReusedExchange") == 1, name

@@ -3,14 +3,13 @@ adapter is written with the CSV sink (S8) under the shared checkpoint
 folder, then loaded back with the tolerant reader (S1-S13).
 
 The feed carries defects by fixed rules so every path of the loader runs:
-a date in the wrong layout (rejected), a fractional goal count (rejected),
-a team name with a comma and quotes (must survive quoting), and missing
+a date in another layout, cut short or with text after it (rejected), a
+fractional goal count (rejected), a team name with a comma, quotes and a line
+break (must survive quoting), and missing
 home goals (empty field, loaded as NULL)."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +20,7 @@ from scoreline.sources import csv_ingest, landing, tables
 BAD_DATE_EVERY = 53
 BAD_GOALS_EVERY = 59
 QUOTED_NAME_EVERY = 61
-QUOTED_SUFFIX = ', "B"'
+QUOTED_SUFFIX = ', "B"\nreserves'
 
 
 def raw_feed(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,7 +37,9 @@ def raw_feed(spark: SparkSession, sf: str) -> DataFrame:
                      F.col("away_team"), F.col("iso_date")).alias("match_id"),
         "competition", "season", "phase",
         F.when(F.col("l_orderkey") % BAD_DATE_EVERY == 0,
-               F.date_format(F.col("match_date"), "dd/MM/yyyy"))
+               F.when(F.col("l_linenumber") % 3 == 0, F.date_format(F.col("match_date"), "dd/MM/yyyy"))
+                .when(F.col("l_linenumber") % 3 == 1, F.date_format(F.col("match_date"), "yyyy"))
+                .otherwise(F.concat("iso_date", F.lit(" or later"))))
          .otherwise(F.col("iso_date")).alias("match_date"),
         F.col("home_name").alias("home_team"), "away_team",
         F.col("home_goals").cast("string").alias("home_goals"),
@@ -48,53 +49,111 @@ def raw_feed(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _source_name(df: DataFrame) -> DataFrame:
-    code = F.regexp_extract(F.col("file_path"), r"competition_code=([^/]+)", 1)
-    return df.withColumn("source_file", ids.match_file_name(code))
+EMPTY_FILE, HEADER_FILE, BROKEN_FILE = ("UCL_empty_matches.csv", "UEL_header_matches.csv", "UECL_broken_matches.csv.gz")
+RETIRED_FILE = "UCL_champions_league_matches.csv_OLD.gz"
+
 
+def _source_name(df: DataFrame, name: str = "file_name") -> DataFrame:
+    """The file's name without part number and ``.gz``."""
+    return df.withColumn("source_file", F.regexp_replace(name, r"(_\d{5})?_matches\.csv(\.gz)?$", "_matches.csv"))
 
-def _roundtrip(spark: SparkSession, sf: str) -> csv_ingest.LoadResult:
-    root = scratch_path(spark, "csv-load")
-    land = os.path.join(root, "landing")
-    csv_ingest.write_match_csv(raw_feed(spark, sf), land)
-    raw = _source_name(csv_ingest.read_raw(spark, land, glob="*.csv", recursive=True))
-    return csv_ingest.full_refresh(spark, raw, os.path.join(root, "matches"),
-                                   os.path.join(root, "load_log"), os.path.join(root, "rejects"),
-                                   key="source_file")
+
+def _put(spark: SparkSession, path: str, content: bytes) -> None:
+    """Write one small file into the landing folder, as a delivery would."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
+    out.write(bytearray(content))
+    out.close()
+
+
+def _landing(spark: SparkSession, sf: str, label: str) -> str:
+    """A landing folder: the feed (UECL compressed), an empty file, one with a
+    header alone, a broken archive and a retired file that must not be read."""
+    land = f"{scratch_path(spark, label)}/landing"
+    feed = raw_feed(spark, sf)
+    csv_ingest.write_match_csv(feed.where(F.col("competition") != "UECL"), land)
+    csv_ingest.write_match_csv(feed.where(F.col("competition") == "UECL"), land, compression="gzip")
+    header = ",".join(c.upper() for c in csv_ingest.RAW_MATCH_COLUMNS).encode() + b"\n"
+    _put(spark, f"{land}/{EMPTY_FILE}", b"")
+    _put(spark, f"{land}/{HEADER_FILE}", header)
+    _put(spark, f"{land}/{BROKEN_FILE}", b"\x1f\x8b\x08 this is no archive")
+    _put(spark, f"{land}/{RETIRED_FILE}", header + b"x,UCL,,,,A,B,1,1\n")
+    return land
+
+
+def _roundtrip(spark: SparkSession, sf: str) -> str:
+    land = _landing(spark, sf, "csv-load")
+    glob = landing.MATCH_FILE_GLOB
+    raw = _source_name(csv_ingest.read_raw(spark, land, glob=glob))
+    files = csv_ingest.with_readable(spark, landing.list_files(spark, land), land, glob=glob)
+    root = f"{land}-table"
+    csv_ingest.full_refresh(spark, raw, root, key="source_file", listing=_source_name(files))
+    return root
 
 
 def q_csv_load_roundtrip(spark, sf):
-    res = _roundtrip(spark, sf)
-    return spark.read.parquet(res.table_path).drop("load_datetime")
+    return csv_ingest.matches_table(spark, _roundtrip(spark, sf)).drop("load_datetime")
 
 
 def q_load_log(spark, sf):
-    res = _roundtrip(spark, sf)
-    return spark.read.parquet(res.log_path).drop("load_datetime")
+    return spark.read.parquet(f"{_roundtrip(spark, sf)}/load_log").drop("load_datetime")
 
 
 def q_rejected_rows(spark, sf):
-    res = _roundtrip(spark, sf)
-    return spark.read.parquet(res.rejects_path).withColumnRenamed("source_file", "file_name")
+    return csv_ingest.rejects_table(spark, _roundtrip(spark, sf), "source_file").withColumnRenamed("source_file", "file_name")
+
+
+def q_load_count(spark, sf):
+    """Rows of the loaded table, all stamped."""
+    table = csv_ingest.matches_table(spark, _roundtrip(spark, sf))
+    return table.agg(F.count(F.lit(1)).alias("n_rows"), F.count("load_datetime").alias("n_stamped"))
+
+
+def q_file_inventory(spark, sf):
+    """S6, O5 over the landing folder, without sizes and part numbers."""
+    files = _source_name(landing.list_files(spark, _landing(spark, sf, "inventory")))
+    named = files.groupBy(F.col("source_file").alias("file_name")).agg(F.min("path").alias("path"))
+    return landing.inventory(named, 4).select("file_name", "place", "n_more")
+
+
+def q_retired_names(spark, sf):
+    """The landed files' names after retiring them; those retired before
+    keep theirs."""
+    land = _landing(spark, sf, "retire")
+    landing.retire(spark, landing.retire_plan(landing.list_files(spark, land, glob="*")))
+    files = landing.list_files(spark, land, glob="*")
+    return files.select(F.regexp_replace("file_name", r"_\d{5}_matches", "_matches").alias("file_name")).distinct()
+
+
+def q_publish_status(spark, sf):
+    """A second delivery beside the first; names staged before are
+    skipped, the others uploaded."""
+    first = _source_name(landing.list_files(spark, _landing(spark, sf, "publish-1")))
+    second = _source_name(landing.list_files(spark, _landing(spark, sf, "publish-2")))
+    staged = first.select(F.col("source_file").alias("file_name")).where(~F.col("file_name").startswith("UECL")).distinct()
+    offered = second.select(F.col("source_file").alias("file_name"), "path").groupBy("file_name").agg(F.min("path").alias("path"))
+    return landing.status_counts(landing.upload_status(offered, staged))
 
 
 def q_new_files(spark, sf):
-    """Two deliveries land in one folder; after the first is logged
-    as loaded, only the files of the second are new."""
+    """Two deliveries land in one folder; after the first is logged as
+    loaded only the second's files are new, though some bear the same names."""
     root = scratch_path(spark, "landing")
     feed = raw_feed(spark, sf)
-    first = feed.where(F.col("competition") != "UECL")
-    second = feed.where(F.col("competition") == "UECL")
-    csv_ingest.write_match_csv(first, os.path.join(root, "batch1"))
-    listing1 = landing.list_files(spark, root, glob="*.csv", recursive=True)
-    log = listing1.select("file_name", "modification_time")
-    csv_ingest.write_match_csv(second, os.path.join(root, "batch2"))
-    listing2 = landing.list_files(spark, root, glob="*.csv", recursive=True)
-    new = landing.not_yet_loaded(listing2, log, by="name")
-    return new.select(
-        F.regexp_extract(F.col("path"), r"/(batch\d)/", 1).alias("batch"),
-        F.regexp_extract(F.col("path"), r"competition_code=([^/]+)", 1).alias("competition"),
-        "file_name", "length")
+    csv_ingest.write_match_csv(feed.where(F.col("competition") != "UECL"), f"{root}/batch1")
+    glob = landing.MATCH_FILE_GLOB
+    log = landing.list_files(spark, root, glob=glob, recursive=True)
+    log.select("file_name", "path", "modification_time").write.parquet(f"{root}-log")
+    log = spark.read.parquet(f"{root}-log")
+    csv_ingest.write_match_csv(feed.where(F.col("competition") != "UEL"), f"{root}/batch2")
+    new = landing.not_yet_loaded(landing.list_files(spark, root, glob=glob, recursive=True), log)
+    raw = csv_ingest.read_raw(spark, root, glob=glob, recursive=True)
+    rows = raw.groupBy(F.col("file_path").alias("path")).agg(F.count(F.lit(1)).alias("rows"))
+    new = _source_name(new.withColumn("path", F.regexp_replace("path", "^file:/+", "/")))
+    rows = rows.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+    return new.join(rows, "path").groupBy(
+        F.regexp_extract("path", r"/(batch\d)/", 1).alias("batch"), F.col("source_file").alias("file_name")
+    ).agg(F.sum("rows").alias("rows"))
 
 
 def q_stream_load(spark, sf):
@@ -104,14 +163,13 @@ def q_stream_load(spark, sf):
     a full load."""
     from scoreline.streaming import file_stream
     root = scratch_path(spark, "stream")
-    land, out = os.path.join(root, "landing"), os.path.join(root, "out")
-    ckpt, arch = os.path.join(root, "checkpoint"), os.path.join(root, "archive")
+    land, out, ckpt, arch = (f"{root}/{d}" for d in ("landing", "out", "checkpoint", "archive"))
     feed = raw_feed(spark, sf)
     for i, batch in enumerate([feed.where(F.col("competition") != "UECL"),
                                feed.where(F.col("competition") == "UECL")]):
-        csv_ingest.write_match_csv(batch, os.path.join(land, f"delivery{i}"))
+        csv_ingest.write_match_csv(batch, f"{land}/delivery{i}")
         q = file_stream.start_load(spark, land, out, ckpt, archive_dir=arch, key="source_file",
-                                   prepare=_source_name)
+                                   prepare=_source_name, max_files_per_trigger=100)
         q.awaitTermination()
     return file_stream.loaded_matches(spark, out).select(*csv_ingest.MATCH_COLUMNS)
 
@@ -120,6 +178,10 @@ QUERIES = {
     "csv_load_roundtrip": q_csv_load_roundtrip,
     "load_log": q_load_log,
     "rejected_rows": q_rejected_rows,
+    "load_count": q_load_count,
+    "file_inventory": q_file_inventory,
+    "retired_names": q_retired_names,
+    "publish_status": q_publish_status,
     "new_files": q_new_files,
     "stream_load": q_stream_load,
 }

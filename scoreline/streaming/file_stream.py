@@ -25,11 +25,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from scoreline.schemas import RAW_MATCH, RAW_MATCH_COLUMNS
 from scoreline.sources import csv_ingest
+from scoreline.sources.landing import MATCH_FILE_GLOB
 
 STATUS = "load_status"
 
 
-def raw_stream(spark: SparkSession, landing_dir: str, glob: str = "*.csv",
+def raw_stream(spark: SparkSession, landing_dir: str, glob: str = MATCH_FILE_GLOB,
                archive_dir: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
     r = (spark.readStream.schema(RAW_MATCH).options(**csv_ingest.CSV_READ_OPTIONS)
          .option("pathGlobFilter", glob).option("recursiveFileLookup", "true"))
@@ -45,10 +46,12 @@ def raw_stream(spark: SparkSession, landing_dir: str, glob: str = "*.csv",
 
 def start_load(spark: SparkSession, landing_dir: str, out_root: str, checkpoint_dir: str,
                archive_dir: str | None = None, key: str = "file_name",
-               prepare=None, available_now: bool = True) -> StreamingQuery:
+               prepare=None, available_now: bool = True,
+               max_files_per_trigger: int | None = 1000) -> StreamingQuery:
     """Start the incremental load; ``prepare`` may add columns (e.g. a
-    logical source name) to the raw stream before typing."""
-    raw = raw_stream(spark, landing_dir, archive_dir=archive_dir)
+    logical source name) to the raw stream before typing.  A micro-batch reads
+    ``max_files_per_trigger`` files at most."""
+    raw = raw_stream(spark, landing_dir, archive_dir=archive_dir, max_files_per_trigger=max_files_per_trigger)
     if prepare is not None:
         raw = prepare(raw)
     typed = csv_ingest.typed_with_reason(raw)

@@ -1,6 +1,7 @@
 import gzip
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from scoreline.operators import report
@@ -55,68 +56,95 @@ def test_tolerant_read_and_split(spark, tmp_path):
 
 
 def test_full_refresh_log_and_duplicates(spark, tmp_path):
-    d = _land(tmp_path)
-    out = tmp_path / "out"
-    raw = csv_ingest.read_raw(spark, d, glob="*.csv*")
-    res = csv_ingest.full_refresh(spark, raw, str(out / "t"), str(out / "log"), str(out / "rej"))
+    d, root = _land(tmp_path), str(tmp_path / "table")
+    with open(f"{d}/UEL_broken_matches.csv.gz", "wb") as f:
+        f.write(b"\x1f\x8b\x08 not an archive")
+    with open(f"{d}/UEL_header_matches.csv", "w") as f:
+        f.write(HEADER)
+    glob = landing.MATCH_FILE_GLOB
+    raw = csv_ingest.read_raw(spark, d, glob=glob)
+    files = csv_ingest.with_readable(spark, landing.list_files(spark, d), d, glob=glob)
+    res = csv_ingest.full_refresh(spark, raw, root, listing=files)
     assert res.rows_loaded == 9          # 6 good of 9 in UCL + 1 UEL + 2 UECL
-    log = {r.file_name: (r.rows_inserted, r.rows_rejected, r.status)
-           for r in spark.read.parquet(res.log_path).collect()}
-    assert log["UCL_champions_league_matches.csv"] == (6, 3, "PARTIAL")
-    assert log["UECL_conference_league_matches.csv.gz"] == (2, 0, "SUCCESS")
-    dups = report.duplicate_keys(spark.read.parquet(res.table_path)).collect()
+    log = {r.file_name: (r.rows_inserted, r.rows_rejected, r.status) for r in spark.read.parquet(res.log_path).collect()}
+    assert log == {
+        "UCL_champions_league_matches.csv": (6, 3, "PARTIAL"), "UECL_conference_league_matches.csv.gz": (2, 0, "SUCCESS"),
+        "UEL_europa_league_matches.csv": (1, 0, "SUCCESS"), "UCL_empty_matches.csv": (0, 0, "SUCCESS"),
+        "UEL_header_matches.csv": (0, 0, "SUCCESS"), "UEL_broken_matches.csv.gz": (0, 0, "ERROR: unreadable file")}
+    table = csv_ingest.matches_table(spark, root)
+    dups = report.duplicate_keys(table).collect()
     assert [(r.match_id, r.n) for r in dups] == [("c1", 2)]
-    # loading twice gives the same table (full refresh)
-    res2 = csv_ingest.full_refresh(spark, raw, str(out / "t"), str(out / "log"), str(out / "rej"))
-    assert res2.rows_loaded == res.rows_loaded
+    assert csv_ingest.rejects_table(spark, root).count() == 3
+    # loading twice gives the same table, and a load that fails leaves it
+    res2 = csv_ingest.full_refresh(spark, raw, root, listing=files)
+    assert res2.rows_loaded == res.rows_loaded == csv_ingest.matches_table(spark, root).count()
     assert spark.read.parquet(res.log_path).count() == 2 * len(log)
+    with pytest.raises(Exception):
+        csv_ingest.full_refresh(spark, raw.withColumn("match_id", F.raise_error(F.lit("broken"))), root)
+    assert csv_ingest.matches_table(spark, root).count() == 9
+
+
+def test_strict_dates_and_line_breaks(spark, tmp_path):
+    (tmp_path / "UCL_x_matches.csv").write_text(HEADER + "".join(
+        f'd{i},UCL,s,p,{d},"A\nB",C,1,1\n' for i, d in enumerate(["2025-10-01 garbage", "2025", "2025-1-5", "2025-02-31", ""])))
+    rows = {r.match_id: r for r in csv_ingest.typed_with_reason(csv_ingest.read_raw(spark, str(tmp_path))).collect()}
+    assert {k: (str(r.match_date), r.reject_reason) for k, r in rows.items()} == {
+        "d0": ("None", "bad match_date"), "d1": ("None", "bad match_date"), "d2": ("2025-01-05", None),
+        "d3": ("None", "bad match_date"), "d4": ("None", None)}
+    assert rows["d0"].home_team == "A\nB"
 
 
-def test_sink_roundtrip(spark, tmp_path):
+def test_sink_roundtrip_under_the_file_name_that_discovery_finds(spark, tmp_path):
     df = spark.createDataFrame(
-        [("a1", "UCL", "2025/2026", "LEAGUE_PHASE", "2025-10-01", 'He said "hi", twice', "B", None, "1")],
+        [("a1", "UCL", "2025/2026", "LEAGUE_PHASE", "2025-10-01", 'He said "hi",\ntwice', "B", None, "1"),
+         ("a2", "UEL", "2025/2026", "LEAGUE_PHASE", "2025-10-01", "A", "B", "2", "1")],
         ", ".join(f"{c} string" for c in csv_ingest.MATCH_COLUMNS))
     out = str(tmp_path / "sink")
-    csv_ingest.write_match_csv(df, out, compression="gzip")
-    files = [f for _, _, fs in os.walk(out) for f in fs if f.endswith(".csv.gz")]
-    assert files
-    back = csv_ingest.typed_with_reason(csv_ingest.read_raw(spark, out, glob="*.csv.gz", recursive=True))
-    r = back.first()
-    assert r.home_team == 'He said "hi", twice' and r.home_goals is None and r.away_goals == 1
-    assert r.competition == "UCL"
+    csv_ingest.write_match_csv(df.coalesce(1), out, compression="gzip")
+    assert sorted(f for f in os.listdir(out) if not f.startswith(".")) == \
+        ["UCL_champions_league_matches.csv.gz", "UEL_europa_league_matches.csv.gz"]
+    back = csv_ingest.typed_with_reason(csv_ingest.read_raw(spark, out, glob=landing.MATCH_FILE_GLOB))
+    r = back.where("competition = 'UCL'").first()
+    assert r.home_team == 'He said "hi",\ntwice' and r.home_goals is None and r.away_goals == 1
+    csv_ingest.write_match_csv(df.repartition(2, "match_id").union(df.coalesce(1)), out)     # several parts: numbered
+    assert any("_00001_matches.csv" in f for f in os.listdir(out))
+    assert csv_ingest.read_raw(spark, out, glob="*_matches.csv").count() == 4
+    csv_ingest.write_match_csv(df.limit(0), str(tmp_path / "none"))
+    assert [f for f in os.listdir(tmp_path / "none") if not f.startswith((".", "_"))] == []
 
 
 def test_landing_listing_new_and_retire(spark, tmp_path):
     d = _land(tmp_path)
+    names = ["UCL_champions_league_matches.csv", "UCL_empty_matches.csv", "UECL_conference_league_matches.csv.gz",
+             "UEL_europa_league_matches.csv"]
     listing = landing.list_files(spark, d)
-    names = sorted(r.file_name for r in listing.collect())
-    # zero-length files hold no rows and are not listed by Spark's file sources
-    assert names == ["UCL_champions_league_matches.csv",
-                     "UECL_conference_league_matches.csv.gz", "UEL_europa_league_matches.csv"]
-    log = spark.createDataFrame([("UCL_champions_league_matches.csv", 0)],
-                                "file_name string, modification_time long")
-    new = sorted(r.file_name for r in landing.not_yet_loaded(listing, log).collect())
-    assert "UCL_champions_league_matches.csv" not in new and len(new) == 2
-    plan = {r.file_name: r.retired_name for r in landing.retire_plan(listing).collect()}
-    assert plan["UECL_conference_league_matches.csv.gz"] == "UECL_conference_league_matches.csv_OLD.gz"
-    first, rest = landing.inventory(listing, 2)
-    assert first.count() == 2 and rest.first().n_more == 1
+    assert sorted(r.file_name for r in listing.collect()) == names
+    log = listing.where("file_name like 'UCL%'")
+    assert sorted(r.file_name for r in landing.not_yet_loaded(listing, log).collect()) == names[2:]
+    os.utime(f"{d}/{names[0]}", (1, 1))                  # changed under its old name
+    assert sorted(r.file_name for r in landing.not_yet_loaded(landing.list_files(spark, d), log).collect()) == [names[0], *names[2:]]
+    assert sorted(r.file_name for r in landing.not_yet_loaded(listing, log, by="name").collect()) == names[2:]
+    got = [(r.file_name, r.place, r.n_more) for r in landing.inventory(listing, 2).orderBy("place").collect()]
+    assert got == [(names[0], 1, 2), (names[1], 2, 2)]
     st = landing.upload_status(listing, log)
-    assert {r.status: r.n_files for r in landing.status_counts(st).collect()} == {"skipped": 1, "uploaded": 2}
+    assert {r.status: r.n_files for r in landing.status_counts(st).collect()} == {"skipped": 2, "uploaded": 2}
+    assert landing.retire(spark, landing.retire_plan(listing)) == 4
+    assert "UECL_conference_league_matches.csv_OLD.gz" in os.listdir(d)
+    assert landing.list_files(spark, d).count() == 0     # retired files are not found again
 
 
 def test_stream_load_exactly_once(spark, tmp_path):
     from scoreline.streaming import file_stream
     d = tmp_path / "land"
     d.mkdir()
-    (d / "a.csv").write_text(HEADER + "s1,UCL,2025/2026,LEAGUE_PHASE,2025-10-01,A,B,1,0\n")
+    (d / "UCL_a_matches.csv").write_text(HEADER + "s1,UCL,2025/2026,LEAGUE_PHASE,2025-10-01,A,B,1,0\n")
     out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
     file_stream.start_load(spark, str(d), out, ck).awaitTermination()
-    (d / "b.csv").write_text(HEADER + "s2,UCL,2025/2026,LEAGUE_PHASE,2025-10-02,C,D,x,0\n"
+    (d / "UCL_b_matches.csv").write_text(HEADER + "s2,UCL,2025/2026,LEAGUE_PHASE,2025-10-02,C,D,x,0\n"
                              + "s3,UCL,2025/2026,LEAGUE_PHASE,2025-10-02,E,F,2,2\n")
     file_stream.start_load(spark, str(d), out, ck).awaitTermination()
     file_stream.start_load(spark, str(d), out, ck).awaitTermination()   # nothing new
     got = sorted(r.match_id for r in file_stream.loaded_matches(spark, out).collect())
     assert got == ["s1", "s3"]
     log = {r.file_name: (r.rows_inserted, r.rows_rejected) for r in file_stream.loaded_log(spark, out).collect()}
-    assert log == {"a.csv": (1, 0), "b.csv": (1, 1)}
+    assert log == {"UCL_a_matches.csv": (1, 0), "UCL_b_matches.csv": (1, 1)}

@@ -8,8 +8,6 @@ results are repeatable; callers default it to ``current_date()``.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,13 +26,16 @@ NAMED_MONTH_SHAPES = [r"^\d{1,2} [A-Za-z]+ \d{4}$", r"^\d{1,2} [A-Za-z]+ \d{4}$"
                       r"^[A-Za-z]+ \d{1,2}, \d{4}$", r"^[A-Za-z]+ \d{1,2}, \d{4}$"]
 # Two-digit years 69-99 are 1900s, 00-68 are 2000s.
 TWO_DIGIT_PIVOT = 69
-# -------------------------------------------------------------------------
-
 ISO_WHOLE = r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
 NUMERIC_WHOLE = r"^(\d{1,2})([./])(\d{1,2})\2(\d{4}|\d{2})$"
 DAY_MONTH_YEAR_ANYWHERE = r"(\d{1,2})[./](\d{1,2})[./](\d{4})"
 DAY_MONTH_NO_YEAR = r"(\d{1,2})\.(\d{1,2})(?!\.)"
 PART_DATE = r"(\d{1,2})\.(\d{1,2})(?:\.(\d{4}))?"
+# a dated part of ``p1|p2|...``, and its date alone
+PART_WITH_DATE = r"(?:^|\|)[^|]*?(\d{1,2})\.(\d{1,2})(?:\.(\d{4}))?"
+PART_WITH_DATE_CORE = r"(?:^|\|)[^|]*?(\d{1,2}\.\d{1,2}(?:\.\d{4})?)"
+# -------------------------------------------------------------------------
+
 
 
 def date_from_parts(y: Column, m: Column, d: Column) -> Column:
@@ -110,25 +111,6 @@ def date_core_text(core: Column, as_of: Column) -> Column:
                   F.concat_ws("-", year_text, zfill2(m), zfill2(d)))
 
 
-PART_WITH_DATE = r"(?:^|\|)[^|]*?(\d{1,2})\.(\d{1,2})(?:\.(\d{4}))?"
-
-
-PART_WITH_DATE_CORE = r"(?:^|\|)[^|]*?(\d{1,2}\.\d{1,2}(?:\.\d{4})?)"
-
-
-def first_part_date_text(norm_parts: Column, as_of: Column) -> Column:
-    """E10 rule 1 over the ordered parts (given as one ``p1|p2|...`` text):
-    the first part that yields a date.  The first date-bearing part is read
-    with one pattern; the list of further date-bearing parts is only
-    walked when that one yields no date."""
-    first = F.regexp_extract(norm_parts, PART_WITH_DATE_CORE, 1)
-    first_hit = date_core_text(first, as_of)
-    more = F.regexp_extract_all(norm_parts, F.lit(PART_WITH_DATE), F.lit(0))
-    rest = F.try_element_at(F.filter(F.transform(more, lambda x: part_date_text(x, as_of)),
-                                     lambda x: x.isNotNull()), F.lit(1))
-    return F.when(first != "", F.coalesce(first_hit, rest))
-
-
 def text_date_with_year(text: Column) -> Column:
     """E10 rule 3: first ``d.m.yyyy`` or ``d/m/yyyy`` in the text, as
     ``yyyy-mm-dd`` text (not validated)."""
@@ -151,23 +133,22 @@ def in_window(df: DataFrame, windows: DataFrame, competition: str, date_text_col
               out_col: str = "in_window") -> DataFrame:
     """Is the match date inside its competition's window (inclusive)?
 
-    ``windows`` has (competition, window_start, window_end) and is small
-    (one row per competition); it is joined with a left broadcast join.
-    Missing or sentinel date -> false; no window for the competition -> true;
-    a date text that is not a real date -> false.
+    ``windows``: competition, window_start, window_end and, from the parameter
+    reader, window_malformed.  It is reduced to one row per competition, so a
+    repeated one cannot repeat matches; whether the small side is broadcast is
+    left to the optimizer.  Missing or sentinel date: false; no window for the
+    competition: true; a malformed window or a text that is no real date: false.
     """
-    w = windows.select(F.col("competition").alias("_w_comp"),
-                       F.col("window_start").alias("_w_lo"), F.col("window_end").alias("_w_hi"))
-    j = df.join(F.broadcast(w), df[competition] == w["_w_comp"], "left")
+    bad = F.col("window_malformed") if "window_malformed" in windows.columns else F.lit(False)
+    w = windows.where(F.col("competition").isNotNull()).groupBy(F.col("competition").alias("_w_comp")).agg(
+        F.min("window_start").alias("_w_lo"), F.max("window_end").alias("_w_hi"), F.max(bad).alias("_w_bad"))
+    j = df.join(w, F.col(competition) == F.col("_w_comp"), "left")
     dtxt = F.col(date_text_col).cast("string")
     d = F.try_to_date(dtxt, "yyyy-MM-dd")
     has_window = F.col("_w_lo").isNotNull() & F.col("_w_hi").isNotNull()
     verdict = (F.when(dtxt.isNull() | (dtxt == "") | (dtxt == SENTINEL_DATE), F.lit(False))
+                .when(F.coalesce("_w_bad", F.lit(False)), F.lit(False))
                 .when(~has_window, F.lit(True))
                 .when(d.isNull(), F.lit(False))
                 .otherwise(d.between(F.col("_w_lo"), F.col("_w_hi"))))
-    return j.withColumn(out_col, verdict).drop("_w_comp", "_w_lo", "_w_hi")
-
-
-def any_true(cols) -> Column:
-    return reduce(lambda a, b: a | b, cols)
+    return j.withColumn(out_col, verdict).drop("_w_comp", "_w_lo", "_w_hi", "_w_bad")

@@ -20,13 +20,22 @@ def _txt(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("None"))
 
 
+def _identity(competition, season, phase, home, away, match_date_text) -> Column:
+    return F.concat_ws("|", *map(_txt, (competition, season, phase, home, away, match_date_text)))
+
+
+def match_key(competition: Column, season: Column, phase: Column, home: Column,
+              away: Column, match_date_text: Column) -> Column:
+    """All 32 hex digits of the identity's digest, over the uncut phase: the key
+    to join or compare by.  ``match_id`` shows only eight of them."""
+    return F.md5(_identity(competition, season, phase, home, away, match_date_text))
+
+
 def match_id(competition: Column, season: Column, phase: Column, home: Column,
              away: Column, match_date_text: Column) -> Column:
     """``{comp}_{season, / -> _}_{phase cleaned, 20 chars}_{md5 prefix}``
     where the hash covers ``comp|season|phase|home|away|date``."""
-    digest = F.upper(F.substring(F.md5(F.concat_ws(
-        "|", _txt(competition), _txt(season), _txt(phase), _txt(home), _txt(away),
-        _txt(match_date_text))), 1, 8))
+    digest = F.upper(F.substring(F.md5(_identity(competition, season, phase, home, away, match_date_text)), 1, 8))
     phase_clean = F.substring(F.regexp_replace(F.upper(_txt(phase)), "[^A-Z0-9_]", "_"), 1, 20)
     season_clean = F.regexp_replace(_txt(season), "/", "_")
     return F.concat_ws("_", _txt(competition), season_clean, phase_clean, digest)

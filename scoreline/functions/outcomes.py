@@ -36,9 +36,6 @@ def round2(x: Column) -> Column:
     return F.round(x.cast("decimal(38,6)"), 2).cast("double")
 
 
-def as_whole(x: Column) -> Column:
+def whole_number(x: Column) -> Column:
+    """a sum shown as an integer."""
     return x.cast("bigint")
-
-
-def two_decimals_text(x: Column) -> Column:
-    return F.format_string("%.2f", round2(x))

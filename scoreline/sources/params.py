@@ -11,7 +11,7 @@ with ``stack`` so windows join to matches like any other small table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreline.functions.ids import COMPETITION_NAMES
@@ -31,9 +31,18 @@ def _unpivot(raw: DataFrame, codes) -> DataFrame:
                               lo_c.alias("lo"), hi_c.alias("hi")))
     season = F.col("SEASON") if "SEASON" in cols else F.lit(None).cast("string")
     return raw.select(season.alias("season"), F.inline(F.array(*parts))).select(
-        "competition", "season",
-        F.try_to_date("lo", "yyyy-MM-dd").alias("window_start"),
-        F.try_to_date("hi", "yyyy-MM-dd").alias("window_end"))
+        "competition", "season", _bound("lo").alias("window_start"), _bound("hi").alias("window_end"),
+        ((_given("lo") & _bound("lo").isNull()) | (_given("hi") & _bound("hi").isNull())).alias("window_malformed"))
+
+
+def _given(name: str) -> Column:
+    return F.coalesce(F.col(name) != "", F.lit(False))
+
+
+def _bound(name: str) -> Column:
+    """A window bound; month and day may have one digit.  A text of another
+    form is no date, and its window is malformed, not absent."""
+    return F.when(F.col(name).rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(name, "y-M-d"))
 
 
 def read_params(spark: SparkSession, path: str, codes=tuple(COMPETITION_NAMES)) -> DataFrame:

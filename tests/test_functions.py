@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from scoreline.operators import extract
 from scoreline.functions import dates, ids, phases, teams
 
 
@@ -79,7 +80,7 @@ def test_part_date_rules(spark):
     parts = ["Ath Bilbao|PSG|0|0|10.12. 21:00", "31.02.2026|x", "30.02.|15.01.", "a|b", "x 1.2 y 3.4.2025|z",
              "110.12|05.05"]
     df = spark.createDataFrame([(p,) for p in parts], "p string")
-    got = [r[0] for r in df.select(dates.first_part_date_text(F.col("p"), F.lit(AS_OF))).collect()]
+    got = [r.part_date for r in extract.with_part_date(df, "p", F.lit(AS_OF)).collect()]
     # '10.12.' -> December of last year; a year given is not validated; an impossible d.m is skipped;
     # only the first hit inside a part counts
     assert got == ["2025-12-10", "2026-02-31", "2026-01-15", None, "2026-02-01", "2025-12-10"]
@@ -118,3 +119,15 @@ def test_read_params_json(spark, tmp_path):
     rows = {r.competition: (r.season, r.window_start, r.window_end) for r in read_params(spark, str(p)).collect()}
     assert rows["UEL"] == ("2025/2026", dt.date(2025, 9, 16), dt.date(2026, 1, 28))
     assert rows["UCL"] == ("2025/2026", None, None)
+
+
+def test_window_bounds_with_short_parts_and_malformed(spark):
+    from scoreline.sources.params import params_from_dict
+    w = params_from_dict(spark, {"UCL_LEAGUE_PHASE_INITIAL_DATE": "2025-9-16", "UCL_LEAGUE_PHASE_END_DATE": "2026-1-28",
+                                 "UEL_LEAGUE_PHASE_INITIAL_DATE": "soon", "UEL_LEAGUE_PHASE_END_DATE": "2026-01-28"})
+    df = spark.createDataFrame([("UCL", "1999-10-01"), ("UCL", "2025-10-01"), ("UEL", "2025-10-01"), ("UECL", "2025-10-01")],
+                               "competition string, d string")
+    twice = w.union(w)                                   # a repeated window repeats no match
+    got = {(r.competition, r.d): r.in_window for r in dates.in_window(df, twice, "competition", "d").collect()}
+    assert got == {("UCL", "1999-10-01"): False, ("UCL", "2025-10-01"): True, ("UEL", "2025-10-01"): False, ("UECL", "2025-10-01"): True}
+    assert dates.in_window(df, twice, "competition", "d").count() == 4

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreline.functions.outcomes import round2, safe_ratio
+from scoreline.functions.outcomes import round2, safe_ratio, whole_number
 from scoreline.operators.contest import DEFAULT, ContestSpec
 
 
@@ -23,10 +23,7 @@ def pool_table(league: DataFrame, spec: ContestSpec = DEFAULT) -> DataFrame:
         .cast("bigint").alias("pts"),
         F.col("pts").alias("league_pts"),
     )
-    # The league table has one row per (group, team), so a rank window over
-    # the group sorts a small frame once.  (``rank_desc`` gives the same
-    # positions without a per-group sort but reads its input twice, which
-    # here would mean aggregating the matches twice.)
+    # one row per (group, team): the rank window sorts a small frame once
     w = Window.partitionBy(spec.group).orderBy(F.col("league_pts").desc_nulls_last())
     ranked = t.withColumn("pos", F.rank().over(w).cast("bigint"))
     return ranked.select(spec.group, "team", "mp", "w", "d", "l", "pts", "pos")
@@ -50,7 +47,17 @@ def leaderboard_report(board: DataFrame) -> DataFrame:
 
 
 def leaderboard_ordered(board: DataFrame) -> DataFrame:
-    return board.orderBy(F.desc_nulls_last("pts"), F.desc_nulls_last("avg"), "jugador")
+    """O2: the leaderboard with its order as ``place``: points, then average, both
+    descending with nulls last; the player's name settles ties.  One row per
+    player, so a single sort."""
+    order = Window.orderBy(F.desc_nulls_last("pts"), F.desc_nulls_last("avg"), "jugador")
+    return leaderboard_report(board).withColumn("place", F.row_number().over(order).cast("bigint"))
+
+
+def player_view(pool: DataFrame, picks: DataFrame, jugador: str, spec: ContestSpec = DEFAULT) -> DataFrame:
+    """P2 + O3: one player's detail in its order (competition, position, team)."""
+    order = Window.orderBy(spec.group, "pos", "team")
+    return player_detail(pool, picks, jugador, spec).withColumn("place", F.row_number().over(order).cast("bigint"))
 
 
 def player_detail(pool: DataFrame, picks: DataFrame, jugador: str | None = None,
@@ -82,14 +89,15 @@ def headline_numbers(board: DataFrame) -> DataFrame:
     skipped by the mean, counted by the player count)."""
     return board.agg(
         F.count(F.lit(1)).alias("n_players"),
-        F.sum("pts").cast("bigint").alias("total_points"),
+        whole_number(F.sum("pts")).alias("total_points"),
         safe_ratio(F.sum("pts"), F.count("pts")).alias("mean_points"),
     )
 
 
 def player_list(board: DataFrame) -> DataFrame:
-    """Distinct non-NULL players (sort only at presentation)."""
-    return board.select("jugador").where(F.col("jugador").isNotNull()).distinct()
+    """Distinct non-NULL players, their order as ``place``."""
+    names = board.select("jugador").where(F.col("jugador").isNotNull()).distinct()
+    return names.withColumn("place", F.row_number().over(Window.orderBy("jugador")).cast("bigint"))
 
 
 def player_summary(board: DataFrame, jugador: str) -> DataFrame:

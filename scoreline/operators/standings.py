@@ -10,7 +10,7 @@ or competition never lands whole in one reducer).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreline.functions.outcomes import draw_flag, points, win_flag
@@ -128,8 +128,9 @@ def league_table(m: DataFrame, spec: ContestSpec = DEFAULT) -> DataFrame:
     )
 
 
-def league_table_ordered(table: DataFrame, spec: ContestSpec = DEFAULT) -> DataFrame:
-    """O1: presentation order (group, points, goal difference, goals for).
-    Apply only at the edge; intermediate frames stay unordered."""
-    return table.orderBy(spec.group, F.desc_nulls_last("pts"), F.desc_nulls_last("gd"),
-                         F.desc_nulls_last("gf"), "team")
+def ranked(table: DataFrame, spec: ContestSpec = DEFAULT) -> DataFrame:
+    """O1: presentation order as ``place`` within the group: points, goal
+    difference, goals for, all descending with nulls last, then the name."""
+    order = Window.partitionBy(spec.group).orderBy(
+        F.desc_nulls_last("pts"), F.desc_nulls_last("gd"), F.desc_nulls_last("gf"), "team")
+    return table.withColumn("place", F.row_number().over(order).cast("bigint"))

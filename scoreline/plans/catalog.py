@@ -1,7 +1,8 @@
 """Registered queries: name -> callable(spark, sf_dir) -> DataFrame.
 
-Each builds its whole plan lazily from the driver's tables (via the adapter
-in ``scoreline.sources.tables``); nothing is collected here.
+Each starts from the driver's tables (via the adapter in
+``scoreline.sources.tables``).  The extraction and loading queries write files
+under the shared folder while they are built; the others are lazy plans.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from scoreline.operators import pool, standings
 from scoreline.sources import tables
 
+ONE_PLAYER = "J7"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -37,7 +39,23 @@ def q_total_rows(spark, sf):
 
 
 def q_league_table(spark, sf):
-    return standings.league_table_chain(tables.matches(spark, sf))
+    return _league(spark, sf)
+
+
+def q_league_table_ranked(spark, sf):
+    return standings.ranked(_league(spark, sf))
+
+
+def q_leaderboard_ordered(spark, sf):
+    return pool.leaderboard_ordered(_board(spark, sf))
+
+
+def q_player_row(spark, sf):
+    return pool.player_summary(pool.leaderboard_report(_board(spark, sf)), ONE_PLAYER)
+
+
+def q_player_view(spark, sf):
+    return pool.player_view(pool.pool_table(_league(spark, sf)), tables.participants(spark, sf), ONE_PLAYER)
 
 
 def q_league_table_one_pass(spark, sf):
@@ -80,6 +98,10 @@ QUERIES: dict[str, Query] = {
     "total_rows": q_total_rows,
     "league_table": q_league_table,
     "league_table_one_pass": q_league_table_one_pass,
+    "league_table_ranked": q_league_table_ranked,
+    "leaderboard_ordered": q_leaderboard_ordered,
+    "player_row": q_player_row,
+    "player_view": q_player_view,
     "pool_table": q_pool_table,
     "pool_leaderboard": q_pool_leaderboard,
     "player_detail": q_player_detail,

@@ -82,6 +82,14 @@ def q_match_ids(spark, sf):
                      F.col("away_team"), dates.date_text(F.col("match_date"))).alias("match_key"))
 
 
+def q_match_full_keys(spark, sf):
+    """S13 on the full digest: matches per key, with the uncut phase."""
+    m = phases.with_phase(_seasoned(spark, sf), "competition", F.col("match_date"), F.col("season"))
+    key = ids.match_key(F.col("competition"), F.col("season"), F.col("phase"), F.col("home_team"),
+                        F.col("away_team"), dates.date_text(F.col("match_date")))
+    return m.select(key.alias("match_key"), "phase").groupBy("match_key", "phase").agg(F.count(F.lit(1)).alias("n"))
+
+
 def q_in_window(spark, sf):
     m = tables.matches(spark, sf).withColumn("match_date_text", dates.date_text(F.col("match_date")))
     w = params.params_from_dict(spark, WINDOW_PARAMS)
@@ -112,7 +120,7 @@ def q_clean_team(spark, sf):
     raw = (F.when(F.col("p_partkey") % 3 == 0,
                   F.concat(size, F.lit(". "), F.col("p_name"), F.lit("  "), F.col("p_brand")))
             .when(F.col("p_partkey") % 3 == 1, F.concat(size, F.col("p_name")))
-            .otherwise(F.concat(F.lit("  "), F.col("p_name"), F.lit("   x"))))
+            .otherwise(F.concat(F.lit(" \u00a0"), F.col("p_name"), F.lit("\u00a0 x"))))
     return p.select("p_partkey", raw.alias("raw")).withColumn(
         "team", teams.clean_team(F.col("raw")))
 
@@ -124,6 +132,7 @@ def q_parsed_dates(spark, sf):
     for i, lay in enumerate(DATE_LAYOUTS):
         t = F.date_format(F.col("o_orderdate"), lay)
         text = F.when(fmt == i, t) if text is None else text.when(fmt == i, t)
+    text = F.when(F.col("o_orderkey") % 2 == 1, F.translate(text, " ", "\u00a0")).otherwise(text)
     return o.select("o_orderkey", fmt.alias("fmt"), text.alias("date_text")).select(
         "o_orderkey", "fmt",
         dates.parse_date(F.col("date_text"), F.lit(AS_OF).cast("date")).alias("parsed_date"))
@@ -136,6 +145,7 @@ QUERIES = {
     "season_of_match": q_season_of_match,
     "phase_by_calendar": q_phase_by_calendar,
     "match_ids": q_match_ids,
+    "match_full_keys": q_match_full_keys,
     "in_window": q_in_window,
     "phase_normalized": q_phase_normalized,
     "club_filter": q_club_filter,

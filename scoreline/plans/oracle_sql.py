@@ -1,6 +1,6 @@
 """Reference SQL (DuckDB dialect, ANSI where possible) for each registered
 query.  The driver's tables are pre-registered as views; the adapter and the
-stacked standings views are common table expressions here."""
+standings are common table expressions here."""
 
 from __future__ import annotations
 
@@ -20,45 +20,31 @@ participantes AS (
          concat('T', cast(c_custkey % 40 AS varchar)) AS team
   FROM customer)"""
 
+# Every match seen from both sides; one grouping by side, another over sides.
 STANDINGS = """
-consolidated AS (
-  SELECT competition, home_team, away_team, home_goals, away_goals,
-         CASE WHEN home_goals > away_goals THEN 3 WHEN home_goals = away_goals THEN 1 ELSE 0 END AS home_points,
-         CASE WHEN home_goals < away_goals THEN 3 WHEN home_goals = away_goals THEN 1 ELSE 0 END AS away_points,
-         CASE WHEN home_goals > away_goals THEN 1 ELSE 0 END AS home_win_games,
-         CASE WHEN home_goals = away_goals THEN 1 ELSE 0 END AS draw_games,
-         CASE WHEN away_goals > home_goals THEN 1 ELSE 0 END AS away_win_games
-  FROM matches),
-home AS (
-  SELECT home_team, competition, cast(count(1) AS bigint) AS pj,
-         cast(sum(home_win_games) AS bigint) AS wins, cast(sum(draw_games) AS bigint) AS draws,
-         cast(sum(away_win_games) AS bigint) AS loses, cast(sum(home_goals) AS bigint) AS gf,
-         cast(sum(away_goals) AS bigint) AS ga, cast(sum(home_points) AS bigint) AS home_pts
-  FROM consolidated GROUP BY home_team, competition),
-away AS (
-  SELECT away_team, competition, cast(count(1) AS bigint) AS pj,
-         cast(sum(away_win_games) AS bigint) AS wins, cast(sum(draw_games) AS bigint) AS draws,
-         cast(sum(home_win_games) AS bigint) AS loses, cast(sum(away_goals) AS bigint) AS gf,
-         cast(sum(home_goals) AS bigint) AS ga, cast(sum(away_points) AS bigint) AS away_pts
-  FROM consolidated GROUP BY away_team, competition),
-total AS (
-  SELECT home_team, competition, pj, wins, draws, loses, gf, ga, gf - ga AS gd, home_pts FROM home
+seen AS (
+  SELECT competition, 'home' AS place, home_team AS team, home_goals AS scored, away_goals AS conceded FROM matches
   UNION ALL
-  SELECT away_team, competition, pj, wins, draws, loses, gf, ga, gf - ga AS gd, away_pts FROM away),
-real_table AS (
-  SELECT competition, home_team AS team, cast(sum(pj) AS bigint) AS mp, cast(sum(wins) AS bigint) AS w,
-         cast(sum(draws) AS bigint) AS d, cast(sum(loses) AS bigint) AS l, cast(sum(gf) AS bigint) AS gf,
-         cast(sum(ga) AS bigint) AS ga, cast(sum(gd) AS bigint) AS gd, cast(sum(home_pts) AS bigint) AS pts
-  FROM total GROUP BY competition, home_team),
-apuesta_table AS (
-  SELECT competition, team, mp, w, d, l, cast(w * 2 + d AS bigint) AS pts,
-         cast(rank() OVER (PARTITION BY competition ORDER BY real_table.pts DESC) AS bigint) AS pos
-  FROM real_table),
-reclasificacion AS (
-  SELECT jugador, cast(sum(pts) AS bigint) AS pts,
-         CASE WHEN sum(mp) = 0 THEN NULL ELSE cast(sum(pts) AS double) / cast(sum(mp) AS double) END AS avg
-  FROM participantes a LEFT JOIN apuesta_table ON a.team = apuesta_table.team
-  GROUP BY jugador)"""
+  SELECT competition, 'away', away_team, away_goals, home_goals FROM matches),
+by_place AS (
+  SELECT competition, team, place, cast(count(*) AS bigint) AS played,
+         cast(count_if(scored > conceded) AS bigint) AS won, cast(count_if(scored = conceded) AS bigint) AS drawn,
+         cast(count_if(scored < conceded) AS bigint) AS lost, cast(sum(scored) AS bigint) AS scored,
+         cast(sum(conceded) AS bigint) AS conceded
+  FROM seen GROUP BY ALL),
+league AS (
+  SELECT competition, team, cast(sum(played) AS bigint) AS mp, cast(sum(won) AS bigint) AS w, cast(sum(drawn) AS bigint) AS d,
+         cast(sum(lost) AS bigint) AS l, cast(sum(scored) AS bigint) AS gf, cast(sum(conceded) AS bigint) AS ga,
+         cast(sum(scored - conceded) AS bigint) AS gd, cast(sum(3 * won + drawn) AS bigint) AS pts
+  FROM by_place GROUP BY ALL),
+pool AS (
+  SELECT competition, team, mp, w, d, l, cast(2 * w + d AS bigint) AS pts,
+         (SELECT cast(1 + count(*) AS bigint) FROM league better
+          WHERE better.competition = league.competition AND better.pts > league.pts) AS pos
+  FROM league),
+board AS (
+  SELECT jugador, cast(sum(pts) AS bigint) AS pts, sum(pts) / nullif(cast(sum(mp) AS double), 0) AS avg
+  FROM participantes LEFT JOIN pool USING (team) GROUP BY jugador)"""
 
 
 def with_ctes(*blocks: str) -> str:
@@ -67,33 +53,53 @@ def with_ctes(*blocks: str) -> str:
 
 BASE = with_ctes(ADAPTER, STANDINGS)
 
+_PLACE = """
+SELECT team AS {place}_team, competition, played AS pj, won AS wins, drawn AS draws, lost AS loses, scored AS gf, conceded AS ga,
+       3 * won + drawn AS {place}_pts
+FROM by_place WHERE place = '{place}'"""
+_BOARD = "SELECT jugador, pts, avg, cast(round(cast(avg AS decimal(38,6)), 2) AS double) AS avg_rounded"
+_DETAIL = """
+SELECT jugador, competition, team, mp, w, d, l, pts, pos FROM participantes JOIN pool USING (team) WHERE jugador IS NOT NULL"""
+
 ORACLE: dict[str, str] = {
-    "match_outcomes": BASE + "SELECT * FROM consolidated",
-    "home_table": BASE + "SELECT * FROM home",
-    "away_table": BASE + "SELECT * FROM away",
-    "total_rows": BASE + "SELECT * FROM total",
-    "league_table": BASE + "SELECT * FROM real_table",
-    "league_table_one_pass": BASE + "SELECT * FROM real_table",
-    "pool_table": BASE + "SELECT * FROM apuesta_table",
-    "pool_leaderboard": BASE + """
-SELECT jugador, pts, avg, cast(round(cast(avg AS decimal(38,6)), 2) AS double) AS avg_rounded
-FROM reclasificacion""",
-    "player_detail": BASE + """
-SELECT p.jugador, a.competition, a.team, a.mp, a.w, a.d, a.l, a.pts, a.pos
-FROM apuesta_table a INNER JOIN participantes p ON a.team = p.team
-WHERE p.jugador IS NOT NULL""",
+    "match_outcomes": BASE + """
+SELECT competition, home_team, away_team, home_goals, away_goals,
+       coalesce(3 * cast(home_goals > away_goals AS integer) + cast(home_goals = away_goals AS integer), 0) AS home_points,
+       coalesce(3 * cast(home_goals < away_goals AS integer) + cast(home_goals = away_goals AS integer), 0) AS away_points,
+       coalesce(cast(home_goals > away_goals AS integer), 0) AS home_win_games,
+       coalesce(cast(home_goals = away_goals AS integer), 0) AS draw_games,
+       coalesce(cast(home_goals < away_goals AS integer), 0) AS away_win_games
+FROM matches""",
+    "home_table": BASE + _PLACE.format(place="home"),
+    "away_table": BASE + _PLACE.format(place="away"),
+    "total_rows": BASE + """
+SELECT team AS home_team, competition, played AS pj, won AS wins, drawn AS draws, lost AS loses, scored AS gf, conceded AS ga,
+       scored - conceded AS gd, 3 * won + drawn AS home_pts
+FROM by_place""",
+    "league_table": BASE + "SELECT * FROM league",
+    "league_table_one_pass": BASE + "SELECT * FROM league",
+    "league_table_ranked": BASE + """
+SELECT *, row_number() OVER (PARTITION BY competition ORDER BY pts DESC, gd DESC, gf DESC, team) AS place FROM league""",
+    "pool_table": BASE + "SELECT * FROM pool",
+    "pool_leaderboard": BASE + _BOARD + " FROM board",
+    "leaderboard_ordered": BASE + _BOARD + """,
+       row_number() OVER (ORDER BY pts DESC NULLS LAST, avg DESC NULLS LAST, jugador) AS place
+FROM board""",
+    "player_row": BASE + _BOARD + " FROM board WHERE jugador = 'J7'",
+    "player_detail": BASE + _DETAIL,
+    "player_view": BASE + "SELECT *, row_number() OVER (ORDER BY competition, pos, team) AS place FROM (" + _DETAIL + " AND jugador = 'J7') t",
     "player_competition_summary": BASE + """
-SELECT p.jugador, a.competition, cast(sum(a.mp) AS bigint) AS total_mp, cast(sum(a.w) AS bigint) AS total_w,
-       cast(sum(a.d) AS bigint) AS total_d, cast(sum(a.l) AS bigint) AS total_l,
-       cast(sum(a.pts) AS bigint) AS total_points
-FROM apuesta_table a INNER JOIN participantes p ON a.team = p.team
-WHERE p.jugador IS NOT NULL AND a.competition IS NOT NULL
-GROUP BY p.jugador, a.competition""",
+SELECT jugador, competition, cast(sum(mp) AS bigint) AS total_mp, cast(sum(w) AS bigint) AS total_w,
+       cast(sum(d) AS bigint) AS total_d, cast(sum(l) AS bigint) AS total_l, cast(sum(pts) AS bigint) AS total_points
+FROM participantes JOIN pool USING (team)
+WHERE jugador IS NOT NULL AND competition IS NOT NULL
+GROUP BY ALL""",
     "leaderboard_totals": BASE + """
 SELECT cast(count(*) AS bigint) AS n_players, cast(sum(pts) AS bigint) AS total_points,
-       CASE WHEN count(pts) = 0 THEN NULL ELSE cast(sum(pts) AS double) / cast(count(pts) AS double) END AS mean_points
-FROM reclasificacion""",
-    "player_list": BASE + "SELECT DISTINCT jugador FROM reclasificacion WHERE jugador IS NOT NULL",
+       cast(sum(pts) AS double) / nullif(count(pts), 0) AS mean_points
+FROM board""",
+    "player_list": BASE + """
+SELECT jugador, row_number() OVER (ORDER BY jugador) AS place FROM (SELECT DISTINCT jugador FROM board WHERE jugador IS NOT NULL) t""",
 }
 
 
@@ -134,8 +140,17 @@ def _normalize_phase_sql(t: str) -> str:
             f"ELSE substr(regexp_replace(upper({t}), '[^A-Z0-9_]', '_', 'g'), 1, 30) END")
 
 
+#: any Unicode white space, as a character class of the oracle's dialect
+BLANK = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 def _strip_sql(t: str) -> str:
-    return f"regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({t}, '^{BLANK}+|{BLANK}+$', '', 'g')"
+
+
+def _clean_team_sql(x: str) -> str:
+    inner = f"regexp_replace({x}, '^\\d+\\.?{BLANK}*', '')"
+    return f"regexp_replace({_strip_sql(inner)}, '{BLANK}+', ' ', 'g')"
 
 
 def _is_club_sql(t: str) -> str:
@@ -190,6 +205,11 @@ SELECT match_id, competition, match_date, {season} AS season,
 SELECT competition, season, phase, home_team, away_team, match_date,
        {_match_id_sql('competition', 'season', 'phase', 'home_team', 'away_team', "strftime(match_date, '%Y-%m-%d')")} AS match_key
 FROM (SELECT *, {season} AS season, {_phase_case('competition', 'match_date', sy)} AS phase FROM matches) m"""
+    out["match_full_keys"] = BASE + f"""
+SELECT md5(concat_ws('|', competition, season, phase, home_team, away_team, strftime(match_date, '%Y-%m-%d'))) AS match_key,
+       phase, cast(count(*) AS bigint) AS n
+FROM (SELECT *, {season} AS season, {_phase_case('competition', 'match_date', sy)} AS phase FROM matches) m
+GROUP BY ALL"""
     wp = fq.WINDOW_PARAMS
     out["in_window"] = BASE + f"""
 SELECT match_id, competition, match_date,
@@ -211,12 +231,11 @@ SELECT p_partkey, label, {_is_club_sql('label')} AS is_club FROM (
          ELSE {_list(fq.CLUB_SAMPLES)}[p_partkey % {n} + 1] END AS label
   FROM part) t"""
     out["clean_team"] = f"""
-SELECT p_partkey, raw,
-       regexp_replace({_strip_sql("regexp_replace(raw, '^\\d+\\.?\\s*', '')")}, '\\s+', ' ', 'g') AS team
+SELECT p_partkey, raw, {_clean_team_sql('raw')} AS team
 FROM (SELECT p_partkey,
         CASE p_partkey % 3 WHEN 0 THEN concat(cast(p_size AS varchar), '. ', p_name, '  ', p_brand)
                            WHEN 1 THEN concat(cast(p_size AS varchar), p_name)
-                           ELSE concat('  ', p_name, '   x') END AS raw
+                           ELSE concat(' ', chr(160), p_name, chr(160), ' x') END AS raw
       FROM part) t"""
     nl = len(fq.DATE_LAYOUTS)
     asof = fq.AS_OF
@@ -270,10 +289,32 @@ FROM feed WHERE NOT bad_date AND NOT bad_goals"""
 SELECT file_name, cast(count(*) FILTER (WHERE NOT bad_date AND NOT bad_goals) AS bigint) AS rows_inserted,
        cast(count(*) FILTER (WHERE bad_date OR bad_goals) AS bigint) AS rows_rejected,
        CASE WHEN count(*) FILTER (WHERE bad_date OR bad_goals) = 0 THEN 'SUCCESS' ELSE 'PARTIAL' END AS status
-FROM feed GROUP BY file_name"""
+FROM feed GROUP BY file_name
+UNION ALL SELECT * FROM (VALUES ('UCL_empty_matches.csv', 0, 0, 'SUCCESS'), ('UEL_header_matches.csv', 0, 0, 'SUCCESS'),
+                                ('UECL_broken_matches.csv', 0, 0, 'ERROR: unreadable file'))"""
+    out["load_count"] = base + """
+SELECT cast(count(*) AS bigint) AS n_rows, cast(count(*) AS bigint) AS n_stamped FROM feed WHERE NOT bad_date AND NOT bad_goals"""
+    out["new_files"] = base + """
+SELECT 'batch2' AS batch, file_name, cast(count(*) AS bigint) AS rows FROM feed WHERE competition <> 'UEL' GROUP BY file_name"""
+    landed = """
+landed AS (
+  SELECT DISTINCT file_name FROM feed
+  UNION ALL VALUES ('UCL_empty_matches.csv'), ('UEL_header_matches.csv'), ('UECL_broken_matches.csv'))"""
+    names = with_ctes(ADAPTER, feed, landed)
+    out["file_inventory"] = names + """
+SELECT file_name, row_number() OVER (ORDER BY file_name) AS place, greatest(count(*) OVER () - 4, 0) AS n_more
+FROM landed QUALIFY place <= 4"""
+    out["publish_status"] = names + """
+SELECT CASE WHEN file_name LIKE 'UECL%' THEN 'uploaded' ELSE 'skipped' END AS status, cast(count(*) AS bigint) AS n_files
+FROM landed GROUP BY ALL"""
+    out["retired_names"] = names + """
+SELECT CASE WHEN file_name LIKE 'UECL%' THEN file_name || '_OLD.gz' ELSE replace(file_name, '.csv', '_OLD.csv') END AS file_name
+FROM landed UNION ALL VALUES ('UCL_champions_league_matches.csv_OLD.gz')"""
     out["rejected_rows"] = base + """
 SELECT file_name, feed_id AS match_id,
-       CASE WHEN bad_date THEN strftime(match_date, '%d/%m/%Y') ELSE strftime(match_date, '%Y-%m-%d') END AS raw_match_date,
+       CASE WHEN NOT bad_date THEN strftime(match_date, '%Y-%m-%d')
+            ELSE CASE l_linenumber % 3 WHEN 0 THEN strftime(match_date, '%d/%m/%Y') WHEN 1 THEN strftime(match_date, '%Y')
+                 ELSE strftime(match_date, '%Y-%m-%d') || ' or later' END END AS raw_match_date,
        cast(home_goals AS varchar) AS raw_home_goals,
        CASE WHEN bad_goals THEN concat(cast(away_goals AS varchar), '.5') ELSE cast(away_goals AS varchar) END AS raw_away_goals,
        CASE WHEN bad_date THEN 'bad match_date' ELSE 'bad away_goals' END AS reject_reason
@@ -291,12 +332,13 @@ ORACLE.update(_ingest_oracles())
 def _sequence_oracles() -> dict[str, str]:
     from scoreline.plans import sequence_queries as sq
     out = {}
+    events = f"(SELECT * REPLACE (CASE WHEN event_id % {sq.NO_USER_EVERY} <> 0 THEN user_id END AS user_id) FROM events)"
     out["carry_forward_date"] = f"""
 SELECT event_id, user_id,
        coalesce(last_value(CASE WHEN event_type = {_q(sq.DATE_EVENT)} THEN cast(ts AS date) END IGNORE NULLS)
                 OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
                 DATE {_q(sq.AS_OF)}) AS match_date
-FROM events"""
+FROM {events} ev"""
     arms = " ".join(f"WHEN event_type = {_q(k)} THEN {_q(v)}" for k, v in sq.PHASE_TEXT_BY_EVENT.items())
     c = sq.COMPETITION_BY_USER
     comp = f"CASE user_id % 3 WHEN 0 THEN {_q(c[0])} WHEN 1 THEN {_q(c[1])} ELSE {_q(c[2])} END"
@@ -305,7 +347,7 @@ FROM events"""
 WITH e AS (
   SELECT event_id, user_id, ts, CASE {arms} END AS txt,
          {_phase_case('comp', d, _season_year_sql(d))} AS inferred
-  FROM (SELECT *, {comp} AS comp FROM events) x),
+  FROM (SELECT *, {comp} AS comp FROM {events} ev) x),
 f AS (
   SELECT *, CASE WHEN txt IS NOT NULL AND txt <> '' THEN {_normalize_phase_sql('txt')} END AS explicit FROM e),
 g AS (
@@ -330,49 +372,67 @@ ORACLE.update(_sequence_oracles())
 # Extraction
 # ---------------------------------------------------------------------------
 
-def _clean_team_sql(x: str) -> str:
-    inner = f"regexp_replace({x}, '^\\d+\\.?\\s*', '')"
-    return f"regexp_replace({_strip_sql(inner)}, '\\s+', ' ', 'g')"
-
-
 def _extract_oracles() -> dict[str, str]:
     from scoreline.plans import extract_queries as xq
     out = {}
     order = "l_linenumber, l_partkey, l_suppkey, away_goals, home_goals, match_date"
     hdr = " ".join(f"WHEN {r} THEN {_normalize_phase_sql(_q(t))}" for r, t in xq.HEADER_BY_ORDER.items())
-    hdr_keys = ", ".join(str(r) for r in xq.HEADER_BY_ORDER)
-    out["match_extract_html"] = with_ctes(ADAPTER) + f""",
-el AS (
-  SELECT *, strftime(match_date, '%Y-%m-%d') AS dtxt, concat('FC ', home_team) AS h,
-         concat('FC ', away_team) AS a, {_season_sql('match_date')} AS season,
-         {_season_year_sql('match_date')} AS sy,
-         -- more than 10 elements whose class contains 'event' (matches, plus the header if
-         -- any): each element is read on its own, so the page header is not seen
-         CASE WHEN n_on_page + CASE WHEN l_orderkey % 4 IN ({hdr_keys}) THEN 1 ELSE 0 END > 10
-              THEN NULL ELSE CASE l_orderkey % 4 {hdr} END END AS explicit
-  FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n_on_page FROM matches) m
-  WHERE home_goals IS NOT NULL),
-st AS (
-  SELECT *, coalesce(explicit,
-           first_value(nullif({_phase_case('competition', 'match_date', 'sy')}, 'UNKNOWN') IGNORE NULLS)
-             OVER (PARTITION BY l_orderkey ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-           'UNKNOWN') AS phase
-  FROM el)
-SELECT {_match_id_sql('competition', 'season', 'phase', 'h', 'a', 'dtxt')} AS match_id, competition, season,
-       phase, dtxt AS match_date, h AS home_team, a AS away_team, home_goals, away_goals
-FROM st"""
+    run = f"(PARTITION BY l_orderkey ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+    def read_pages(season: str | None = None, keep: str = "true") -> str:
+        """Match rows of the rendered result pages, with page and place."""
+        return with_ctes(ADAPTER) + f""",
+lines AS (
+  SELECT *, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY {order}) - 1 AS integer) AS pos,
+         concat('FC ', home_team) AS h, concat('FC ', away_team) AS a,
+         CASE WHEN l_orderkey % 2 = 0 OR l_linenumber % 4 <> 3 THEN match_date END AS found,
+         CASE WHEN l_orderkey % 2 = 0 THEN CASE l_orderkey % 4 {hdr} END
+              WHEN l_partkey % 7 = 0 THEN {_normalize_phase_sql(_q(xq.INNER_PHASE))} END AS explicit
+  FROM matches),
+dated AS (
+  SELECT *, coalesce(last_value(found IGNORE NULLS) OVER {run}, DATE '{xq.AS_OF}') AS on_date,
+         count(explicit) OVER {run} AS seg, last_value(explicit IGNORE NULLS) OVER {run} AS base
+  FROM lines WHERE home_goals IS NOT NULL),
+seasoned AS (
+  SELECT *, {_season_sql('on_date') if season is None else season} AS season,
+         {_season_year_sql('on_date') if season is None else f"try_cast(left({season}, 4) AS integer)"} AS sy FROM dated),
+inferred AS (SELECT *, {_phase_case('competition', 'on_date', 'sy')} AS inf FROM seasoned),
+phased AS (
+  SELECT *, coalesce(base, first_value(nullif(inf, 'UNKNOWN') IGNORE NULLS)
+             OVER (PARTITION BY l_orderkey, seg ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'UNKNOWN') AS phase
+  FROM inferred),
+found_matches AS (
+  SELECT l_orderkey AS page_id, pos, {_match_id_sql('competition', 'season', 'phase', 'h', 'a', "strftime(on_date, '%Y-%m-%d')")} AS match_id,
+         competition, season, phase, strftime(on_date, '%Y-%m-%d') AS match_date, h AS home_team, a AS away_team, home_goals, away_goals
+  FROM phased WHERE {keep})
+"""
+    out["match_extract_html"] = read_pages() + "SELECT * EXCLUDE (page_id, pos) FROM found_matches"
+    out["extract_limited"] = read_pages() + f"""
+SELECT * FROM found_matches
+QUALIFY row_number() OVER (PARTITION BY competition ORDER BY page_id, pos) <= {xq.LIMIT}"""
+    # UCL has a window, UEL a malformed one (nothing passes), UECL none
+    out["extract_with_params"] = read_pages(
+        f"CASE competition WHEN 'none' THEN NULL ELSE {_q(xq.PARAMS['SEASON'])} END",
+        "competition = 'UECL' OR (competition = 'UCL' AND on_date BETWEEN DATE '1995-01-05' AND DATE '1996-06-30')"
+    ) + "SELECT * EXCLUDE (page_id, pos) FROM found_matches"
+    out["page_extract_counters"] = read_pages() + """
+SELECT p.page_id, coalesce(c.competition, 'UCL') AS competition, coalesce(c.n, 0) AS n_elements, coalesce(c.ok, 0) AS n_extracted,
+       cast(0 AS bigint) AS n_no_teams, coalesce(c.n - c.ok, 0) AS n_no_score, cast(0 AS bigint) AS n_failed, cast(0 AS bigint) AS n_broad
+FROM pages p LEFT JOIN (
+  SELECT l_orderkey, competition, cast(count(*) AS bigint) AS n, cast(count(home_goals) AS bigint) AS ok
+  FROM matches GROUP BY l_orderkey, competition) c ON p.page_id = c.l_orderkey"""
     texts = with_ctes(ADAPTER) + """,
 t AS (
   SELECT match_id,
     CASE l_linenumber % 3
-      WHEN 0 THEN concat_ws(' | ', concat('FC ', home_team), concat('FC ', away_team), cast(home_goals AS varchar),
+      WHEN 0 THEN concat_ws(' | ', concat('FC', chr(160), home_team), concat('FC ', away_team, chr(160)), cast(home_goals AS varchar),
                             cast(away_goals AS varchar), strftime(match_date, '%d.%m.'))
       WHEN 1 THEN concat_ws(' | ', concat(cast(l_linenumber AS varchar), '. ', home_team),
-                            cast(home_goals AS varchar) || ':' || cast(away_goals AS varchar), away_team)
+                            cast(home_goals AS varchar) || chr(160) || ':' || chr(160) || cast(away_goals AS varchar), away_team)
       ELSE concat_ws(' | ', strftime(match_date, '%d.%m.%Y'), home_team, away_team,
                      cast(home_goals AS varchar) || ' - ' || cast(away_goals AS varchar)) END AS full_text
   FROM matches),
-p AS (SELECT *, list_transform(string_split(full_text, '|'), lambda x: trim(x)) AS parts FROM t)"""
+p AS (SELECT *, list_transform(string_split(full_text, '|'), lambda x: """ + _strip_sql("x") + """) AS parts FROM t)"""
     cand = ("list_filter(parts, lambda x: NOT regexp_full_match(x, '[0-9]+') "
             "AND NOT regexp_matches(x, '^[0-9]{1,2}\\.[0-9]{1,2}') AND length(x) > 2)")
     out["teams_from_text"] = texts + f""",
@@ -391,7 +451,7 @@ SELECT match_id, full_text, home_candidate, away_candidate,
                 AND (CASE WHEN fix THEN cands[1] ELSE hc END) <> (CASE WHEN fix THEN second_distinct ELSE ac END),
                 false) AS teams_ok
 FROM r"""
-    colon, pipe = "'(\\d+)\\s*[:]\\s*(\\d+)'", "'(\\d+)\\s*[|]\\s*(\\d+)'"
+    colon, pipe = f"'(\\d+){BLANK}*[:]{BLANK}*(\\d+)'", f"'(\\d+){BLANK}*[|]{BLANK}*(\\d+)'"
     out["score_from_text"] = texts + f""",
 s AS (
   SELECT *, nullif(regexp_extract(full_text, {colon}, 1), '') AS c1h, nullif(regexp_extract(full_text, {colon}, 2), '') AS c1a,
@@ -400,8 +460,8 @@ s AS (
          nullif(regexp_extract(full_text, {pipe}, 1), '') AS c3h, nullif(regexp_extract(full_text, {pipe}, 2), '') AS c3a
   FROM p)
 SELECT match_id, full_text,
-       try_cast(coalesce(c1h, parts[idx], c3h) AS integer) AS home_goals,
-       try_cast(coalesce(c1a, parts[idx + 1], c3a) AS integer) AS away_goals,
+       try_cast(coalesce(c1h, parts[idx], c3h) AS bigint) AS home_goals,
+       try_cast(coalesce(c1a, parts[idx + 1], c3a) AS bigint) AS away_goals,
        CASE WHEN c1h IS NOT NULL THEN 'colon' WHEN idx IS NOT NULL THEN 'adjacent'
             WHEN c3h IS NOT NULL THEN 'pipe' END AS score_rule
 FROM s"""
@@ -432,6 +492,16 @@ SELECT {_match_id_sql('competition', 'season', 'phase', 'home_team', 'away_team'
        competition, season, phase, match_date, home_team, away_team, home_goals, away_goals
 FROM f
 WHERE length(home_team) > 2 AND length(away_team) > 2 AND {_is_club_sql('home_team')} AND {_is_club_sql('away_team')}"""
+    regular = f"""
+  SELECT {_match_id_sql('competition', 'season', 'phase', 'h', 'a', 'dtxt')} AS match_id, competition, season, phase, dtxt AS match_date,
+         h AS home_team, a AS away_team, home_goals, away_goals
+  FROM (SELECT *, coalesce(first_value(nullif({_phase_case('competition', 'match_date', _season_year_sql('match_date'))}, 'UNKNOWN') IGNORE NULLS)
+                    OVER {run}, 'UNKNOWN') AS phase, {_season_sql('match_date')} AS season, strftime(match_date, '%Y-%m-%d') AS dtxt,
+               concat('FC ', home_team) AS h, concat('FC ', away_team) AS a
+        FROM matches WHERE home_goals IS NOT NULL AND l_orderkey % 3 <> 0) x"""
+    out["extract_fallback"] = out["broad_text_matches"].replace(
+        "FROM matches GROUP BY l_orderkey, competition)", "FROM matches WHERE l_orderkey % 3 = 0 GROUP BY l_orderkey, competition)"
+    ) + " UNION ALL " + regular
     out["single_element_matches"] = with_ctes(ADAPTER) + f""",
 f AS (
   SELECT *, first_value(match_date) OVER (PARTITION BY l_orderkey ORDER BY {order}

@@ -25,21 +25,17 @@ ADAPTER_NULL_GOAL_EVERY = 97
 ADAPTER_PICK_SLOTS = 40
 
 
+#: session setting: partitions to deal small scans out to (absent: as scanned)
+SCAN_PARTITIONS = "scoreline.scan.partitions"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rebalance a scan that yields fewer splits than there are cores, for
-    CPU-heavy row-wise work (rendering, hashing, text rules).
-
-    A file written as one large row group is read by a single task, and
-    every row-wise expression before the first exchange then runs on one
-    core.  Such a scan is repartitioned round-robin to the default
-    parallelism.  A scan that already has enough splits -- any large input
-    on a cluster -- is returned unchanged, so no shuffle is added at scale.
-    Callers opt in only for CPU-heavy row-wise plans.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    """Deal a scan out to as many partitions as the session's
+    ``scoreline.scan.partitions`` says, for CPU-heavy row-wise work on a file
+    that one task would read alone (one large row group).  Without the setting,
+    as on any large input, the scan stays as it is and no shuffle is added."""
+    n = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,7 +71,7 @@ def match_feed_columns(li: DataFrame) -> DataFrame:
 
 def matches(spark: SparkSession, sf_dir: str, keep_keys: bool = False,
             balanced: bool = False) -> DataFrame:
-    """Typed match table derived from ``lineitem`` (``balanced``: see
+    """Typed match table derived from ``lineitem`` (``balanced``: through
     ``spread``; for CPU-heavy row-wise plans, not for aggregations)."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate")

@@ -1,15 +1,6 @@
 from pyspark.sql import functions as F
 
 from scoreline.operators import pool, standings
-from scoreline.operators.ranking import rank_desc
-
-
-def test_rank_matches_sql_rank(spark):
-    df = spark.createDataFrame(
-        [("X", "a", 15), ("X", "b", 15), ("X", "c", 14), ("X", "d", 21), ("Y", "e", 3), ("Y", "f", None)],
-        "g string, team string, v int")
-    got = {r.team: r.pos for r in rank_desc(df, ["g"], "v", "pos").collect()}
-    assert got == {"d": 1, "a": 2, "b": 2, "c": 4, "e": 1, "f": 2}
 
 
 def test_pool_positions_use_league_points(spark, mk_matches):
@@ -50,11 +41,20 @@ def test_player_filter_pushed_to_picks(spark):
     sf = "/root/testdata/sf0.001"
     d = pool.player_detail(pool.pool_table(standings.league_table(tables.matches(spark, sf))),
                            tables.participants(spark, sf), jugador="J3")
-    plan = d._jdf.queryExecution().optimizedPlan().toString()
-    assert "J3" in plan
+    plan = d._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(i for i, x in enumerate(plan) if "Join Inner" in x)
+    assert any("= J3" in x and "Filter" in x for x in plan[join:])     # below the join
     assert d.where(F.col("jugador") != "J3").count() == 0
 
 
+def test_orders_as_places(spark):
+    board = spark.createDataFrame([("b", 4, 1.0), ("a", 4, 1.0), ("c", None, None), ("d", 4, 2.0)], "jugador string, pts bigint, avg double")
+    assert [r.jugador for r in pool.leaderboard_ordered(board).orderBy("place").collect()] == ["d", "a", "b", "c"]
+    assert [r.jugador for r in pool.player_list(board.union(board)).orderBy("place").collect()] == ["a", "b", "c", "d"]
+    league = spark.createDataFrame([("X", "p", 3, 0, 1), ("X", "q", 3, 1, 1), ("Y", "r", 0, 0, 0)], "competition string, team string, pts int, gd int, gf int")
+    assert {r.team: r.place for r in standings.ranked(league).collect()} == {"q": 1, "p": 2, "r": 1}
+
+
 def test_flagship_scans_matches_once(spark):
     import __spark_entry__ as E
     plan = E.queries()["pool_leaderboard"](spark, "/root/testdata/sf0.001")._jdf \

@@ -9,11 +9,11 @@ def test_scratch_lives_under_session_checkpoint_dir(spark):
     assert a.startswith(root.replace("file:", "")) and a != b
 
 
-def test_spread_only_when_too_few_splits(spark):
-    cores = spark.sparkContext.defaultParallelism
-    many = spark.range(0, 1000, numPartitions=cores * 2)
-    assert tables.spread(many) is many                  # enough splits: unchanged, no shuffle
+def test_spread_only_when_the_session_says_so(spark):
     one = spark.range(0, 1000, numPartitions=1)
-    spread = tables.spread(one)
-    assert spread.rdd.getNumPartitions() == cores
-    assert sorted(r.id for r in spread.collect()) == list(range(1000))
+    assert tables.spread(one) is one                     # no setting: no shuffle
+    spark.conf.set(tables.SCAN_PARTITIONS, "5")
+    try:
+        assert tables.spread(one).rdd.getNumPartitions() == 5
+    finally:
+        spark.conf.unset(tables.SCAN_PARTITIONS)

@@ -134,4 +134,16 @@ ruled AS (
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled""",
+    # the given pages' own form: article, headings and paragraphs; the operator reads any page
+    "op2_html_text": r"""
+WITH article AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS a FROM pages),
+blocks AS (
+  SELECT page_id, url, list_filter(list_transform(regexp_split_to_array(a, '</?(h1|p)>'), lambda b:
+    trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(b, '<[^>]*>', ' ', 'g'),
+         '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'),
+         '[\s\x{a0}]+', ' ', 'g'))), lambda b: b <> '') AS b
+  FROM article)
+SELECT page_id, url, array_to_string(b, chr(10)) AS text, cast(length(array_to_string(b, chr(10))) AS bigint) AS n_chars
+FROM blocks""",
 }

@@ -3,13 +3,11 @@
 Everything that must outlive a task (written tables, checkpoints, landing
 directories used by the file stream) lives under ``spark.checkpoint.dir``,
 which on a cluster names a shared filesystem.  The session value is always
-read first; a private directory is created only when nothing is configured
-(local runs and tests).
+read first; only a local session that names none gets a private directory.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -57,25 +55,21 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the session.
 
-    When the session names none (local mode, tests) a private folder is
-    created and registered, so later calls and ``DataFrame.checkpoint``
-    agree on it.
+    Only a local session (tests, a bench) may name none: it gets a private
+    folder, registered so that later calls and ``DataFrame.checkpoint`` agree.
+    On a cluster executors could not see such a folder, so there it is an error.
     """
-    root = spark.conf.get(_CKPT_KEY, None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    root = spark.conf.get(_CKPT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {_CKPT_KEY} to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="scoreline-ckpt-")
         spark.conf.set(_CKPT_KEY, root)
-        spark.sparkContext.setCheckpointDir(root)
-    elif spark.sparkContext.getCheckpointDir() is None:
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh, unique sub-path of the shared checkpoint folder."""
-    root = checkpoint_root(spark)
-    if root.startswith("file:"):
-        root = root[len("file:"):]
-    return os.path.join(root, f"{label}-{uuid.uuid4().hex[:12]}")
+    return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"

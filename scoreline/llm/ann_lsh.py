@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,6 @@ PART_ROWS, SALT_ROWS = 20_000, 4_000
 BLOCK = 1 << 22                       # numbers in one block of differences
 
 
-@lru_cache(maxsize=4)
 def probe_order(hashes: int) -> np.ndarray:
     """Every perturbation, best first, as rows of 0/1 over the ranks of a query's
     border distances; rank r and rank 2 * hashes - 1 - r are one projection."""
@@ -69,7 +67,7 @@ class Tables:
         self.lines = rng.normal(size=(tables, hashes, dim))
         self.shift = rng.uniform(0, 1, size=(tables, hashes))
         self.salt = rng.integers(1, 2**62, size=(tables, hashes), dtype=np.int64) | 1
-        self.width, self.probes = width, probes
+        self.width, self.order = width, probe_order(hashes)[:probes].astype(np.int64)
 
     def cells(self, vectors: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
         """Cell numbers and places inside the cells, from 0 to 1."""
@@ -91,7 +89,7 @@ class Tables:
         sign = np.where(order < h, -1, 1)
         move = np.zeros((len(place), 2 * h, h), np.int64)
         np.put_along_axis(move, (order % h)[:, :, None], sign[:, :, None], 2)
-        return probe_order(h)[:self.probes].astype(np.int64) @ move
+        return self.order @ move
 
     def query_keys(self, vectors: np.ndarray) -> np.ndarray:
         keys = []

@@ -335,14 +335,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Ids may be null or repeat; extra columns are ignored; no rows give none."""
     small_batches(docs.sparkSession, 500)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(model)
         for batch in batches:
             top, spans = scorer(batch.column("text").to_pylist())
-            value = shared.value.score(top)
+            value = model.score(top)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(value), pa.array((value >= threshold).astype(np.int32)), pa.array(spans, span)],
                 ["id", "score", "predicted", "spans"])
@@ -355,13 +354,12 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     """The rows of ``docs``, all their columns, that score below ``threshold``;
     null texts are empty."""
     small_batches(docs.sparkSession, 500)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(model)
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             top, _ = scorer(texts)
-            yield batch.filter(pa.array(shared.value.score(top) < threshold))
+            yield batch.filter(pa.array(model.score(top) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

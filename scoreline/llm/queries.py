@@ -57,8 +57,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), packing.word_tokens(F.col("text")))
-    return packed.drop("text")
+    # lengths are taken at the scan, so that no text travels to be dropped at the end
+    sized = table(spark, sf_dir, "documents").select("doc_id", packing.word_tokens(F.col("text")).alias("words"))
+    return packing.pack(sized, F.col("words")).drop("words")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ home goals (empty field, loaded as NULL)."""
 
 from __future__ import annotations
 
+import gzip
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,7 @@ def raw_feed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 EMPTY_FILE, HEADER_FILE, BROKEN_FILE = ("UCL_empty_matches.csv", "UEL_header_matches.csv", "UECL_broken_matches.csv.gz")
+CUT_FILE = "UECL_broken_00001_matches.csv.gz"
 RETIRED_FILE = "UCL_champions_league_matches.csv_OLD.gz"
 
 
@@ -68,7 +71,8 @@ def _put(spark: SparkSession, path: str, content: bytes) -> None:
 
 def _landing(spark: SparkSession, sf: str, label: str) -> str:
     """A landing folder: the feed (UECL compressed), an empty file, one with a
-    header alone, a broken archive and a retired file that must not be read."""
+    header alone, a broken archive, one cut off midway and a retired file that must
+    not be read."""
     land = f"{scratch_path(spark, label)}/landing"
     feed = raw_feed(spark, sf)
     csv_ingest.write_match_csv(feed.where(F.col("competition") != "UECL"), land)
@@ -77,6 +81,9 @@ def _landing(spark: SparkSession, sf: str, label: str) -> str:
     _put(spark, f"{land}/{EMPTY_FILE}", b"")
     _put(spark, f"{land}/{HEADER_FILE}", header)
     _put(spark, f"{land}/{BROKEN_FILE}", b"\x1f\x8b\x08 this is no archive")
+    lines = b"".join(b"cut%d,UECL,,,,A%d,B,1,%d\n" % (i, i * 7919 % 9973, i % 7) for i in range(20_000))
+    cut = gzip.compress(header + lines, mtime=0)
+    _put(spark, f"{land}/{CUT_FILE}", cut[:len(cut) // 2])
     _put(spark, f"{land}/{RETIRED_FILE}", header + b"x,UCL,,,,A,B,1,1\n")
     return land
 
@@ -84,8 +91,8 @@ def _landing(spark: SparkSession, sf: str, label: str) -> str:
 def _roundtrip(spark: SparkSession, sf: str) -> str:
     land = _landing(spark, sf, "csv-load")
     glob = landing.MATCH_FILE_GLOB
-    raw = _source_name(csv_ingest.read_raw(spark, land, glob=glob))
     files = csv_ingest.with_readable(spark, landing.list_files(spark, land), land, glob=glob)
+    raw = _source_name(csv_ingest.read_raw(spark, land, glob=glob, listing=files))
     root = f"{land}-table"
     csv_ingest.full_refresh(spark, raw, root, key="source_file", listing=_source_name(files))
     return root

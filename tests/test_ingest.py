@@ -84,6 +84,27 @@ def test_full_refresh_log_and_duplicates(spark, tmp_path):
     assert csv_ingest.matches_table(spark, root).count() == 9
 
 
+def test_file_cut_off_midway_is_not_loaded(spark, tmp_path):
+    d = _land(tmp_path)
+    body = HEADER + "".join(f"k{i},UCL,s,p,2025-10-01,A{i * 7919 % 9973},B,1,{i % 7}\n" for i in range(20_000))
+    packed = gzip.compress(body.encode())
+    for name, content in {"UCL_cut [1]_matches.csv.gz": packed[:len(packed) // 2], "UEL_flip_matches.csv.gz": packed[:-6] + b"\0\0" + packed[-4:],
+                          "UEL_two_matches.csv.gz": packed + gzip.compress(b"k,UEL,s,p,2025-10-01,A,B,1,1\n"),
+                          "UEL_odd [2]_matches.csv": (HEADER + "o,UEL,s,p,,A,B,1,1\n").encode(),
+                          "UEL_bom_matches.csv": b"\xef\xbb\xbf" + HEADER.replace("\n", "\r\n").encode() + b"b,UEL,s,p,,A,B,1,1"}.items():
+        with open(f"{d}/{name}", "wb") as f:
+            f.write(content)
+    glob, root = landing.MATCH_FILE_GLOB, str(tmp_path / "table")
+    files = csv_ingest.with_readable(spark, landing.list_files(spark, d), d, glob=glob)
+    res = csv_ingest.full_refresh(spark, csv_ingest.read_raw(spark, d, glob=glob, listing=files), root, listing=files)
+    log = {r.file_name: (r.rows_inserted, r.status) for r in spark.read.parquet(res.log_path).collect()}
+    assert log["UCL_cut [1]_matches.csv.gz"] == log["UEL_flip_matches.csv.gz"] == (0, "ERROR: unreadable file")
+    assert log["UEL_two_matches.csv.gz"] == (20_001, "SUCCESS") and log["UEL_bom_matches.csv"] == (1, "SUCCESS")
+    assert res.rows_loaded == 9 + 20_001 + 2 == csv_ingest.matches_table(spark, root).count()
+    assert csv_ingest.read_raw(spark, d, glob=glob).count() == 12 + 20_001 + 2
+    assert csv_ingest.read_raw(spark, d, glob="UCL_cut*").count() == 0
+
+
 def test_strict_dates_and_line_breaks(spark, tmp_path):
     (tmp_path / "UCL_x_matches.csv").write_text(HEADER + "".join(
         f'd{i},UCL,s,p,{d},"A\nB",C,1,1\n' for i, d in enumerate(["2025-10-01 garbage", "2025", "2025-1-5", "2025-02-31", ""])))

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreline.llm.common import UPPER, partitions, small_batches, stored
@@ -56,16 +56,22 @@ def text_fingerprint(raw: bytes, shingle: int = SHINGLE, block: int = 1 << 15) -
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp bigint) of every row, over the whole text; null text is empty."""
+    """(id, fp bigint, tie bigint: a hash of the text) of every row, over the whole
+    text; null text is empty."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([text_fingerprint(t.as_buffer().to_pybytes(), shingle) for t in batch.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps.view(np.int64)), batch.column("tie")], ["id", "fp", "tie"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint")
+    text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), _text_hash(text_col).alias("tie"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint, tie bigint")
+
+
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def _vantage(points: np.ndarray, tries: int = 8) -> tuple[np.uint64, int, np.ndarray] | None:
@@ -190,6 +196,17 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
+def _with_component(prints: DataFrame) -> DataFrame:
+    """``prints`` (id, fp, ...) with the component_id of each fingerprint."""
+    classes = stored(prints.groupBy("fp").agg(F.min("id").alias("low")), "simhash-classes")
+    linked = components(class_links(classes))
+    named = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "low", F.coalesce("root", "fp").alias("root"))
+    heads = named.where("root is not null").groupBy("root").agg(F.min("low").alias("component_id"))
+    named = stored(named.join(heads, "root").select("fp", "root", "component_id"), "simhash-named")
+    return prints.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row per input row: id_col, fingerprint (16 hex digits), component_id.
 
@@ -200,24 +217,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     come back as often as they came; extra columns are ignored; no rows give
     none.
     """
-    prints = stored(fingerprints(docs, id_col, text_col, shingle), "simhash-prints")
-    classes = stored(prints.groupBy("fp").agg(F.min("id").alias("low")), "simhash-classes")
-    linked = components(class_links(classes))
-    named = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root"))
-    heads = named.where("root is not null").groupBy("root").agg(F.min("low").alias("component_id"))
-    named = stored(named.join(heads, "root").select("fp", "component_id"), "simhash-named")
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+    prints = stored(fingerprints(docs, id_col, text_col, shingle).select("id", "fp"), "simhash-prints")
+    return _with_component(prints).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                                            "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` whose id names their component; of rows that repeat
-    an id and its text one stays.  Rows with a null id stay."""
-    named = near_duplicates(docs, id_col, text_col, shingle)
-    gone = named.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    """One row of ``docs`` for each component: that of its smallest id, of rows with
+    that id the one of the smallest text hash.  Rows with a null id stay."""
+    prints = stored(fingerprints(docs, id_col, text_col, shingle), "simhash-prints")
+    named = _with_component(prints).where("id is not null")
+    heads = named.groupBy("root").agg(F.min(F.struct("id", "tie")).alias("head")).select("head.id", "head.tie")
     columns = docs.columns
-    left = docs.join(gone, id_col, "left_anti").select(F.struct(*columns).alias("row"), F.col(id_col).alias("id"),
-                                                       F.xxhash64(F.col(text_col)).alias("tie"))
+    rows = docs.select(F.struct(*columns).alias("row"), F.col(id_col).alias("id"), _text_hash(text_col).alias("tie"))
+    left = rows.join(heads, ["id", "tie"], "left_semi")
     again = F.row_number().over(Window.partitionBy("id", "tie").orderBy("id"))
-    return left.withColumn("again", again).where((F.col("again") == 1) | F.col("id").isNull()).select("row.*")
+    left = left.withColumn("again", again).where(F.col("again") == 1).select("row.*")
+    return left.union(docs.where(F.col(id_col).isNull()))

@@ -101,3 +101,13 @@ def test_near_duplicates(spark):
     kept = S.drop_near_duplicates(df.union(df.where("doc_id = 20")))
     assert kept.columns == df.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, c in zip(ids, comp) if i is None or low[c] == i)
+
+
+def test_one_row_of_each_component_where_ids_repeat_with_other_texts(spark):
+    rng = random.Random(4)
+    a, b, c = (" ".join(f"{x}{rng.randint(0, 9999)}" for _ in range(60)) for x in "abc")
+    near = c.upper()                                     # another text of the same fingerprint
+    rows = [(5, a), (7, a), (3, b), (5, b), (8, c), (8, near), (8, c), (8, near), (None, a), (None, a)]
+    kept = S.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    got = sorted((str(r.doc_id), r.text.lower()) for r in kept)
+    assert got == sorted([("5", a), ("3", b), ("8", c), ("None", a), ("None", a)])

@@ -1,8 +1,7 @@
 """Packing into optimal length buckets.
 
-1. One aggregation gives the histogram of lengths over all rows.  Lengths of
-   512 and more are rounded up to 256 steps per power of two, so the histogram
-   has a few thousand entries whatever the corpus.
+1. One aggregation gives the histogram of the lengths themselves over all rows:
+   one entry for each distinct length.
 2. Dynamic programming over the histogram chooses the bucket boundaries with
    the least padding: with bucket ends e, sum(count * (e - length)).  The best
    last bucket for each end is the lowest of a set of lines, kept as a hull, so
@@ -16,6 +15,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,11 +29,6 @@ def word_tokens(text: Column) -> Column:
     return (F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) + 1).cast("bigint")
 
 
-def _rounded(length: Column) -> Column:
-    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.greatest(length, F.lit(1)))) - 8, F.lit(0))).cast("bigint")
-    return (F.ceil(length / step) * step).cast("bigint")
-
-
 def best_ends(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
     """At most ``buckets`` ends out of the ascending lengths of ``histogram``
     (length, count) with the least padding; of equal ones those with later
@@ -47,9 +42,9 @@ def best_ends(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
         count.append(count[-1] + c)
         total.append(total[-1] + c * x)
     best = [0] + [math.inf] * n                        # rows up to i, in the buckets so far
-    came: list[list[int]] = []
+    came: list[array] = []
     for _ in range(buckets):
-        now, via = [math.inf] * (n + 1), [0] * (n + 1)
+        now, via = [math.inf] * (n + 1), array("q", bytes(8 * n + 8))
         hull: list[tuple[int, float, int]] = []        # lines slope * x + offset, steepest fall last
         at = 0
         for j in range(1, n + 1):
@@ -92,18 +87,25 @@ def pack(docs: DataFrame, length: Column, id_col: str = "doc_id", buckets: int =
     keep = [c for c in docs.columns if c.lower() not in new]
     rows = docs.select(F.struct(*keep).alias("row"), F.coalesce(length, F.lit(0)).cast("bigint").alias("n"),
                        F.col(id_col).alias("id"), F.xxhash64(*keep).alias("tie"))
-    histogram = [(r.size, r.rows) for r in rows.groupBy(_rounded(F.col("n")).alias("size"))
+    histogram = [(r.size, r.rows) for r in rows.groupBy(F.col("n").alias("size"))
                  .agg(F.count("*").alias("rows")).orderBy("size").collect()]
     ends = best_ends(histogram, buckets) or [0]
     held = [sum(c for x, c in histogram if x <= e and (i == 0 or x > ends[i - 1])) for i, e in enumerate(ends)]
     groups = F.array(*[F.lit(max(1, math.ceil(c / GROUP_ROWS))) for c in held])
     sizes = F.array(*[F.lit(e).cast("bigint") for e in ends])
-    rows = rows.withColumn("bucket", F.size(F.filter(sizes, lambda e: e < F.col("n"))))
+    # the length is an argument, so that it is not worked out again for each end
+    below = F.transform(F.array("n"), lambda n: F.size(F.filter(sizes, lambda e: e < n)))
+    rows = rows.withColumn("bucket", F.coalesce(F.get(below, F.lit(0)), F.lit(0)))
     rows = rows.withColumn("group", F.pmod(F.col("tie"), F.get(groups, F.col("bucket"))).cast("int"))
-    number = F.row_number().over(Window.partitionBy("bucket", "group").orderBy("id", "tie")) - 1
+    number = F.row_number().over(Window.partitionBy("bucket", "group").orderBy("id", "tie")).cast("bigint") - 1
+    numbered = rows.withColumn("number", number)
+    if max(held, default=0) > GROUP_ROWS:
+        before = Window.partitionBy("bucket").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+        starts = rows.groupBy("bucket", "group").agg(F.count("*").alias("held")).select(
+            "bucket", "group", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"))
+        numbered = numbered.join(starts, ["bucket", "group"], "left").withColumn("number", F.col("number") + F.col("start"))
     pad = F.get(sizes, F.col("bucket"))
     room = F.greatest(F.floor(F.lit(token_budget) / F.greatest(pad, F.lit(1))), F.lit(1)).cast("int")
-    rows = rows.withColumn("number", number).withColumn("room", room)
-    batch = F.concat_ws("-", F.col("bucket"), F.col("group"), F.floor(F.col("number") / F.col("room")))
-    return rows.select("row.*", F.col("n").alias("n_tokens"), "bucket", pad.alias("pad_to"), batch.alias("batch_id"),
-                       F.pmod(F.col("number"), F.col("room")).alias("slot"))
+    batch = F.concat_ws("-", F.col("bucket"), F.floor(F.col("number") / room))
+    return numbered.select("row.*", F.col("n").alias("n_tokens"), "bucket", pad.alias("pad_to"), batch.alias("batch_id"),
+                       F.pmod(F.col("number"), room).cast("int").alias("slot"))

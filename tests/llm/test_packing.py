@@ -46,3 +46,26 @@ def test_large_bucket_is_dealt_out_and_empty(spark, monkeypatch):
     got = K.pack(df, K.word_tokens(F.col("text")), token_budget=30).collect()
     assert len({r.batch_id.split("-")[1] for r in got}) > 5 and {r.pad_to for r in got} == {3}
     assert K.pack(df.limit(0), K.word_tokens(F.col("text"))).count() == 0
+
+
+def test_pack_has_least_padding_over_long_lengths(spark):
+    rng = random.Random(3)
+    for k in (2, 4):
+        lengths = rng.sample(range(513, 40_000), 10) + [3, 700]
+        counts = {x: rng.randint(1, 4) for x in lengths}
+        rows = [(i, x) for i, x in enumerate(x for x, c in counts.items() for _ in range(c))]
+        got = K.pack(spark.createDataFrame(rows, "doc_id bigint, n bigint"), F.col("n"), buckets=k).collect()
+        ends = sorted(lengths)
+        want = min(sum(c * (min(e for e in (*cut, ends[-1]) if e >= x) - x) for x, c in counts.items())
+                   for cut in itertools.combinations(ends[:-1], k - 1))
+        assert sum(r.pad_to - r.n_tokens for r in got) == want and max(r.pad_to for r in got) == max(lengths)
+
+
+def test_only_the_last_batch_of_a_bucket_is_short(spark, monkeypatch):
+    monkeypatch.setattr(K, "GROUP_ROWS", 100)
+    df = spark.range(1003).select(F.col("id").alias("doc_id"), F.lit(3).alias("n"))
+    got = defaultdict(list)
+    for r in K.pack(df, F.col("n"), token_budget=21).collect():
+        got[r.batch_id].append(r.slot)
+    assert sorted(map(len, got.values())) == [2] + [7] * 143
+    assert all(sorted(slots) == list(range(len(slots))) for slots in got.values())

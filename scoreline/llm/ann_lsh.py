@@ -135,7 +135,7 @@ def nearest(ids: np.ndarray, vectors: np.ndarray, keys: np.ndarray, q_ids: np.nd
             q_keys: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, id, distance): each query's ``k`` nearest rows among those with
     one of its keys, rows of the query's own id left out."""
-    order = np.argsort(keys, kind="stable")
+    order = np.lexsort((ids, keys))
     ids, vectors, keys = ids[order], vectors[order], keys[order]
     asked = np.repeat(np.arange(len(q_ids)), [len(x) for x in q_keys])
     flat = np.concatenate(q_keys) if q_keys else np.empty(0, np.int64)
@@ -147,17 +147,20 @@ def nearest(ids: np.ndarray, vectors: np.ndarray, keys: np.ndarray, q_ids: np.nd
     found = []
     for i in np.flatnonzero(b > a):
         rows = vectors[a[i]:b[i]]
+        items, first = np.unique(ids[a[i]:b[i]], return_index=True)
         step = max(1, BLOCK // rows.size)
         for s in range(lo[i], hi[i], step):
             q = asked[s:min(s + step, hi[i])]
             dist = np.sqrt(((q_vectors[q][:, None, :] - rows) ** 2).sum(2))
-            dist[q_ids[q][:, None] == ids[a[i]:b[i]]] = np.inf
+            if len(items) < len(rows):                               # one column for an id: its smallest distance
+                dist = np.minimum.reduceat(dist, first, 1)
+            dist[q_ids[q][:, None] == items] = np.inf
             if dist.shape[1] > 4 * k:                                # all up to the k-th distance, ties too
                 cut = np.partition(dist, k, 1)[:, k]
                 x, y = np.nonzero((dist <= cut[:, None]) & np.isfinite(dist))
             else:
                 x, y = np.nonzero(np.isfinite(dist))
-            found.append((q[x], ids[a[i] + y], dist[x, y]))
+            found.append((q[x], items[y], dist[x, y]))
     if not any(len(x[0]) for x in found):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     q, row, dist = (np.concatenate(x) for x in zip(*found))

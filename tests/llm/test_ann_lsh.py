@@ -67,3 +67,18 @@ def test_few_found_are_searched_exactly(spark, monkeypatch):
     got = A.nearest_neighbours(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)]), F.col("vec_id") % 100 == 0, k=3).collect()
     for q in (0, 100, 200):
         assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [v for v, _ in brute(np.arange(300), x, q, 3)]
+
+
+def test_repeated_id_hides_no_neighbour(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(0, 0.0)] + [(1, 0.1 + i / 1000) for i in range(50)] + [(2 + i % 30, 0.2 + i / 100) for i in range(60)]
+    rows = [(i, [1.0, x, float(e)]) for (i, x), e in zip(rows, rng.normal(size=len(rows)) * 1e-3)]
+    x = np.array([v for _, v in rows]).astype(np.float32).astype(np.float64)
+    low = {}
+    for (i, _), d in zip(rows, np.sqrt(((x - x[0]) ** 2).sum(1))):
+        low[i] = min(d, low.get(i, d))
+    want = sorted((d, i) for i, d in low.items() if i)[:10]
+    for width in (1e-6, 1e6):                            # the exact search, and one bucket for all rows
+        monkeypatch.setattr(A, "fit", lambda sample, k, target, width=width: A.Tables(3, width, 1))
+        got = sorted((r.score, r.vec_id) for r in A.nearest_neighbours(frame(spark, rows), F.col("vec_id") == 0).collect())
+        assert [i for _, i in got] == [i for _, i in want] and np.allclose([d for d, _ in got], [d for d, _ in want])

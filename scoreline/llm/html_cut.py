@@ -4,6 +4,8 @@ A page is read into blocks: runs of text between block-level tags.  Each block
 gets a score from plain features (the elements it stands in, words of their
 class, id and role, its length, its share of link text); a positive score is
 its capacity to the source (content), a negative one to the sink (boilerplate).
+Inside a boilerplate element nothing that stands around or in it speaks for its
+text, only a ``main`` in it (or an ``article``, if it is a form) starts afresh.
 Neighbours in page order are joined by an edge that weakens with their distance
 in the element tree, and so is each block with the one before it under the same
 parent.  The minimum cut of that graph is the labelling with the least sum of
@@ -47,21 +49,39 @@ comment comments commentlist discussion disqus reply replies reactions respond f
 pager widget disclaimer copyright legal search skip hidden teaser outbrain taboola tags meta byline""".split())
 _GOOD = frozenset("article content entry post story text main body page hentry articlebody".split())
 _ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar status".split())
+#: class names that mention a part of the page without being it: has-sidebar, share-enabled, hidden-xs, article-header,
+#: content-sidebar-wrap
+_STATES = frozenset("has no with without enabled disabled open closed on off none free collapsed expanded layout".split())
+_SIZES = frozenset("xs sm md lg xl xxl print".split())
+_WRAPS = frozenset("wrap wrapper container grid row columns".split())
+_HEADED = frozenset("article content entry post story page hentry".split())
 _WORDS = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Element:
-    """An open element: its tag, depth, parent, and what standing in it says."""
+    """An open element: its tag, depth, parent, and what standing in it says:
+    ``bad`` of the boilerplate it stands in, else ``good`` of all around it."""
 
-    __slots__ = ("tag", "parent", "depth", "score", "in_article")
+    __slots__ = ("tag", "parent", "depth", "good", "bad", "bar", "in_article")
 
-    def __init__(self, tag: str, parent: _Element | None, score: float):
+    def __init__(self, tag: str, parent: _Element | None, score: float, main: bool = False):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
-        self.score = score + (parent.score if parent else 0.0)
+        self.good, self.bad, self.bar = (parent.good, parent.bad, parent.bar) if parent else (0.0, 0.0, 0)
+        if score < 0:
+            self.bad += score
+            self.bar = max(self.bar, 3 if score <= -12 else 1 if tag == "form" else 2)
+        else:
+            self.good += score
+            if self.bar < 3 and main or self.bar == 1 and tag == "article":
+                self.bad, self.bar = 0.0, 0
         self.in_article = tag in ("article", "main") or (parent is not None and parent.in_article)
 
+    @property
+    def score(self) -> float:
+        return self.bad if self.bar else self.good
+
 
 class _Reader(HTMLParser):
     """Collects blocks: (text, link characters, innermost element)."""
@@ -97,7 +117,7 @@ class _Reader(HTMLParser):
         if tag not in _BLOCK:
             if score < 0 and tag not in _VOID:         # an inline element that hides or labels its text
                 self.flush()
-                self._enter(tag, score)
+                self._enter(tag, score, attrs)
             return
         self.flush()
         if tag in _VOID:
@@ -111,10 +131,11 @@ class _Reader(HTMLParser):
                     break
                 if self.path[i].tag in _SCOPES:
                     break
-        self._enter(tag, score)
+        self._enter(tag, score, attrs)
 
-    def _enter(self, tag: str, score: float) -> None:
-        self.path.append(_Element(tag, self.path[-1], score))
+    def _enter(self, tag: str, score: float, attrs: list) -> None:
+        main = tag == "main" or ("role", "main") in attrs
+        self.path.append(_Element(tag, self.path[-1], score, main))
         self.open[tag] += 1
 
     def _leave(self, tag: str) -> None:
@@ -145,6 +166,23 @@ class _Reader(HTMLParser):
             self.link_chars += self.in_link * len(data)
 
 
+def _names_boilerplate(name: str) -> bool:
+    """One class name or id says that the element is boilerplate, not merely that
+    the page or the article has some."""
+    listed = _WORDS.findall(name)
+    words = set(listed)
+    bad = words & _BAD
+    if not bad or words & _STATES or (bad == {"hidden"} and words & _SIZES):
+        return False
+    if bad <= {"sidebar", "side"} and words & _GOOD and words & _WRAPS:
+        return False
+    return not (bad == {"header"} and _heads_article(listed))
+
+
+def _heads_article(words: list[str]) -> bool:
+    return any(a in _HEADED and b == "header" for a, b in zip(words, words[1:]))
+
+
 def _element_score(tag: str, attrs: list, in_article: bool) -> float:
     score = 0.0 if tag == "header" and in_article else float(_TAG.get(tag, 0))
     for name, value in attrs:
@@ -153,8 +191,10 @@ def _element_score(tag: str, attrs: list, in_article: bool) -> float:
             words = set(_WORDS.findall(value))
             if tag in ("body", "html", "main", "article") or (tag == "header" and in_article):
                 continue
-            if words & _BAD:
+            if words & _BAD and any(_names_boilerplate(c) for c in value.split()):
                 score -= 8
+            elif tag == "header" and any(_heads_article(_WORDS.findall(c)) for c in value.split()):
+                score += 5                             # undoes the tag's
             elif words & _GOOD:
                 score += 1.5
         elif name == "role":

@@ -26,6 +26,36 @@ def test_page():
     assert H.main_text(article) == "Head\nBold start.\nNext <one>.\nLast."
 
 
+LONG = "This sentence is one of many that readers or advertisers write below an article, and it goes on for more than " \
+       "seventeen words so that its length alone speaks for it, which must not be enough. "
+
+
+def test_boilerplate_inside_the_article_stays_boilerplate():
+    for open_, close in (("<aside>", "</aside>"), ("<footer>", "</footer>"), ("<form>", "</form>"), ("<nav>", "</nav>"),
+                         ("<div class=comments><article class=comment><div class=content>", "</div></article></div>"),
+                         ("<section id=comments><div class='entry content'><div class=text>", "</div></div></section>")):
+        for outer, end in (("<main><article>", "</article></main>"), ("<div id=content class=content><article>", "</article></div>"),
+                           ("<main><article><div class='entry content'><div class=text>", "</div></div></article></main>")):
+            page = f"<body>{outer}<h1>Head line</h1><p>First one.</p>{open_}<p>{LONG * 3}</p><p>{LONG}</p>{close}<p>Last one.</p>{end}</body>"
+            assert H.main_text(page) == "Head line\nFirst one.\nLast one.", (open_, outer)
+    page = f"<form id=page><main><h1>Head line</h1><p>First one.</p><aside><p>{LONG}</p></aside></main></form>"
+    assert H.main_text(page) == "Head line\nFirst one."
+    assert H.main_text(page.replace("main>", "article>")) == "Head line\nFirst one."
+    assert H.main_text(page.replace("<form", "<form hidden")) == ""
+
+
+def test_classes_that_mention_boilerplate_are_neutral():
+    for name in ("content has-sidebar", "no-sidebar", "share-enabled", "with-comments", "content-sidebar-wrap", "sidebar-layout", "hidden-xs",
+                 "comments-open", "article-header"):
+        page = f"<body><div class='{name}'><h1>Head line</h1><p>{LONG}</p></div><div class='sidebar'><p>{LONG}</p></div></body>"
+        assert H.main_text(page) == f"Head line\n{LONG.strip()}", name
+    page = f"<body><div class=content><header class=entry-header><h1>Head line</h1></header><p>{LONG}</p></div></body>"
+    assert H.main_text(page) == f"Head line\n{LONG.strip()}"
+    for name in ("sidebar", "right-sidebar", "main-header", "content-footer", "sidebar-wrapper", "post-comments", "related-content", "hidden",
+                 "sponsored post", "has-sidebar sidebar"):
+        assert H.main_text(f"<body><article><div class='{name}'><p>{LONG}</p></div></article></body>") == "", name
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(1)
     for _ in range(400):

@@ -149,6 +149,10 @@ def _screen(rows: DataFrame, length: int) -> bytes:
     return b"".join(found.get(s, bytes(each // 8)) for s in range(SEGMENTS))
 
 
+#: bytes of a suffix that its place in the order goes by
+SORTED = 56
+
+
 def two_stage_order(t: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """The ``wanted`` places of ``t`` (a mask) in the order of the suffixes there,
     right for the first 56 bytes.  ``t`` holds bytes 1 to 255, a 0 after each
@@ -355,10 +359,12 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others; rows of one id do not count as smaller than one another, nor does a
     row repeated under its id.  Columns of the input that carry one of the
     names above are replaced.  Texts shorter than ``length`` bytes stay whole;
-    no rows give none.
+    no rows give none.  A ``length`` beyond ``SORTED`` is an error.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM} bytes")
+    if length > SORTED:
+        raise ValueError(f"length must be at most {SORTED} bytes, as far as suffixes are sorted")
     small_batches(docs.sparkSession)
     new = ("cut_bytes", "cut_spans", "cut_kept", "cut_text")
     keep = [c for c in docs.columns if c.lower() not in new]

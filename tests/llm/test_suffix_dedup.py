@@ -96,3 +96,11 @@ def test_whole_characters_and_empty(spark):
 def test_merge_ranges():
     a, b = S.merge_ranges(np.array([5, 0, 7, 20]), np.array([9, 5, 8, 21]))
     assert a.tolist() == [0, 20] and b.tolist() == [9, 21]
+
+
+def test_length_beyond_the_sorted_bytes_is_an_error_not_a_short_result(spark):
+    df = spark.createDataFrame([(1, "a" * 300), (2, "a" * 300)], "doc_id bigint, text string")
+    for length in (57, 100, 300):
+        with pytest.raises(ValueError):
+            S.cut_repeats(df, length=length)
+    assert [r.cut_text for r in S.cut_repeats(df, length=56).orderBy("doc_id").collect()] == ["a" * 300, ""]

@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import SparkSession
 
 _CKPT_KEY = "spark.checkpoint.dir"
+#: private folders of local sessions that name none, by application
+_PRIVATE: dict[str, str] = {}
 
 
 # Settings for a large cluster (100 TB of input): many initial shuffle
@@ -56,17 +58,19 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the session.
 
     Only a local session (tests, a bench) may name none: it gets a private
-    folder, registered so that later calls and ``DataFrame.checkpoint`` agree.
+    folder, remembered for the application (the setting itself cannot be changed
+    in a running session) and given to ``DataFrame.checkpoint``.
     On a cluster executors could not see such a folder, so there it is an error.
     """
-    root = spark.conf.get(_CKPT_KEY, None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    root = spark.conf.get(_CKPT_KEY, None) or context.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError(f"set {_CKPT_KEY} to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="scoreline-ckpt-")
-        spark.conf.set(_CKPT_KEY, root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+        root = _PRIVATE.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="scoreline-ckpt-")
+        _PRIVATE[context.applicationId] = root
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(root)
     return root
 
 

@@ -4,15 +4,14 @@ Arrow batch bounds and skew-proof range buckets."""
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scoreline.session import scratch_path
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLANKS = " \t\n\x0b\f\r"
-_KEY = "spark.checkpoint.dir"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,15 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder that ``spark.checkpoint.dir`` names.
-    Only a local session (tests) may do without the setting."""
-    root = spark.conf.get(_KEY, None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {_KEY} to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="scoreline-llm-")
-        spark.conf.set(_KEY, root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in the shared folder that ``spark.checkpoint.dir`` names."""
+    return scratch_path(spark, label)
+
+
+def plain(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreline.llm import ann_lsh, bpe, chat, html_cut, packing, simhash_vpt, sketch, suffix_dedup, toxicity, url_filter
+from scoreline.llm import ann_lsh, bpe, chat, html_cut, merkle, packing, simhash_vpt, sketch, suffix_dedup, toxicity, url_filter
 from scoreline.llm.common import table
 
 #: rules of the URL query: host, path, verdict
@@ -87,6 +87,19 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
                        sketch.containment(F.col("sketch"), F.col("edited_sketch")).alias("held_by_edited"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    changed = merkle.record_hash("doc_id", "source", "lang", F.col("n_chars").cast("decimal(20,0)") + 1, "text")
+    hit = (F.crc32(F.col("doc_id").cast("string")) % 7 == 0) & F.col("n_chars").isNotNull()
+    # the texts end here: two digests of each go on
+    records = docs.select("doc_id", "lang", merkle.record_hash("doc_id", "source", "lang", "n_chars", "text").alias("hash"),
+                          F.when(hit, changed).alias("tampered"))
+    rows = merkle.manifest(records, F.col("hash"), "doc_id", "lang")
+    folded = merkle.fold(F.coalesce(merkle.hex_of(F.col("tampered")), F.col("leaf")), F.col("path"))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_hash(F.col("path")).alias("proof_sha256"),
+                       folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_html_text": op2_html_text,
@@ -98,6 +111,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_nearest": op9_nearest,
     "op10_fingerprint": op10_fingerprint,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE = {

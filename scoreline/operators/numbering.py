@@ -16,6 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from scoreline.session import scratch_path
 
@@ -45,7 +46,8 @@ def number_rows(df: DataFrame, order: list[Column], by: list[str] | None = None,
     (df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
        .withColumn(_PART, F.spark_partition_id())
        .withColumn(_AT, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).write.parquet(path))
-    rows = spark.read.schema(df.schema.add(_PART, "int").add(_AT, "bigint")).parquet(path)
+    placed = StructType([*df.schema.fields, StructField(_PART, IntegerType()), StructField(_AT, LongType())])
+    rows = spark.read.schema(placed).parquet(path)
     if not by:
         # one count for each range, so the list is as short as the range exchange is wide
         held = sorted((r[_PART], r["n"]) for r in rows.groupBy(_PART).agg(F.count("*").alias("n")).collect())

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreline.llm import ann_lsh, bpe, chat, html_cut, merkle, packing, simhash_vpt, sketch, suffix_dedup, toxicity, url_filter
+from scoreline.llm import ann_lsh, bpe, chat, html_cut, merkle, min_slack, packing, simhash_vpt, sketch, suffix_dedup, toxicity, url_filter
 from scoreline.llm.common import table
 
 #: rules of the URL query: host, path, verdict
@@ -87,6 +87,12 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
                        sketch.containment(F.col("sketch"), F.col("edited_sketch")).alias("held_by_edited"))
 
 
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    cut = min_slack.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return min_slack.pack(cut)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     changed = merkle.record_hash("doc_id", "source", "lang", F.col("n_chars").cast("decimal(20,0)") + 1, "text")
@@ -111,6 +117,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_nearest": op9_nearest,
     "op10_fingerprint": op10_fingerprint,
+    "op12_best_fit": op12_best_fit,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 

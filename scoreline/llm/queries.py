@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreline.llm import ann_lsh, bpe, chat, html_cut, merkle, min_slack, packing, simhash_vpt, sketch, suffix_dedup, toxicity, url_filter
+from scoreline.llm import ann_lsh, bpe, chat, html_cut, merkle, min_slack, packing, prefix_trie, simhash_vpt, sketch, suffix_dedup, toxicity, url_filter
 from scoreline.llm.common import table
 
 #: rules of the URL query: host, path, verdict
@@ -87,6 +87,13 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
                        sketch.containment(F.col("sketch"), F.col("edited_sketch")).alias("held_by_edited"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = prefix_trie.turns(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    conv = F.col("conv")
+    said, every = prefix_trie.share_openings(said, 8, conv - conv % 5, F.crc32(conv.cast("string")) % 9)
+    return prefix_trie.trie(prefix_trie.stored(said, "trie-rebuilt"), every).drop("turn_id")
+
+
 def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     cut = min_slack.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
@@ -117,6 +124,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_nearest": op9_nearest,
     "op10_fingerprint": op10_fingerprint,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_best_fit": op12_best_fit,
     "op13_merkle_manifest": op13_merkle_manifest,
 }

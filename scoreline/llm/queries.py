@@ -129,6 +129,16 @@ QUERIES = {
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
+# unsigned CRC-32 of the decimal digits of {x}
+_CRC32 = """(SELECT 4294967295 - list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST({x} AS VARCHAR), ''),
+   lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)),
+   lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)))"""
+
+
+def _fields(*values: str) -> str:
+    return " || ".join(f"CASE WHEN {v} IS NULL THEN '-' ELSE strlen(CAST({v} AS VARCHAR)) || ':' || CAST({v} AS VARCHAR) END" for v in values)
+
+
 ORACLE = {
     "op1_chat_format": r"""
 WITH turns AS (
@@ -176,4 +186,64 @@ blocks AS (
   FROM article)
 SELECT page_id, url, array_to_string(b, chr(10)) AS text, cast(length(array_to_string(b, chr(10))) AS bigint) AS n_chars
 FROM blocks""",
+    "op11_prefix_trie": f"""
+WITH own AS (
+  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, role, text) AS said
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+opening AS (SELECT *, {_CRC32.format(x="conv_id")} % 9 AS h FROM own),
+rebuilt AS (
+  SELECT o.conv_id, list_concat(coalesce(b.said[1:o.h], []), o.said[o.h + 1:]) AS said
+  FROM opening o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5),
+prefixes AS (SELECT conv_id AS conv, len(said) AS size, unnest(range(0, len(said) + 1)) AS depth, said FROM rebuilt),
+members AS (
+  SELECT conv, size, depth, said[depth].t AS last, min(conv) OVER (PARTITION BY depth, said[1:depth]) AS node FROM prefixes),
+nodes AS (
+  SELECT m.node AS conv_id, m.depth, min(p.node) AS parent_conv_id, count(*) AS n_convs,
+         CASE WHEN m.depth = 0 THEN 0 ELSE (count(*) - 1) * min(strlen(m.last)) END AS worth,
+         sha256(coalesce(string_agg(CAST(m.conv AS VARCHAR), ',' ORDER BY m.conv) FILTER (WHERE m.size = m.depth), '')) AS ends_sha256
+  FROM members m LEFT JOIN members p ON p.conv = m.conv AND p.depth = m.depth - 1 GROUP BY m.node, m.depth),
+counted AS (
+  SELECT n.*, (SELECT count(*) FROM nodes k WHERE k.depth = n.depth + 1 AND k.parent_conv_id = n.conv_id) AS n_children FROM nodes n),
+above AS (
+  SELECT m.node AS conv_id, m.depth, sum(CASE WHEN u.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(u.worth) AS saved
+  FROM counted u JOIN members m ON m.conv = u.conv_id AND m.depth <= u.depth GROUP BY m.node, m.depth)
+SELECT c.conv_id, CAST(c.depth AS BIGINT) AS depth, c.parent_conv_id, c.n_convs, c.n_children, CAST(a.n_leaves AS BIGINT) AS n_leaves,
+       CAST(a.saved AS BIGINT) AS saved_tokens, c.ends_sha256
+FROM counted c JOIN above a ON a.conv_id = c.conv_id AND a.depth = c.depth""",
+    "op13_merkle_manifest": f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, lang, sha256({_fields("doc_id", "source", "lang", "n_chars", "text")}) AS leaf,
+         CASE WHEN n_chars IS NOT NULL AND {_CRC32.format(x="doc_id")} % 7 = 0
+              THEN sha256({_fields("doc_id", "source", "lang", "(n_chars + 1)", "text")}) END AS tampered
+  FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves),
+tree AS (
+  SELECT lang, 0 AS lvl, list(leaf ORDER BY i) AS nodes FROM placed GROUP BY lang
+  UNION ALL
+  SELECT lang, lvl + 1, list_transform(range(0, len(nodes), 2), lambda k: sha256(nodes[k + 1] || coalesce(nodes[k + 2], '')))
+  FROM tree WHERE len(nodes) > 1),
+subroots AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS j FROM tree WHERE len(nodes) = 1),
+top AS (
+  SELECT 0 AS lvl, list(subroot ORDER BY j) AS nodes FROM subroots
+  UNION ALL
+  SELECT lvl + 1, list_transform(range(0, len(nodes), 2), lambda k: sha256(nodes[k + 1] || coalesce(nodes[k + 2], '')))
+  FROM top WHERE len(nodes) > 1),
+walk AS (
+  SELECT doc_id, lang, leaf, 0 AS lvl, i, '' AS proof, coalesce(tampered, leaf) AS folded FROM placed
+  UNION ALL
+  SELECT w.doc_id, w.lang, w.leaf, w.lvl + 1, w.i // 2, w.proof || coalesce(t.nodes[xor(w.i, 1) + 1], ''),
+         sha256(CASE WHEN w.i % 2 = 1 THEN t.nodes[w.i] ELSE '' END || w.folded || CASE WHEN w.i % 2 = 0 THEN coalesce(t.nodes[w.i + 2], '') ELSE '' END)
+  FROM walk w JOIN tree t ON t.lang IS NOT DISTINCT FROM w.lang AND t.lvl = w.lvl AND len(t.nodes) > 1),
+climbed AS (
+  SELECT w.doc_id, w.leaf, s.subroot, s.j, w.proof, w.folded
+  FROM walk w JOIN tree t ON t.lang IS NOT DISTINCT FROM w.lang AND t.lvl = w.lvl AND len(t.nodes) = 1
+  JOIN subroots s ON s.lang IS NOT DISTINCT FROM w.lang),
+upward AS (
+  SELECT doc_id, leaf, subroot, 0 AS lvl, j AS i, proof, folded FROM climbed
+  UNION ALL
+  SELECT w.doc_id, w.leaf, w.subroot, w.lvl + 1, w.i // 2, w.proof || coalesce(t.nodes[xor(w.i, 1) + 1], ''),
+         sha256(CASE WHEN w.i % 2 = 1 THEN t.nodes[w.i] ELSE '' END || w.folded || CASE WHEN w.i % 2 = 0 THEN coalesce(t.nodes[w.i + 2], '') ELSE '' END)
+  FROM upward w JOIN top t ON t.lvl = w.lvl AND len(t.nodes) > 1)
+SELECT u.doc_id, u.leaf, u.subroot, t.nodes[1] AS root, sha256(u.proof) AS proof_sha256, u.folded AS folded_root, u.folded = t.nodes[1] AS verified
+FROM upward u JOIN top t ON t.lvl = u.lvl AND len(t.nodes) = 1""",
 }

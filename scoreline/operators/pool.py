@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from scoreline.functions.outcomes import round2, safe_ratio, whole_number
 from scoreline.operators.contest import DEFAULT, ContestSpec
+from scoreline.operators.numbering import number_rows
 
 
 def pool_table(league: DataFrame, spec: ContestSpec = DEFAULT) -> DataFrame:
@@ -48,10 +49,10 @@ def leaderboard_report(board: DataFrame) -> DataFrame:
 
 def leaderboard_ordered(board: DataFrame) -> DataFrame:
     """O2: the leaderboard with its order as ``place``: points, then average, both
-    descending with nulls last; the player's name settles ties.  One row per
-    player, so a single sort."""
-    order = Window.orderBy(F.desc_nulls_last("pts"), F.desc_nulls_last("avg"), "jugador")
-    return leaderboard_report(board).withColumn("place", F.row_number().over(order).cast("bigint"))
+    descending with nulls last; the player's name settles ties.  Players are
+    numbered in ranges of that order."""
+    order = [F.desc_nulls_last("pts"), F.desc_nulls_last("avg"), F.col("jugador").asc_nulls_first()]
+    return number_rows(leaderboard_report(board), order, name="place")
 
 
 def player_view(pool: DataFrame, picks: DataFrame, jugador: str, spec: ContestSpec = DEFAULT) -> DataFrame:
@@ -95,9 +96,9 @@ def headline_numbers(board: DataFrame) -> DataFrame:
 
 
 def player_list(board: DataFrame) -> DataFrame:
-    """Distinct non-NULL players, their order as ``place``."""
+    """Distinct non-NULL players, their order as ``place``, numbered in ranges."""
     names = board.select("jugador").where(F.col("jugador").isNotNull()).distinct()
-    return names.withColumn("place", F.row_number().over(Window.orderBy("jugador")).cast("bigint"))
+    return number_rows(names, [F.col("jugador")], name="place")
 
 
 def player_summary(board: DataFrame, jugador: str) -> DataFrame:

@@ -58,7 +58,7 @@ RETIRED_FILE = "UCL_champions_league_matches.csv_OLD.gz"
 
 def _source_name(df: DataFrame, name: str = "file_name") -> DataFrame:
     """The file's name without part number and ``.gz``."""
-    return df.withColumn("source_file", F.regexp_replace(name, r"(_\d{5})?_matches\.csv(\.gz)?$", "_matches.csv"))
+    return df.withColumn("source_file", F.regexp_replace(name, r"(_([0-9a-f]{8}_)?\d{5})?_matches\.csv(\.gz)?$", "_matches.csv"))
 
 
 def _put(spark: SparkSession, path: str, content: bytes) -> None:
@@ -69,14 +69,9 @@ def _put(spark: SparkSession, path: str, content: bytes) -> None:
     out.close()
 
 
-def _landing(spark: SparkSession, sf: str, label: str) -> str:
-    """A landing folder: the feed (UECL compressed), an empty file, one with a
-    header alone, a broken archive, one cut off midway and a retired file that must
-    not be read."""
-    land = f"{scratch_path(spark, label)}/landing"
-    feed = raw_feed(spark, sf)
-    csv_ingest.write_match_csv(feed.where(F.col("competition") != "UECL"), land)
-    csv_ingest.write_match_csv(feed.where(F.col("competition") == "UECL"), land, compression="gzip")
+def _put_odd_files(spark: SparkSession, land: str) -> None:
+    """An empty file, one with a header alone, a broken archive and one cut off
+    midway."""
     header = ",".join(c.upper() for c in csv_ingest.RAW_MATCH_COLUMNS).encode() + b"\n"
     _put(spark, f"{land}/{EMPTY_FILE}", b"")
     _put(spark, f"{land}/{HEADER_FILE}", header)
@@ -84,17 +79,25 @@ def _landing(spark: SparkSession, sf: str, label: str) -> str:
     lines = b"".join(b"cut%d,UECL,,,,A%d,B,1,%d\n" % (i, i * 7919 % 9973, i % 7) for i in range(20_000))
     cut = gzip.compress(header + lines, mtime=0)
     _put(spark, f"{land}/{CUT_FILE}", cut[:len(cut) // 2])
+
+
+def _landing(spark: SparkSession, sf: str, label: str) -> str:
+    """A landing folder: the feed (UECL compressed), odd files and a retired file
+    that must not be read."""
+    land = f"{scratch_path(spark, label)}/landing"
+    feed = raw_feed(spark, sf)
+    csv_ingest.write_match_csv(feed.where(F.col("competition") != "UECL"), land)
+    csv_ingest.write_match_csv(feed.where(F.col("competition") == "UECL"), land, compression="gzip")
+    _put_odd_files(spark, land)
+    header = ",".join(c.upper() for c in csv_ingest.RAW_MATCH_COLUMNS).encode() + b"\n"
     _put(spark, f"{land}/{RETIRED_FILE}", header + b"x,UCL,,,,A,B,1,1\n")
     return land
 
 
 def _roundtrip(spark: SparkSession, sf: str) -> str:
     land = _landing(spark, sf, "csv-load")
-    glob = landing.MATCH_FILE_GLOB
-    files = csv_ingest.with_readable(spark, landing.list_files(spark, land), land, glob=glob)
-    raw = _source_name(csv_ingest.read_raw(spark, land, glob=glob, listing=files))
     root = f"{land}-table"
-    csv_ingest.full_refresh(spark, raw, root, key="source_file", listing=_source_name(files))
+    csv_ingest.load(spark, landing.list_files(spark, land), root, key="source_file", prepare=_source_name)
     return root
 
 
@@ -103,7 +106,7 @@ def q_csv_load_roundtrip(spark, sf):
 
 
 def q_load_log(spark, sf):
-    return spark.read.parquet(f"{_roundtrip(spark, sf)}/load_log").drop("load_datetime")
+    return csv_ingest.load_log(spark, _roundtrip(spark, sf)).drop("load_datetime")
 
 
 def q_rejected_rows(spark, sf):
@@ -129,7 +132,7 @@ def q_retired_names(spark, sf):
     land = _landing(spark, sf, "retire")
     landing.retire(spark, landing.retire_plan(landing.list_files(spark, land, glob="*")))
     files = landing.list_files(spark, land, glob="*")
-    return files.select(F.regexp_replace("file_name", r"_\d{5}_matches", "_matches").alias("file_name")).distinct()
+    return files.select(F.regexp_replace("file_name", r"_([0-9a-f]{8}_)?\d{5}_matches", "_matches").alias("file_name")).distinct()
 
 
 def q_publish_status(spark, sf):
@@ -154,7 +157,7 @@ def q_new_files(spark, sf):
     log = spark.read.parquet(f"{root}-log")
     csv_ingest.write_match_csv(feed.where(F.col("competition") != "UEL"), f"{root}/batch2")
     new = landing.not_yet_loaded(landing.list_files(spark, root, glob=glob, recursive=True), log)
-    raw = csv_ingest.read_raw(spark, root, glob=glob, recursive=True)
+    raw = csv_ingest.read_raw(spark, [r.path for r in new.select("path").toLocalIterator()])
     rows = raw.groupBy(F.col("file_path").alias("path")).agg(F.count(F.lit(1)).alias("rows"))
     new = _source_name(new.withColumn("path", F.regexp_replace("path", "^file:/+", "/")))
     rows = rows.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
@@ -163,22 +166,34 @@ def q_new_files(spark, sf):
     ).agg(F.sum("rows").alias("rows"))
 
 
-def q_stream_load(spark, sf):
-    """S4+S5 as a stream: the feed lands in two deliveries; two
-    ``availableNow`` runs of the same query each pick up only new files
-    (the file source's checkpoint), and the union of their outputs equals
-    a full load."""
+def _streamed(spark: SparkSession, sf: str) -> str:
+    """Two deliveries, the first beside a broken archive, one cut off midway and an
+    empty file; each is drained by a run of the same stream."""
     from scoreline.streaming import file_stream
     root = scratch_path(spark, "stream")
-    land, out, ckpt, arch = (f"{root}/{d}" for d in ("landing", "out", "checkpoint", "archive"))
+    land, out, ckpt, away = (f"{root}/{d}" for d in ("landing", "out", "checkpoint", "quarantine"))
     feed = raw_feed(spark, sf)
     for i, batch in enumerate([feed.where(F.col("competition") != "UECL"),
                                feed.where(F.col("competition") == "UECL")]):
         csv_ingest.write_match_csv(batch, f"{land}/delivery{i}")
-        q = file_stream.start_load(spark, land, out, ckpt, archive_dir=arch, key="source_file",
-                                   prepare=_source_name, max_files_per_trigger=100)
+        if i == 0:
+            _put_odd_files(spark, f"{land}/delivery0")
+        q = file_stream.start_load(spark, land, out, ckpt, archive_dir=f"{root}/archive", key="source_file",
+                                   prepare=_source_name, max_files_per_trigger=100, quarantine_dir=away)
         q.awaitTermination()
-    return file_stream.loaded_matches(spark, out).select(*csv_ingest.MATCH_COLUMNS)
+    return out
+
+
+def q_stream_load(spark, sf):
+    """S4+S5 as a stream: both deliveries' matches, each loaded once."""
+    from scoreline.streaming import file_stream
+    return file_stream.loaded_matches(spark, _streamed(spark, sf)).select(*csv_ingest.MATCH_COLUMNS)
+
+
+def q_stream_log(spark, sf):
+    """S10 of the stream: a log row for each file, broken and empty ones too."""
+    from scoreline.streaming import file_stream
+    return file_stream.loaded_log(spark, _streamed(spark, sf)).drop("load_datetime")
 
 
 QUERIES = {
@@ -191,4 +206,5 @@ QUERIES = {
     "publish_status": q_publish_status,
     "new_files": q_new_files,
     "stream_load": q_stream_load,
+    "stream_log": q_stream_log,
 }

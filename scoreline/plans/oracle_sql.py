@@ -292,6 +292,7 @@ SELECT file_name, cast(count(*) FILTER (WHERE NOT bad_date AND NOT bad_goals) AS
 FROM feed GROUP BY file_name
 UNION ALL SELECT * FROM (VALUES ('UCL_empty_matches.csv', 0, 0, 'SUCCESS'), ('UEL_header_matches.csv', 0, 0, 'SUCCESS'),
                                 ('UECL_broken_matches.csv', 0, 0, 'ERROR: unreadable file'))"""
+    out["stream_log"] = out["load_log"]
     out["load_count"] = base + """
 SELECT cast(count(*) AS bigint) AS n_rows, cast(count(*) AS bigint) AS n_stamped FROM feed WHERE NOT bad_date AND NOT bad_goals"""
     out["new_files"] = base + """

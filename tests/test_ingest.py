@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoreline.operators import report
-from scoreline.sources import csv_ingest, landing
+from scoreline.sources import commits, csv_ingest, deliveries, landing
 
 HEADER = "MATCH_ID,COMPETITION,SEASON,PHASE,MATCH_DATE,HOME_TEAM,AWAY_TEAM,HOME_GOALS,AWAY_GOALS\n"
 BODY = (
@@ -61,12 +61,10 @@ def test_full_refresh_log_and_duplicates(spark, tmp_path):
         f.write(b"\x1f\x8b\x08 not an archive")
     with open(f"{d}/UEL_header_matches.csv", "w") as f:
         f.write(HEADER)
-    glob = landing.MATCH_FILE_GLOB
-    raw = csv_ingest.read_raw(spark, d, glob=glob)
-    files = csv_ingest.with_readable(spark, landing.list_files(spark, d), d, glob=glob)
-    res = csv_ingest.full_refresh(spark, raw, root, listing=files)
+    files = landing.list_files(spark, d)
+    res = csv_ingest.load(spark, files, root)
     assert res.rows_loaded == 9          # 6 good of 9 in UCL + 1 UEL + 2 UECL
-    log = {r.file_name: (r.rows_inserted, r.rows_rejected, r.status) for r in spark.read.parquet(res.log_path).collect()}
+    log = {r.file_name: (r.rows_inserted, r.rows_rejected, r.status) for r in csv_ingest.load_log(spark, root).collect()}
     assert log == {
         "UCL_champions_league_matches.csv": (6, 3, "PARTIAL"), "UECL_conference_league_matches.csv.gz": (2, 0, "SUCCESS"),
         "UEL_europa_league_matches.csv": (1, 0, "SUCCESS"), "UCL_empty_matches.csv": (0, 0, "SUCCESS"),
@@ -76,16 +74,38 @@ def test_full_refresh_log_and_duplicates(spark, tmp_path):
     assert [(r.match_id, r.n) for r in dups] == [("c1", 2)]
     assert csv_ingest.rejects_table(spark, root).count() == 3
     # loading twice gives the same table, and a load that fails leaves it
-    res2 = csv_ingest.full_refresh(spark, raw, root, listing=files)
+    res2 = csv_ingest.load(spark, files, root)
     assert res2.rows_loaded == res.rows_loaded == csv_ingest.matches_table(spark, root).count()
-    assert spark.read.parquet(res.log_path).count() == 2 * len(log)
+    assert csv_ingest.load_log(spark, root).count() == 2 * len(log)
     with pytest.raises(Exception):
-        csv_ingest.full_refresh(spark, raw.withColumn("match_id", F.raise_error(F.lit("broken"))), root)
+        csv_ingest.load(spark, files, root, prepare=lambda raw: raw.withColumn("match_id", F.raise_error(F.lit("broken"))))
     assert csv_ingest.matches_table(spark, root).count() == 9
+    assert csv_ingest.load_log(spark, root).count() == 2 * len(log)
 
 
-def test_file_cut_off_midway_is_not_loaded(spark, tmp_path):
-    d = _land(tmp_path)
+def test_a_load_that_stops_before_it_publishes_shows_nothing(spark, tmp_path, monkeypatch):
+    d, root = _land(tmp_path), str(tmp_path / "table")
+    with pytest.raises(FileNotFoundError):
+        csv_ingest.matches_table(spark, root)
+    raw = csv_ingest.read_raw(spark, d, glob="UEL*")
+    csv_ingest.full_refresh(spark, raw, root)
+
+    def stop(*_):
+        raise RuntimeError("stopped between the steps")
+    with monkeypatch.context() as m:                     # rows and log are written, the marker is not
+        m.setattr(commits, "publish", stop)
+        with pytest.raises(RuntimeError):
+            csv_ingest.load(spark, landing.list_files(spark, d), root)
+    assert [r.match_id for r in csv_ingest.matches_table(spark, root).collect()] == ["u1"]
+    assert [r.file_name for r in csv_ingest.load_log(spark, root).collect()] == ["UEL_europa_league_matches.csv"]
+    csv_ingest.load(spark, landing.list_files(spark, d), root)
+    assert csv_ingest.matches_table(spark, root).count() == 9 and len(commits.published(spark, root)) == 2
+    assert commits.prune(spark, root, keep=1) == 2 and len(os.listdir(f"{root}/rows")) == 1
+    assert csv_ingest.matches_table(spark, root).count() == 9 and csv_ingest.load_log(spark, root).count() == 4
+
+
+def test_unreadable_files_are_isolated_whatever_their_size(spark, tmp_path, monkeypatch):
+    d, root = _land(tmp_path), str(tmp_path / "table")
     body = HEADER + "".join(f"k{i},UCL,s,p,2025-10-01,A{i * 7919 % 9973},B,1,{i % 7}\n" for i in range(20_000))
     packed = gzip.compress(body.encode())
     for name, content in {"UCL_cut [1]_matches.csv.gz": packed[:len(packed) // 2], "UEL_flip_matches.csv.gz": packed[:-6] + b"\0\0" + packed[-4:],
@@ -94,15 +114,37 @@ def test_file_cut_off_midway_is_not_loaded(spark, tmp_path):
                           "UEL_bom_matches.csv": b"\xef\xbb\xbf" + HEADER.replace("\n", "\r\n").encode() + b"b,UEL,s,p,,A,B,1,1"}.items():
         with open(f"{d}/{name}", "wb") as f:
             f.write(content)
-    glob, root = landing.MATCH_FILE_GLOB, str(tmp_path / "table")
-    files = csv_ingest.with_readable(spark, landing.list_files(spark, d), d, glob=glob)
-    res = csv_ingest.full_refresh(spark, csv_ingest.read_raw(spark, d, glob=glob, listing=files), root, listing=files)
-    log = {r.file_name: (r.rows_inserted, r.status) for r in spark.read.parquet(res.log_path).collect()}
+    attempts, write = [], csv_ingest._write_rows
+    monkeypatch.setattr(csv_ingest, "_write_rows", lambda raw, path: attempts.append(raw.inputFiles()) or write(raw, path))
+    res = csv_ingest.load(spark, landing.list_files(spark, d), root)
+    log = {r.file_name: (r.rows_inserted, r.status) for r in csv_ingest.load_log(spark, root).collect()}
     assert log["UCL_cut [1]_matches.csv.gz"] == log["UEL_flip_matches.csv.gz"] == (0, "ERROR: unreadable file")
     assert log["UEL_two_matches.csv.gz"] == (20_001, "SUCCESS") and log["UEL_bom_matches.csv"] == (1, "SUCCESS")
-    assert res.rows_loaded == 9 + 20_001 + 2 == csv_ingest.matches_table(spark, root).count()
-    assert csv_ingest.read_raw(spark, d, glob=glob).count() == 12 + 20_001 + 2
-    assert csv_ingest.read_raw(spark, d, glob="UCL_cut*").count() == 0
+    assert res.rows_loaded == 9 + 20_001 + 2 == csv_ingest.matches_table(spark, root).count() and len(res.broken) == 2
+    kept = [x for x in os.listdir(res.rows_path) if x.startswith("attempt=")]
+    assert 1 < len(kept) < len(attempts)                # the failed attempts' folders are gone
+    # one reading when all is well
+    for name in ("UCL_cut [1]_matches.csv.gz", "UEL_flip_matches.csv.gz"):
+        os.remove(f"{d}/{name}")
+    del attempts[:]
+    assert csv_ingest.load(spark, landing.list_files(spark, d), root).rows_loaded == res.rows_loaded
+    assert len(attempts) == 1
+
+
+def test_a_store_that_reads_nothing_is_no_broken_file(spark, tmp_path):
+    d, root = tmp_path / "land", str(tmp_path / "table")
+    d.mkdir()
+    for i in range(3):
+        (d / f"UCL_{i}_matches.csv.gz").write_bytes(b"\x1f\x8b\x08 not an archive")
+    with pytest.raises(OSError):
+        csv_ingest.load(spark, landing.list_files(spark, str(d)), root)
+    (d / "UCL_0_matches.csv.gz").unlink()
+    (d / "UCL_1_matches.csv.gz").unlink()
+    res = csv_ingest.load(spark, landing.list_files(spark, str(d)), root)          # a single one is logged
+    assert res.rows_loaded == 0 and csv_ingest.matches_table(spark, root).count() == 0
+    assert [r.status for r in csv_ingest.load_log(spark, root).collect()] == ["ERROR: unreadable file"]
+    res = csv_ingest.load(spark, landing.list_files(spark, str(d), glob="none"), root)
+    assert res.rows_loaded == 0 and csv_ingest.load_log(spark, root).count() == 1
 
 
 def test_strict_dates_and_line_breaks(spark, tmp_path):
@@ -134,6 +176,46 @@ def test_sink_roundtrip_under_the_file_name_that_discovery_finds(spark, tmp_path
     assert [f for f in os.listdir(tmp_path / "none") if not f.startswith((".", "_"))] == []
 
 
+def _match(i, goals="1"):
+    return (i, "UCL", "2025/2026", "LEAGUE_PHASE", "2025-10-01", "A", "B", goals, "1")
+
+
+def test_a_delivery_replaces_the_earlier_one_as_a_whole(spark, tmp_path, monkeypatch):
+    out, root = str(tmp_path / "sink"), str(tmp_path / "table")
+    columns = ", ".join(f"{c} string" for c in csv_ingest.MATCH_COLUMNS)
+
+    def put(ids, parts):
+        df = spark.createDataFrame([_match(i) for i in ids], columns)
+        csv_ingest.write_match_csv(df.repartition(parts, "match_id") if parts > 1 else df.coalesce(1), out)
+
+    def read():
+        files = landing.list_files(spark, out)
+        csv_ingest.load(spark, files, root)
+        return sorted(r.match_id for r in csv_ingest.matches_table(spark, root).collect()), files.count()
+    put([f"a{i}" for i in range(40)], 3)
+    assert read() == (sorted(f"a{i}" for i in range(40)), 3)
+    put(["b"], 1)                                        # fewer files than before
+    assert read() == (["b"], 1)
+    put([f"c{i}" for i in range(40)], 2)
+    assert read() == (sorted(f"c{i}" for i in range(40)), 2)
+    with monkeypatch.context() as m:                     # stops before the manifest is in place
+        move = deliveries._move
+        m.setattr(deliveries, "_move", lambda s, a, b: 1 / 0 if "_draft-" in a else move(s, a, b))
+        with pytest.raises(ZeroDivisionError):
+            put([f"d{i}" for i in range(40)], 4)
+    assert read() == (sorted(f"c{i}" for i in range(40)), 2)
+    put(["e1", "e2", "e3", "e4"], 2)
+    assert read()[0] == ["e1", "e2", "e3", "e4"]
+    names = [f for f in os.listdir(out) if not f.startswith((".", "_"))]
+    assert len(names) == landing.list_files(spark, out).count()          # nothing stale is left
+    # a file that someone else lands later under the plain name counts
+    plain = f"{out}/UCL_champions_league_matches.csv"
+    with open(plain, "w") as f:
+        f.write(HEADER + ",".join(_match("x")) + "\n")
+    os.utime(plain, (2e9, 2e9))
+    assert "x" in read()[0]
+
+
 def test_landing_listing_new_and_retire(spark, tmp_path):
     d = _land(tmp_path)
     names = ["UCL_champions_league_matches.csv", "UCL_empty_matches.csv", "UECL_conference_league_matches.csv.gz",
@@ -169,3 +251,38 @@ def test_stream_load_exactly_once(spark, tmp_path):
     assert got == ["s1", "s3"]
     log = {r.file_name: (r.rows_inserted, r.rows_rejected) for r in file_stream.loaded_log(spark, out).collect()}
     assert log == {"UCL_a_matches.csv": (1, 0), "UCL_b_matches.csv": (1, 1)}
+
+
+def test_stream_goes_on_beside_broken_files(spark, tmp_path, monkeypatch):
+    from scoreline.streaming import file_stream
+    d, out, ck, away = tmp_path / "land", str(tmp_path / "out"), str(tmp_path / "ck"), str(tmp_path / "quarantine")
+    d.mkdir()
+
+    def run():
+        file_stream.start_load(spark, str(d), out, ck, quarantine_dir=away).awaitTermination()
+    (d / "UCL_broken_matches.csv.gz").write_bytes(b"\x1f\x8b\x08 not an archive")
+    (d / "UCL_a_matches.csv").write_text(HEADER + "s1,UCL,s,p,2025-10-01,A,B,1,0\n")
+    (d / "UCL_empty_matches.csv").write_text("")
+    run()
+    run()
+    packed = gzip.compress((HEADER + "".join(f"k{i},UCL,s,p,,A{i * 7919 % 9973},B,1,1\n" for i in range(20_000))).encode())
+    (d / "UEL_cut_matches.csv.gz").write_bytes(packed[:len(packed) // 2])
+    (d / "UEL_b_matches.csv").write_text(HEADER + "s2,UEL,s,p,2025-10-02,C,D,x,0\n")
+    # a batch that stops before it is published is loaded anew
+    with monkeypatch.context() as m:
+        m.setattr(commits, "publish", lambda *_: 1 / 0)
+        with pytest.raises(Exception):
+            run()
+    assert [r.match_id for r in file_stream.loaded_matches(spark, out).collect()] == ["s1"]
+    run()
+    assert [r.match_id for r in file_stream.loaded_matches(spark, out).collect()] == ["s1"]
+    assert [r.match_id for r in file_stream.loaded_rejects(spark, out).collect()] == ["s2"]
+    log = [(r.file_name, r.rows_inserted, r.rows_rejected, r.status) for r in file_stream.loaded_log(spark, out).collect()]
+    assert sorted(log) == [("UCL_a_matches.csv", 1, 0, "SUCCESS"), ("UCL_broken_matches.csv.gz", 0, 0, "ERROR: unreadable file"),
+                           ("UCL_empty_matches.csv", 0, 0, "SUCCESS"), ("UEL_b_matches.csv", 0, 1, "PARTIAL"),
+                           ("UEL_cut_matches.csv.gz", 0, 0, "ERROR: unreadable file")]
+    assert [f.split("-", 1)[1] for f in sorted(os.listdir(away)) if not f.startswith(".")] == ["UCL_broken_matches.csv.gz", "UEL_cut_matches.csv.gz"]
+    # a replayed batch that is published does nothing
+    files = spark.createDataFrame([], landing.FILE_LIST)
+    file_stream.load_batch(files, 0, str(d), out)
+    assert file_stream.loaded_log(spark, out).count() == 5

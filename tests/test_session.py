@@ -1,3 +1,6 @@
+import subprocess
+import sys
+
 from scoreline.session import checkpoint_root, scratch_path
 from scoreline.sources import tables
 
@@ -17,3 +20,12 @@ def test_spread_only_when_the_session_says_so(spark):
         assert tables.spread(one).rdd.getNumPartitions() == 5
     finally:
         spark.conf.unset(tables.SCAN_PARTITIONS)
+
+
+def test_a_local_session_without_a_checkpoint_folder_gets_one():
+    code = ("from scoreline.session import build_session, checkpoint_root, scratch_path\n"
+            "s = build_session('local[1]')\n"
+            "assert checkpoint_root(s) == checkpoint_root(s) and scratch_path(s, 'a').startswith(checkpoint_root(s))\n"
+            "assert s.range(3).checkpoint().count() == 3\n")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, timeout=300, capture_output=True)

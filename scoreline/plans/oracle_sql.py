@@ -503,6 +503,20 @@ WHERE length(home_team) > 2 AND length(away_team) > 2 AND {_is_club_sql('home_te
     out["extract_fallback"] = out["broad_text_matches"].replace(
         "FROM matches GROUP BY l_orderkey, competition)", "FROM matches WHERE l_orderkey % 3 = 0 GROUP BY l_orderkey, competition)"
     ) + " UNION ALL " + regular
+    # the same rows with their page, their place on it and, on pages without
+    # elements, their order in the text
+    paged = out["broad_text_matches"].replace(
+        "FROM matches GROUP BY l_orderkey, competition)", "FROM matches WHERE l_orderkey % 3 = 0 GROUP BY l_orderkey, competition)").replace(
+        "  SELECT competition, unnest(regexp_extract_all(txt, {pat}, 1)) AS g1".format(pat=pat),
+        "  SELECT l_orderkey, competition, unnest(range(len(regexp_extract_all(txt, {pat}, 1)))) AS nth, unnest(regexp_extract_all(txt, {pat}, 1)) AS g1".format(pat=pat)).replace(
+        "  SELECT competition, {strip} AS home_team".format(strip=_strip_sql("g1")), "  SELECT l_orderkey, nth, competition, {strip} AS home_team".format(strip=_strip_sql("g1"))).replace(
+        "SELECT {mid} AS match_id".format(mid=_match_id_sql('competition', 'season', 'phase', 'home_team', 'away_team', 'match_date')),
+        "SELECT l_orderkey, nth, {mid} AS match_id".format(mid=_match_id_sql('competition', 'season', 'phase', 'home_team', 'away_team', 'match_date')))
+    head, _, last = paged.rpartition("\nSELECT l_orderkey, nth, ")
+    out["extract_fallback_limited"] = head + ",\nboth_kinds AS (\nSELECT l_orderkey, nth, " + last + " UNION ALL " + regular.replace(
+        "  SELECT ", f"  SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {order}) AS nth, ", 1) + f""")
+SELECT l_orderkey AS page_id, * EXCLUDE (l_orderkey, nth) FROM both_kinds
+QUALIFY row_number() OVER (PARTITION BY competition ORDER BY l_orderkey, nth) <= {xq.LIMIT}"""
     out["single_element_matches"] = with_ctes(ADAPTER) + f""",
 f AS (
   SELECT *, first_value(match_date) OVER (PARTITION BY l_orderkey ORDER BY {order}

@@ -110,6 +110,21 @@ def test_broad_rule_only_where_nothing_else_was_found(spark):
     assert rows(spark, "<p>Nothing here 12 : 00</p><!-- Aaa 1 : 2 Bbb -->") == []
 
 
+def test_a_limit_does_not_bring_broad_finds_back(spark):
+    def page(n):
+        both = "<p>Napoli Club 3 : 1 Torino Club</p>" + line(box("time", f"0{n}.10.2025"), team(f"Ajax{n}", "PSV"), box("x", "1:0"))
+        return (n, "UCL", both)
+    broad = "<p>Rakow Club 2 : 1 Rapid Club, Genk Club 0 : 0 Brugge Club, Lyon Club 1 : 4 Betis Club</p>"
+    got = read(spark, [page(1), page(2), page(3)], "long", limit=2).collect()
+    assert sorted((r.page_id, r.home_team) for r in got) == [(1, "Ajax1"), (2, "Ajax2")]
+    got = read(spark, [page(1), (2, "UCL", broad), page(3)], "long", limit=3).collect()
+    assert sorted((r.page_id, r.home_team) for r in got) == [(1, "Ajax1"), (2, "Genk Club"), (2, "Rakow Club")]
+    # a broad find does not set the phase of the elements that are read after it
+    odd = "<p>Rakow Club 2 : 1 Rapid Club</p>" + line(team("England", "Lyon"), box("x", "1:1"))
+    got = read(spark, [(1, "UCL", odd)], "long").collect()
+    assert [(r.home_team, r.pos, r.match_date) for r in got] == [("Rakow Club", -1, "2026-03-01")]
+
+
 def test_broad_rule_is_linear(spark):
     page = "a " * 100_000 + "Ajax Club 2 : 1 Celtic Club"
     df = spark.createDataFrame([(1, "UCL", page)], "page_id long, competition string, page_text string")

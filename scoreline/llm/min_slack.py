@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -35,21 +36,44 @@ from scoreline.llm.common import partitions, plain, small_batches, stored
 SIZE, END_ID = 2048, 0
 #: code points handed to the pattern at a time
 CHUNK = 1 << 16
-#: distinct pre-tokens that a worker remembers before it starts anew
-REMEMBER = 300_000
+#: distinct words, and pre-tokens, that a worker remembers before it starts anew
+REMEMBER = 400_000
 GROUP_PIECES = 4_096
 
 # Between a character that is no white space and a blank or line break a
 # pre-token always ends: no alternative of the pattern runs on there, and none
 # looks back.
 _SAFE = re.compile(r"\S(?=[ \n])")
+# White space before a blank, and marks that are a pre-token behind letters
+_ODD = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
+_MARKS = (",", ".", ";", ":", "!", "?")
+
+
+class _Known(dict):
+    """Ids by text, each worked out once.  Two generations of ``REMEMBER`` texts
+    are kept: those not asked for since the last change of generations go."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self._encode, self._older = encode, {}
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self._older.get(text)
+        if ids is None:
+            ids = self._encode(text)
+        if len(self) >= REMEMBER:
+            self._older = dict(self)
+            self.clear()
+        self[text] = ids
+        return ids
 
 
 class Tokens:
     """Ids of texts by a byte-level BPE file of the ``tokenizers`` library; lives
-    in a worker.  The library's model encodes each distinct pre-token once; texts
-    are cut into pre-tokens by its pattern and at its special tokens, as the
-    library does."""
+    in a worker.  Texts are cut at the library's special tokens, as it does, and
+    at single blanks behind other characters; a blank and what follows it up to
+    the next is cut into pre-tokens by the library's pattern, and the library's
+    model encodes those.  Both words and pre-tokens are remembered."""
 
     def __init__(self, path: str, pattern: str, special: bool = True):
         import regex
@@ -57,7 +81,8 @@ class Tokens:
         whole = Tokenizer.from_file(path)
         self._model = whole.model
         self._pattern = regex.compile(pattern)
-        self._known: dict[str, bytes] = {}
+        self._pieces = _Known(self._encode)
+        self._words = _Known(self._word)
         names = {t.content: i for i, t in whole.get_added_tokens_decoder().items()} if special else {}
         self._special = {name: self._pack([i]) for name, i in names.items()}
         # longest first, so that of two that begin alike the longer one is found
@@ -70,26 +95,39 @@ class Tokens:
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
-        return np.array(ids, np.dtype("<u4")).tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _encode(self, piece: str) -> bytes:
-        if len(self._known) >= REMEMBER:
-            self._known.clear()
         shown = piece.encode().decode("latin-1").translate(self._shown)
-        ids = self._known[piece] = self._pack([t.id for t in self._model.tokenize(shown)])
-        return ids
+        return self._pack([t.id for t in self._model.tokenize(shown)])
+
+    def _word(self, word: str) -> bytes:
+        if word.isalpha():                                # one pre-token with its blank
+            return self._encode(" " + word)
+        if word[-1:] in _MARKS and word[:-1].isalpha():   # two, of which the first is often known
+            return self._words[word[:-1]] + self._pieces[word[-1]]
+        return self._cut_up(" " + word)
+
+    def _cut_up(self, text: str) -> bytes:
+        return b"".join(map(self._pieces.__getitem__, self._pattern.findall(text)))
 
     def _ordinary(self, text: str) -> Iterator[bytes]:
-        known, done = self._known, 0
+        done = 0
         while done < len(text):
             cut = _SAFE.search(text, done + CHUNK) if len(text) - done > CHUNK else None
             end = cut.end() if cut else len(text)
-            yield b"".join([known.get(p) or self._encode(p) for p in self._pattern.findall(text, done, end)])
+            part = text[done:end]
+            if any(two in part for two in _ODD):          # not every blank ends a pre-token
+                yield self._cut_up(part)
+            else:
+                first, *words = part.split(" ")
+                yield self._cut_up(first)
+                yield b"".join(map(self._words.__getitem__, words))
             done = end
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids, end to end."""
-        if self._cut is None or not self._cut.search(text):
+        if not any(name in text for name in self._special):
             return b"".join(self._ordinary(text))
         parts: list[bytes] = []
         for part in self._cut.split(text):

@@ -11,29 +11,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreline.llm import packing, simhash_vpt, suffix_dedup, toxicity
-from scoreline.llm.common import scratch, table
+from scoreline.llm.common import plain, scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator does not reject."""
+    """Documents that the toxicity operator does not reject, with all their
+    columns.  Null texts are empty and stay; repeated rows stay or go together;
+    null ids stay; no rows (or no labels) give none (or reject none)."""
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash near-duplicate group."""
+    """One document of each SimHash near-duplicate group, that of the smallest id,
+    with all its columns.  Null texts are empty, and texts without words are one
+    group; of rows of one id and text one stays; rows with a null id all stay."""
     return simhash_vpt.drop_near_duplicates(docs)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that a document of smaller id holds too."""
-    cut = suffix_dedup.cut_repeats(docs)
-    return cut.select(*[F.col("cut_text").alias(c) if c == "text" else
-                        F.length("cut_text").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    """Documents without the passages that a document of smaller id holds too;
+    ``n_chars`` follows, all other columns stay, whatever they are called.  Null
+    texts become empty; rows with a null id, and texts shorter than a passage,
+    stay whole; repeated rows are cut alike."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cut = suffix_dedup.cut_repeats(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *map(plain, others)).alias("others")))
+    new = {"doc_id": F.col("doc_id"), "text": F.col("cut_text"), "n_chars": F.length("cut_text").cast("bigint")}
+    return cut.select(*[new.get(c, F.col("others").getField(c)).alias(c) for c in docs.columns])
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token-budget batches of documents of like length."""
+    """Token-budget batches of documents of like length: every row with its
+    columns and its place.  Null texts are empty (one token); repeated rows are
+    packed each; no rows give none."""
     return packing.pack(docs, packing.word_tokens(F.col("text")))
 
 

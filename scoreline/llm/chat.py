@@ -1,9 +1,11 @@
 r"""Chat formatting: reply trees to one formatted conversation per chosen path.
 
-Paths are found by self-joins over (message, parent) pairs alone.  Round k
-joins every path row with the table of 2**k-step ancestors and then joins that
-table with itself, so a thread of n messages takes log2(n) rounds; each round's
-small table is written to the shared folder.  Branches of a tree are ranked by
+Paths are found by self-joins over (message, parent) pairs alone.  First the
+table of 2**k-step ancestors is joined with itself until no further message
+meets its root; what is then left hangs on a circle and is set aside.  Round k
+then joins every path row with the table of 2**k-step ancestors, so threads of
+n messages take log2(n) rounds; each round's table is written to the shared
+folder.  Branches of a tree are ranked by
 their mean score, and the messages of the chosen paths are joined in once.
 
 Template: each turn is ``<|im_start|>`` role, newline, text, ``<|im_end|>``,
@@ -37,23 +39,32 @@ def unescape(c: Column) -> Column:
 def reply_paths(messages: DataFrame) -> DataFrame:
     """(leaf, node, dist) for every root-to-leaf path; ``dist`` counts from the
     leaf.  A parent that is null, unknown or the message itself makes a root.
-    Messages whose ancestors run in a circle have no root and give no path."""
+    Messages whose ancestors run in a circle have no root and give no path; none
+    of them enters a round of paths."""
     spark = messages.sparkSession
     pairs = messages.groupBy("message_id").agg(F.min("parent_id").alias("parent_id"))
     known = pairs.select(F.col("message_id").alias("parent_id"))
     links = pairs.where("parent_id != message_id").join(known, "parent_id", "left_semi")
     nodes = stored(pairs.select("message_id").join(links, "message_id", "left"), "chat-nodes")
-    leaves = nodes.join(nodes.where("parent_id is not null").select(F.col("parent_id").alias("message_id")),
-                        "message_id", "left_anti")
+    # ancestors 1, 2, 4, ... steps up; rows end where a root is passed.  A round in
+    # which no row ends leaves only messages that never meet a root.
+    jump = stored(nodes.where("parent_id is not null").select(F.col("message_id").alias("node"), F.col("parent_id").alias("up")), "chat-jump")
+    jumps, left = [], jump.count()
+    while left:
+        ahead = jump.select(F.col("node").alias("up"), F.col("up").alias("far"))
+        far = stored(jump.join(ahead, "up").select("node", F.col("far").alias("up")), "chat-jump")
+        before, left = left, far.count()
+        if left == before:
+            break
+        jumps.append(jump)
+        jump = far
+    circling = jump.select(F.col("node").alias("message_id"))
+    answered = nodes.where("parent_id is not null").select(F.col("parent_id").alias("message_id"))
+    leaves = nodes.select("message_id").join(answered, "message_id", "left_anti").join(circling, "message_id", "left_anti")
     paths = leaves.select(F.col("message_id").alias("leaf"), F.col("message_id").alias("node"), F.lit(0).cast("bigint").alias("dist"))
-    jump = nodes.where("parent_id is not null").select(F.col("message_id").alias("node"), F.col("parent_id").alias("up"))
-    count, step = nodes.count(), 1
-    while step < count and not jump.isEmpty():
-        longer = paths.join(jump, "node").select("leaf", F.col("up").alias("node"), (F.col("dist") + step).alias("dist"))
+    for k, jump in enumerate(jumps):
+        longer = paths.join(jump, "node").select("leaf", F.col("up").alias("node"), (F.col("dist") + (1 << k)).alias("dist"))
         paths = stored(paths.unionByName(longer), "chat-paths")
-        ahead = jump.select(F.col("node").alias("up"), F.col("up").alias("far"))
-        jump = stored(jump.join(ahead, "up").select("node", F.col("far").alias("up")), "chat-jump")
-        step *= 2
     roots = nodes.where("parent_id is null").select(F.col("message_id").alias("node"))
     rooted = paths.join(roots, "node", "left_semi").select("leaf", F.col("node").alias("root"))
     return paths.join(rooted, "leaf")

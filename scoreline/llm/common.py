@@ -7,6 +7,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scoreline.session import scratch_path
 
@@ -28,6 +29,17 @@ def plain(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind)
+    return isinstance(kind, T.MapType) or (isinstance(kind, T.ArrayType) and _holds_map(kind.elementType))
+
+
+def hashable(df: DataFrame, names: list[str]) -> list[Column]:
+    """The named columns as a hash takes them: those that hold a map as JSON."""
+    return [F.to_json(F.struct(plain(c).alias("v"))) if _holds_map(df.schema[c].dataType) else plain(c) for c in names]
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write once into the shared folder and read back: cuts the lineage, and a
     lost executor costs no recomputation."""

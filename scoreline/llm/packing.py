@@ -20,6 +20,8 @@ from array import array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreline.llm.common import hashable, plain
+
 BUCKETS, TOKEN_BUDGET = 16, 65_536
 GROUP_ROWS = 8_192
 
@@ -80,13 +82,15 @@ def pack(docs: DataFrame, length: Column, id_col: str = "doc_id", buckets: int =
 
     Rows follow each other by id (nulls first) and a hash of the row.  Rows of
     equal length share a bucket; a row longer than the budget is a batch alone;
-    repeated rows are packed each.  Input columns that carry one of the new
-    names are replaced; no rows give none.
+    repeated rows are packed each.  Columns may be of any type and name; those
+    that carry one of the new names are replaced; no rows give none.  The
+    histogram on the driver has one entry for each distinct length, so at most
+    as many as the longest text has tokens.
     """
     new = ("n_tokens", "bucket", "pad_to", "batch_id", "slot")
     keep = [c for c in docs.columns if c.lower() not in new]
-    rows = docs.select(F.struct(*keep).alias("row"), F.coalesce(length, F.lit(0)).cast("bigint").alias("n"),
-                       F.col(id_col).alias("id"), F.xxhash64(*keep).alias("tie"))
+    rows = docs.select(F.struct(*map(plain, keep)).alias("row"), F.coalesce(length, F.lit(0)).cast("bigint").alias("n"),
+                       plain(id_col).alias("id"), F.xxhash64(*hashable(docs, keep)).alias("tie"))
     histogram = [(r.size, r.rows) for r in rows.groupBy(F.col("n").alias("size"))
                  .agg(F.count("*").alias("rows")).orderBy("size").collect()]
     ends = best_ends(histogram, buckets) or [0]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreline.llm.common import UPPER, partitions, small_batches, stored
+from scoreline.llm.common import UPPER, partitions, plain, small_batches, stored
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: fingerprints drawn to grow the shard tree; fingerprints aimed at in a shard;
@@ -65,13 +65,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([text_fingerprint(t.as_buffer().to_pybytes(), shingle) for t in batch.column("text")], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps.view(np.int64)), batch.column("tie")], ["id", "fp", "tie"])
 
-    text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), _text_hash(text_col).alias("tie"))
+    text = F.encode(F.coalesce(plain(text_col), F.lit("")), "UTF-8")
+    rows = docs.select(plain(id_col).alias("id"), text.alias("text"), _text_hash(text_col).alias("tie"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint, tie bigint")
 
 
 def _text_hash(text_col: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return F.xxhash64(F.coalesce(plain(text_col), F.lit("")))
 
 
 def _vantage(points: np.ndarray, tries: int = 8) -> tuple[np.uint64, int, np.ndarray] | None:
@@ -224,13 +224,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row of ``docs`` for each component: that of its smallest id, of rows with
-    that id the one of the smallest text hash.  Rows with a null id stay."""
+    that id the one of the smallest text hash, once if it is repeated.  Rows with
+    a null id stay, each.  Null text is empty; texts without words are alike.
+    All columns stay, of any type and name; no rows give none."""
     prints = stored(fingerprints(docs, id_col, text_col, shingle), "simhash-prints")
     named = _with_component(prints).where("id is not null")
     heads = named.groupBy("root").agg(F.min(F.struct("id", "tie")).alias("head")).select("head.id", "head.tie")
-    columns = docs.columns
-    rows = docs.select(F.struct(*columns).alias("row"), F.col(id_col).alias("id"), _text_hash(text_col).alias("tie"))
+    rows = docs.select(F.struct(*map(plain, docs.columns)).alias("row"), plain(id_col).alias("id"), _text_hash(text_col).alias("tie"))
     left = rows.join(heads, ["id", "tie"], "left_semi")
     again = F.row_number().over(Window.partitionBy("id", "tie").orderBy("id"))
     left = left.withColumn("again", again).where(F.col("again") == 1).select("row.*")
-    return left.union(docs.where(F.col(id_col).isNull()))
+    return left.union(docs.where(plain(id_col).isNull()))

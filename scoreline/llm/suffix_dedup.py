@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreline.llm.common import partitions, small_batches
+from scoreline.llm.common import partitions, plain, small_batches
 
 LENGTH, GRAM = 50, 16
 FILTER_BITS, SEGMENTS = 1 << 27, 256
@@ -368,13 +368,12 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     small_batches(docs.sparkSession)
     new = ("cut_bytes", "cut_spans", "cut_kept", "cut_text")
     keep = [c for c in docs.columns if c.lower() not in new]
-    raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    keyed = docs.select(F.struct(*keep).alias("row"), F.col(id_col).cast("bigint").alias("id"),
-                        F.xxhash64(raw).alias("tie"), raw.alias("text"))
-    ranges = covered_ranges(keyed.select("id", "tie", "text"), length, shards)
+    raw = F.encode(F.coalesce(plain(text_col), F.lit("")), "UTF-8")
+    keyed = docs.select(plain(id_col).cast("bigint").alias("id"), F.xxhash64(raw).alias("tie"), raw.alias("text"))
+    ranges = covered_ranges(keyed, length, shards)
     ranges = ranges.groupBy("id", "tie").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     # the text is in the row already: cut from it, so that it travels once
-    slim = docs.select(F.struct(*keep).alias("row"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(raw).alias("tie"))
+    slim = docs.select(F.struct(*map(plain, keep)).alias("row"), plain(id_col).cast("bigint").alias("id"), F.xxhash64(raw).alias("tie"))
     joined = slim.join(ranges, ["id", "tie"], "left").select("row", F.encode(F.coalesce(F.col("row")[text_col], F.lit("")), "UTF-8").alias("text"),
                                                              "starts", "ends")
 

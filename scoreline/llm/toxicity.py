@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreline.llm.common import small_batches, stored
+from scoreline.llm.common import plain, small_batches, stored
 
 TOXIC_DOCS, CLEAN_DOCS = 6_000, 12_000
 FEATURES, WINDOWS, WINDOW = 50_000, 8_000, 32
@@ -276,7 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     order = F.xxhash64("id")
     drawn = (known.where("toxic = 1").orderBy(order, "id").limit(TOXIC_DOCS)
              .unionByName(known.where("toxic = 0").orderBy(order, "id").limit(CLEAN_DOCS)))
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(plain(id_col).alias("id"), F.coalesce(plain(text_col), F.lit("")).alias("text"))
     # at most TOXIC_DOCS + CLEAN_DOCS ids: a broadcast of bounded size
     sample = stored(texts.join(F.broadcast(drawn), "id").select("id", "toxic", "text"), "toxicity-sample")
     ratio = _suspicious(sample)
@@ -334,7 +334,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     its whole text alone; null or empty texts get the score of no marginal.
     Ids may be null or repeat; extra columns are ignored; no rows give none."""
     small_batches(docs.sparkSession, 500)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(plain(id_col).alias("id"), F.coalesce(plain(text_col), F.lit("")).alias("text"))
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,15 +351,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all their columns, that score below ``threshold``;
-    null texts are empty."""
+    """The rows of ``docs``, all their columns of any type and name, that score
+    below ``threshold``.  Null texts are empty; equal texts share their fate, so
+    repeated rows stay or go together; no rows give none."""
     small_batches(docs.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            top, _ = scorer(texts)
+            top, _ = scorer([t or "" for t in batch.column("row").field(text_col).to_pylist()])
             yield batch.filter(pa.array(model.score(top) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.select(F.struct(*map(plain, docs.columns)).alias("row"))
+    return rows.mapInArrow(run, rows.schema).select("row.*")

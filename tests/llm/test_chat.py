@@ -36,6 +36,21 @@ def test_every_root_to_leaf_path(spark):
     assert [got[(1, k)].branch_rank for k in (5, 6, 3)] == [1, 2, 3]
 
 
+def test_answers_on_a_circle_write_no_path(spark, monkeypatch):
+    written = []
+    stored = chat.stored
+    monkeypatch.setattr(chat, "stored", lambda df, label: written.append((label, stored(df, label))) or written[-1][1])
+    rows = [(1, 2, "user", "round", None), (2, 1, "user", "round", None)] + [(i, 1 + i % 2, "user", "answer", None) for i in range(3, 603)]
+    rows += [(i, i - 1, "user", "chain", None) for i in range(604, 640)] + [(603, None, "user", "root", None), (700, 699, "user", "", None)]
+    rows += [(699, 610, "user", "side", None), (800, 3, "user", "on an answer", None)]
+    paths = chat.reply_paths(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.leaf, r.root) for r in paths} == {(639, 603), (700, 603)} and len(paths) == 37 + 10
+    assert max(t.count() for label, t in written if label == "chat-paths") == len(paths)
+    only = spark.createDataFrame(rows[:602], SCHEMA)
+    written.clear()
+    assert chat.reply_paths(only).count() == 0 and not [t for label, t in written if label == "chat-paths" and t.count()]
+
+
 def test_best_branch_only_and_long_thread(spark):
     rows = [(i, i - 1 if i else None, "user" if i % 2 == 0 else "assistant", f"t{i}", 1.0) for i in range(37)]
     rows += [(100, 5, "assistant", "side", 0.0)]

@@ -76,3 +76,40 @@ def test_planted_cases(spark, tmp_path):
     assert not toxic & set(got) and 390 not in got and 391 not in got
     assert len(set(rows) - toxic - {390, 391} - set(got)) <= 4          # clean documents stay
     assert passage in got[11].text and all(passage not in got[i].text for i in (50, 303) if i in got)
+
+
+def test_odd_rows_and_columns(spark):
+    long = " ".join(f"word{i % 977} next{i % 1009}" for i in range(60_000))
+    passage = "a passage that stands in two of the documents and is longer than fifty bytes by far"
+    rows = [(1, f"one {passage} end", 3), (2, f"two other words {passage}", None), (2, f"two other words {passage}", None), (3, None, None),
+            (None, "no id", 5), (None, None, None), (4, "", 0), (5, long, 1), (6, "same id first text here", 1), (6, "same id and quite another text", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint").select(
+        "*", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit("keep me").alias("cut_text"), F.lit("and me").alias("cut_kept"),
+        F.lit("dots").alias("a.b"), F.create_map(F.lit("k"), F.col("doc_id")).alias("m"), F.lit("x").alias("row"), F.lit("y").alias("tie"),
+        F.lit(7).alias("bucket"), F.lit("z").alias("others"))
+    kept = P.drop_copies(spark, docs, "")
+    assert kept.dtypes == docs.dtypes
+    got = kept.collect()
+    assert sorted([r.doc_id for r in got if r.doc_id is not None]) == [1, 2, 3, 5, 6, 6] and sum(r.doc_id is None for r in got) == 2
+    cut = P.cut_passages(spark, docs, "")
+    assert cut.dtypes == docs.dtypes
+    texts = [(r.doc_id, r.text) for r in cut.collect()]
+    assert len(texts) == 10 and (1, f"one {passage} end") in texts and texts.count((2, "two other words")) == 2 and (5, long) in texts
+    assert all((r.cut_text, r.cut_kept, r["a.b"], r.others, r.n_chars) == ("keep me", "and me", "dots", "z", len(r.text)) for r in cut.collect())
+    packed = P.pack_batches(spark, docs, "").collect()
+    assert len(packed) == 10 and {r["a.b"] for r in packed} == {"dots"} and all(r.m == {"k": r.doc_id} for r in packed)
+    for stage in (P.drop_copies, P.cut_passages, P.pack_batches):
+        assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_toxicity_stage_keeps_odd_rows(spark, tmp_path):
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    train = [(i, text(60) + " vilename fouljerk" * (i % 9 == 0) + text(20)) for i in range(400)]
+    df = spark.createDataFrame(train, "doc_id bigint, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    df.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 9 == 0).cast("int").alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(None, None), (1, ""), (1, ""), (2, f"{train[1][1]} " * 2_000), (3, f"{text(30)} vilename fouljerk {text(30)}")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").select("*", F.lit("k").alias("a.b"), F.lit("c").alias("score"))
+    got = P.drop_toxic(spark, docs, str(tmp_path))
+    assert got.dtypes == docs.dtypes and sorted((r.doc_id or 0) for r in got.collect()) == [0, 1, 1, 2]

@@ -2,14 +2,22 @@
 
 A page is read into blocks: runs of text between block-level tags.  Each block
 gets a score from plain features (the elements it stands in, words of their
-class, id and role, its length, its share of link text); a positive score is
-its capacity to the source (content), a negative one to the sink (boilerplate).
-Inside a boilerplate element nothing that stands around or in it speaks for its
-text, only a ``main`` in it (or an ``article``, if it is a form) starts afresh.
-Neighbours in page order are joined by an edge that weakens with their distance
-in the element tree, and so is each block with the one before it under the same
-parent.  The minimum cut of that graph is the labelling with the least sum of
-overruled scores and parted neighbours; blocks on the source side are content.
+class, id and role, its length, its share of link text, stock phrases of notices
+and imprints); a positive score is its capacity to the source (content), a
+negative one to the sink (boilerplate).  Inside a boilerplate element nothing
+that stands around or in it speaks for its text, only a ``main`` in it (or an
+``article``, if it is a form) starts afresh.  Class words that name a part of a
+page (sidebar, comments) say so whatever it holds; words that are topics and
+styles as well (legal, alert, notice) count the less the more of the page's
+text the element holds, and say nothing of an element that holds it all.
+
+Neighbours in page order are joined by an edge of the size of a plain block's
+score that falls with their distance in the element tree, and each block is
+joined with the one before it under the same parent.  So a list
+item or a short line, which looks like boilerplate by itself, goes with the
+paragraphs it stands between.  The minimum cut of that graph is the labelling
+with the least sum of overruled scores and parted neighbours; blocks on the
+source side are content.
 
 Blocks whose score outweighs all their edges keep its label in every minimum
 cut, so they are settled first and the flow runs on what is left.  Pages are
@@ -42,11 +50,16 @@ _SCOPES = frozenset("table ul ol dl select article section main body html menu t
 #: element scores: what standing inside of it says
 _TAG = {"nav": -8, "footer": -8, "aside": -8, "form": -8, "button": -8, "select": -8, "textarea": -8, "menu": -8, "dialog": -8,
         "search": -8, "fieldset": -6, "option": -8, "header": -5, "article": 4, "main": 3}
-_BAD = frozenset("""ad ads adv advert adverts advertisement advertising banner billboard sponsor sponsored promo promotion promoted
-cookie cookies consent gdpr notice notices alert popup modal overlay toast subscribe subscription newsletter signup login paywall
-share sharing social follow breadcrumb breadcrumbs menu nav navbar navigation sidebar side related recommended recommendations
-comment comments commentlist discussion disqus reply replies reactions respond footer foot header masthead topbar toolbar pagination
-pager widget disclaimer copyright legal search skip hidden teaser outbrain taboola tags meta byline""".split())
+_BAD = frozenset("""ad ads adv advert adverts advertisement advertising billboard sponsor sponsored popup modal overlay subscribe paywall
+breadcrumb breadcrumbs menu nav navbar navigation sidebar related recommended recommendations comment comments commentlist disqus
+reply replies footer foot header masthead topbar toolbar pagination pager hidden outbrain taboola""".split())
+#: words that name a part of a page, but also a topic or a style
+_DOUBTFUL = frozenset("""banner promo promotion promoted cookie cookies consent gdpr notice notices alert toast subscription newsletter signup
+login share sharing social follow side discussion reactions respond widget disclaimer copyright legal search skip teaser tags meta
+byline""".split())
+#: together they name a part of a page: user-reviews, author-box
+_PAIRS = [(frozenset("user users reader readers customer customers guest visitor".split()), frozenset("review reviews opinion opinions feedback".split())),
+          (frozenset("author authors".split()), frozenset("box bio info card about profile".split()))]
 _GOOD = frozenset("article content entry post story text main body page hentry articlebody".split())
 _ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar status".split())
 #: class names that mention a part of the page without being it: has-sidebar, share-enabled, hidden-xs, article-header,
@@ -59,30 +72,61 @@ _WORDS = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+#: what a doubtful class says of an element with next to none of the page's text
+_DOUBT = -8.0
+#: from here on it governs like a boilerplate element; weaker, it is added to what stands around
+_GOVERNS = -4.0
+_COOKIES = re.compile(r"\b(we|site|website|page) uses? cookies|accept (all )?cookies|cookie policy", re.I)
+_IMPRINT = re.compile(r"^(©|\(c\)|copyright\b)|\ball rights reserved\b", re.I)
+
+
 class _Element:
-    """An open element: its tag, depth, parent, and what standing in it says:
-    ``bad`` of the boilerplate it stands in, else ``good`` of all around it."""
+    """An element: its tag, depth, parent, own evidence, and what standing in it
+    says: ``bad`` of the boilerplate it stands in, else ``good`` of all around it."""
 
-    __slots__ = ("tag", "parent", "depth", "good", "bad", "bar", "in_article")
+    __slots__ = ("tag", "parent", "depth", "own", "doubtful", "main", "words", "good", "bad", "bar", "in_article")
 
-    def __init__(self, tag: str, parent: _Element | None, score: float, main: bool = False):
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: _Element | None, own: float, doubtful: bool = False, main: bool = False):
+        self.tag, self.parent, self.own, self.doubtful, self.main = tag, parent, own, doubtful, main
         self.depth = parent.depth + 1 if parent else 0
+        self.words = 0
+        self.in_article = tag in ("article", "main") or (parent is not None and parent.in_article)
+        self.weigh(0.0)
+
+    def weigh(self, doubt: float) -> None:
+        """Take what stands around from the parent and add the own evidence."""
+        parent = self.parent
         self.good, self.bad, self.bar = (parent.good, parent.bad, parent.bar) if parent else (0.0, 0.0, 0)
+        score = self.own + (doubt if doubt <= _GOVERNS else 0.0)
         if score < 0:
             self.bad += score
-            self.bar = max(self.bar, 3 if score <= -12 else 1 if tag == "form" else 2)
+            self.bar = max(self.bar, 3 if score <= -16 else 1 if self.tag == "form" else 2)
         else:
-            self.good += score
-            if self.bar < 3 and main or self.bar == 1 and tag == "article":
+            self.good += score + (doubt if doubt > _GOVERNS else 0.0)
+            if self.bar < 3 and self.main or self.bar == 1 and self.tag == "article":
                 self.bad, self.bar = 0.0, 0
-        self.in_article = tag in ("article", "main") or (parent is not None and parent.in_article)
 
     @property
     def score(self) -> float:
         return self.bad if self.bar else self.good
 
 
+def _settle(elements: list[_Element], blocks: list[tuple[str, int, _Element]]) -> None:
+    """Weigh doubtful classes by how much of the page's text their elements hold;
+    ``elements`` in the order of their opening, so parents come first."""
+    if not any(e.doubtful for e in elements):
+        return
+    for text, _, element in blocks:
+        if not element.bar:
+            element.words += text.count(" ") + 1
+    for e in reversed(elements):
+        if e.parent:
+            e.parent.words += e.words
+    every = max(1, elements[0].words)
+    for e in elements:
+        e.weigh(_DOUBT * (1 - e.words / every) ** 2 if e.doubtful else 0.0)
+
+
 class _Reader(HTMLParser):
     """Collects blocks: (text, link characters, innermost element)."""
 
@@ -90,8 +134,11 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[str, int, _Element]] = []
         self.path = [_Element("", None, 0.0)]
+        self.elements = list(self.path)
         self.open: Counter = Counter()
         self.silent = ""
+        self.muted: list[str] = []                     # open elements from a hidden inline one on
+        self.muted_in = 0                              # open block elements around it
         self.parts: list[str] = []
         self.in_link = self.link_chars = 0
 
@@ -113,11 +160,12 @@ class _Reader(HTMLParser):
         if tag == "br":
             self.parts.append(" ")
             return
-        score = _element_score(tag, attrs, self.path[-1].in_article) if attrs or tag in _TAG else 0.0
+        score, doubtful = _element_score(tag, attrs, self.path[-1].in_article) if attrs or tag in _TAG else (0.0, False)
         if tag not in _BLOCK:
-            if score < 0 and tag not in _VOID:         # an inline element that hides or labels its text
-                self.flush()
-                self._enter(tag, score, attrs)
+            if tag not in _VOID and (self.muted or score <= -16):       # hidden, up to its end or that of the block
+                if not self.muted:
+                    self.muted_in = len(self.path)
+                self.muted.append(tag)
             return
         self.flush()
         if tag in _VOID:
@@ -131,11 +179,8 @@ class _Reader(HTMLParser):
                     break
                 if self.path[i].tag in _SCOPES:
                     break
-        self._enter(tag, score, attrs)
-
-    def _enter(self, tag: str, score: float, attrs: list) -> None:
-        main = tag == "main" or ("role", "main") in attrs
-        self.path.append(_Element(tag, self.path[-1], score, main))
+        self.path.append(_Element(tag, self.path[-1], score, doubtful, tag == "main" or ("role", "main") in attrs))
+        self.elements.append(self.path[-1])
         self.open[tag] += 1
 
     def _leave(self, tag: str) -> None:
@@ -148,6 +193,8 @@ class _Reader(HTMLParser):
     def _cut(self, i: int) -> None:
         self.open.subtract(e.tag for e in self.path[i:])
         del self.path[i:]
+        if len(self.path) < self.muted_in:
+            self.muted = []
 
     def handle_endtag(self, tag: str) -> None:
         if self.silent:
@@ -156,12 +203,14 @@ class _Reader(HTMLParser):
             return
         if tag == "a":
             self.in_link = 0
-        if tag in _BLOCK or self.open[tag]:
+        if tag in _BLOCK:
             self.flush()
             self._leave(tag)
+        elif tag in self.muted:
+            del self.muted[len(self.muted) - 1 - self.muted[::-1].index(tag):]
 
     def handle_data(self, data: str) -> None:
-        if not self.silent:
+        if not self.silent and not self.muted:
             self.parts.append(data)
             self.link_chars += self.in_link * len(data)
 
@@ -171,37 +220,49 @@ def _names_boilerplate(name: str) -> bool:
     the page or the article has some."""
     listed = _WORDS.findall(name)
     words = set(listed)
+    if any(words & a and words & b for a, b in _PAIRS):
+        return True
     bad = words & _BAD
     if not bad or words & _STATES or (bad == {"hidden"} and words & _SIZES):
         return False
-    if bad <= {"sidebar", "side"} and words & _GOOD and words & _WRAPS:
+    if bad == {"sidebar"} and words & _GOOD and words & _WRAPS:
         return False
     return not (bad == {"header"} and _heads_article(listed))
 
 
+def _is_doubtful(name: str) -> bool:
+    words = set(_WORDS.findall(name))
+    return bool(words & _DOUBTFUL) and not words & _STATES
+
+
 def _heads_article(words: list[str]) -> bool:
     return any(a in _HEADED and b == "header" for a, b in zip(words, words[1:]))
 
 
-def _element_score(tag: str, attrs: list, in_article: bool) -> float:
-    score = 0.0 if tag == "header" and in_article else float(_TAG.get(tag, 0))
+def _element_score(tag: str, attrs: list, in_article: bool) -> tuple[float, bool]:
+    """Evidence of an element's tag and attributes, and whether a class of it is
+    doubtful."""
+    score, doubtful = 0.0 if tag == "header" and in_article else float(_TAG.get(tag, 0)), False
     for name, value in attrs:
         value = (value or "").lower()
         if name in ("class", "id"):
             words = set(_WORDS.findall(value))
             if tag in ("body", "html", "main", "article") or (tag == "header" and in_article):
                 continue
-            if words & _BAD and any(_names_boilerplate(c) for c in value.split()):
+            if any(_names_boilerplate(c) for c in value.split()):
                 score -= 8
-            elif tag == "header" and any(_heads_article(_WORDS.findall(c)) for c in value.split()):
+                continue
+            if any(_is_doubtful(c) for c in value.split()):
+                doubtful = True
+            if tag == "header" and any(_heads_article(_WORDS.findall(c)) for c in value.split()):
                 score += 5                             # undoes the tag's
-            elif words & _GOOD:
+            elif words & _GOOD and not doubtful:
                 score += 1.5
         elif name == "role":
             score += -8 if value in _ROLE else 3 if value in ("main", "article") else 0
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
             score -= 20
-    return score
+    return score, doubtful
 
 
 def read_blocks(html: str) -> list[tuple[str, int, _Element]]:
@@ -209,6 +270,7 @@ def read_blocks(html: str) -> list[tuple[str, int, _Element]]:
     reader.feed(html)
     reader.close()
     reader.flush()
+    _settle(reader.elements, reader.blocks)
     return reader.blocks
 
 
@@ -217,14 +279,17 @@ def block_score(text: str, link_chars: int, element: _Element) -> float:
     score = element.score - 1.0 + min(words, 60) / 20
     if text[-1] in ".!?\"'”:;…":
         score += 0.5
-    if element.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre"):
+    if element.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre", "li", "dt", "dd"):
         score += 0.7
+    if words < 60 and (_COOKIES.search(text) or _IMPRINT.search(text)):
+        score -= 8
     return score - 4 * min(1.0, link_chars / len(text))
 
 
 def page_edges(blocks: list[tuple[str, int, _Element]]) -> list[tuple[int, int, float]]:
     """Smoothness edges: neighbours in page order, weaker the further apart in
-    the tree, and the last block before with the same parent element."""
+    the tree (1.25 between siblings), and the last block before with the same
+    parent element."""
     edges, last = [], {}
     for i, (_, _, element) in enumerate(blocks):
         parent = element.parent or element
@@ -236,9 +301,9 @@ def page_edges(blocks: list[tuple[str, int, _Element]]) -> list[tuple[int, int,
                 else:
                     b = b.parent
                 steps += 1
-            edges.append((i - 1, i, 1.5 / (1 + steps)))
+            edges.append((i - 1, i, 2.5 / max(steps, 2)))
             if last.get(parent, i - 1) != i - 1:
-                edges.append((last[parent], i, 0.5))
+                edges.append((last[parent], i, 0.8))
         last[parent] = i
     return edges
 
@@ -313,10 +378,16 @@ def _flow(rest: list[int], s: list[float], near: list[dict[int, float]]) -> set[
                 path.pop()
 
 
-def main_text(html: str) -> str:
+def labelled_blocks(html: str) -> list[tuple[str, float, bool]]:
+    """Every block of a page in order: its text, its own score, and whether the
+    minimum cut leaves it on the side of content."""
     blocks = read_blocks(html)
-    labels = minimum_cut([block_score(*b) for b in blocks], page_edges(blocks))
-    return "\n".join(b[0] for b, content in zip(blocks, labels) if content)
+    scores = [block_score(*b) for b in blocks]
+    return [(b[0], score, label) for b, score, label in zip(blocks, scores, minimum_cut(scores, page_edges(blocks)))]
+
+
+def main_text(html: str) -> str:
+    return "\n".join(text for text, _, content in labelled_blocks(html) if content)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

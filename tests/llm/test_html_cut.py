@@ -56,6 +56,52 @@ def test_classes_that_mention_boilerplate_are_neutral():
         assert H.main_text(f"<body><article><div class='{name}'><p>{LONG}</p></div></article></body>") == "", name
 
 
+P1 = "The council met on Tuesday evening to talk about the new bridge, which has been planned for more than ten years now."
+P2 = "Most members said that the costs had risen too far, but nobody wanted to give the plan up after so much work."
+MENU = "<ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li><li><a href=/c>Contact us</a></li></ul>"
+
+#: page forms and their main texts: what stands between [[ and ]]
+FORMS = {
+    "plain divs": f"<div>{MENU}</div><div>[[<h1>The bridge</h1><p>{P1}</p><ul><li>ten years</li><li>two rivers</li></ul><p>{P2}</p>]]</div>"
+                  "<div>Copyright 2021 The Paper. All rights reserved.</div>",
+    "table layout": f"<table><tr><td>{MENU}</td><td>[[<h2>The bridge</h2><p>{P1}</p><div>In short</div><p>{P2}</p>]]</td></tr></table>",
+    "class legal": f"<div class=legal-news>[[<h1>The bridge</h1><p>{P1}</p><p>Short one</p><p>{P2}</p>]]</div><footer>Imprint</footer>",
+    "style alert": f"<div id=content>[[<h1>The bridge</h1><div class=text-alert-blue><p>{P1}</p><p>{P2}</p></div>]]</div>",
+    "inline notice": f"<div class=post>[[<p>Good <span class=notice>inline words</span> text. {P1}</p><p>{P2}</p>]]</div>",
+    "inline hidden": f"<div>[[<p>{P1}<span hidden> not <b>shown</b></span></p><p>{P2}</p>]]</div>",
+    "user reviews": f"<article>[[<h1>The bridge</h1><p>{P1}</p><p>{P2}</p>]]<section class=user-reviews><p>{P2}</p><p>Nice.</p></section></article>",
+    "author box": f"<article>[[<h1>The bridge</h1><p>{P1}</p>]]<div class=author-box><p>Jo writes about towns and has been with the paper for years.</p></div></article>",
+    "cookie line": f"<div>[[<p>{P1}</p><p>{P2}</p>]]<p>We use cookies to give you the best service on our pages.</p></div>",
+    "imprint line": f"<article>[[<p>{P1}</p><p>{P2}</p>]]<p>Copyright 2020 by The Paper. All rights reserved.</p></article>",
+    "notice inside": f"<article>[[<h1>The bridge</h1><p>{P1}</p>]]<div class=notice><p>Your browser is out of date, please renew it soon.</p></div>[[<p>{P2}</p>]]</article>",
+    "definition list": f"<div>[[<h1>The bridge</h1><p>{P1}</p><dl><dt>Length</dt><dd>two miles</dd><dt>Cost</dt><dd>too much</dd></dl><p>{P2}</p>]]</div>",
+    "headings between": f"<div class=wrapper><div>{MENU}</div><div>[[<h2>Then</h2><p>{P1}</p><h2>Now</h2><div>So it goes</div><p>{P2}</p>]]</div></div>",
+    "cookie recipes": f"<div class=cookie-recipes>[[<h1>Cookies</h1><p>{P1}</p><ol><li>Flour</li><li>Sugar</li></ol><p>{P2}</p>]]</div>",
+}
+
+
+def form_text(form):
+    marked = "\n".join(part.split("]]")[0] for part in form.split("[[")[1:])
+    inline = H.re.sub(r"<span hidden>.*?</span>|</?span[^>]*>", "", marked)
+    return "\n".join(x for x in H.re.split(r"<[^>]*>|\n", inline) if x.strip())
+
+
+def test_page_forms_come_through_the_cut():
+    overruled = blocks = 0
+    for name, form in FORMS.items():
+        page = f"<html><body>{form.replace('[[', '').replace(']]', '')}</body></html>"
+        assert H.main_text(page) == form_text(form), name
+        for text, score, content in H.labelled_blocks(page):
+            blocks += 1
+            overruled += (score > 0) != content
+    assert len(FORMS) >= 10 and overruled / blocks > 0.08, (overruled, blocks)
+
+
+def test_hidden_inline_text_ends_with_its_block():
+    assert H.main_text(f"<article><p>Seen <i style='display: none'>not seen <b>at</b> all</i>again.</p><p>Open <span hidden>gone</p><p>{P1}</p></article>") \
+        == f"Seen again.\nOpen\n{P1}"
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(1)
     for _ in range(400):

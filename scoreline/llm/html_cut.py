@@ -281,8 +281,8 @@ def block_score(text: str, link_chars: int, element: _Element) -> float:
         score += 0.5
     if element.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre", "li", "dt", "dd"):
         score += 0.7
-    if words < 60 and (_COOKIES.search(text) or _IMPRINT.search(text)):
-        score -= 8
+    if words < 60:
+        score -= 8 if _COOKIES.search(text) else 3 if _IMPRINT.search(text) else 0
     return score - 4 * min(1.0, link_chars / len(text))
 
 

@@ -72,7 +72,8 @@ FORMS = {
     "user reviews": f"<article>[[<h1>The bridge</h1><p>{P1}</p><p>{P2}</p>]]<section class=user-reviews><p>{P2}</p><p>Nice.</p></section></article>",
     "author box": f"<article>[[<h1>The bridge</h1><p>{P1}</p>]]<div class=author-box><p>Jo writes about towns and has been with the paper for years.</p></div></article>",
     "cookie line": f"<div>[[<p>{P1}</p><p>{P2}</p>]]<p>We use cookies to give you the best service on our pages.</p></div>",
-    "imprint line": f"<article>[[<p>{P1}</p><p>{P2}</p>]]<p>Copyright 2020 by The Paper. All rights reserved.</p></article>",
+    "imprint line": f"<div>[[<p>{P1}</p><p>{P2}</p>]]<p>Copyright 2020 by The Paper. All rights reserved.</p></div>",
+    "such a line in an article": f"<article>[[<p>{P1}</p><p>All rights reserved.</p><p>{P2}</p>]]</article>",
     "notice inside": f"<article>[[<h1>The bridge</h1><p>{P1}</p>]]<div class=notice><p>Your browser is out of date, please renew it soon.</p></div>[[<p>{P2}</p>]]</article>",
     "definition list": f"<div>[[<h1>The bridge</h1><p>{P1}</p><dl><dt>Length</dt><dd>two miles</dd><dt>Cost</dt><dd>too much</dd></dl><p>{P2}</p>]]</div>",
     "headings between": f"<div class=wrapper><div>{MENU}</div><div>[[<h2>Then</h2><p>{P1}</p><h2>Now</h2><div>So it goes</div><p>{P2}</p>]]</div></div>",

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from scoreline.functions import dates, ids, phases
 from scoreline.session import scratch_path
-from scoreline.sources import csv_ingest, landing, tables
+from scoreline.sources import csv_ingest, landing, split_csv, tables
 
 BAD_DATE_EVERY = 53
 BAD_GOALS_EVERY = 59
@@ -105,6 +105,14 @@ def q_csv_load_roundtrip(spark, sf):
     return csv_ingest.matches_table(spark, _roundtrip(spark, sf)).drop("load_datetime")
 
 
+def q_csv_split_load(spark, sf):
+    """S1 on files of any size: the same deliveries, uncompressed, read by as many
+    tasks as they have splits."""
+    land = f"{scratch_path(spark, 'csv-split')}/landing"
+    csv_ingest.write_match_csv(raw_feed(spark, sf), land)
+    return csv_ingest.accepted(csv_ingest.typed_with_reason(split_csv.read_raw_split(spark, land, glob=landing.MATCH_FILE_GLOB)))
+
+
 def q_load_log(spark, sf):
     return csv_ingest.load_log(spark, _roundtrip(spark, sf)).drop("load_datetime")
 
@@ -198,6 +206,7 @@ def q_stream_log(spark, sf):
 
 QUERIES = {
     "csv_load_roundtrip": q_csv_load_roundtrip,
+    "csv_split_load": q_csv_split_load,
     "load_log": q_load_log,
     "rejected_rows": q_rejected_rows,
     "load_count": q_load_count,

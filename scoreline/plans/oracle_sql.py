@@ -284,7 +284,7 @@ feed AS (
 SELECT feed_id AS match_id, competition, season, phase, match_date, home_name AS home_team, away_team,
        home_goals, away_goals
 FROM feed WHERE NOT bad_date AND NOT bad_goals"""
-    out["stream_load"] = out["csv_load_roundtrip"]
+    out["csv_split_load"] = out["stream_load"] = out["csv_load_roundtrip"]
     out["load_log"] = base + """
 SELECT file_name, cast(count(*) FILTER (WHERE NOT bad_date AND NOT bad_goals) AS bigint) AS rows_inserted,
        cast(count(*) FILTER (WHERE bad_date OR bad_goals) AS bigint) AS rows_rejected,

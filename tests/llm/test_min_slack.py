@@ -84,8 +84,9 @@ def test_as_few_bins_as_trying_all():
     assert more <= 4
 
 
-def test_tokens_equal_the_library(library):
-    tokens = S.Tokens(FILE, P.PATTERN)
+@pytest.mark.parametrize("by_rank", [True, False])
+def test_tokens_equal_the_library(library, by_rank):
+    tokens = S.Tokens(FILE, P.PATTERN, by_rank=by_rank)
     every = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
     for at in range(0, len(every), 2000):
         text = "".join(f"{c}a {c}1 {c}" for c in every[at:at + 2000])
@@ -95,15 +96,41 @@ def test_tokens_equal_the_library(library):
             raise AssertionError([hex(ord(c)) for c in wrong])
     for text in ("", " ", "a  b\n\n c", "x<|endoftext|> y<|endoftext|>", " <|endoftext|>  ", "it's\x1c 'll\x85 z"):
         assert np.frombuffer(tokens.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
-    ordinary, plain = S.Tokens(FILE, P.PATTERN, special=False), Tokenizer.from_file(FILE)
+    rng = random.Random(7)
+    for _ in range(3000):                                       # pre-tokens that repeat themselves, and mixed ones
+        few = "".join(rng.sample("ab-=_é¿😀e tn.0", rng.randint(1, 3)))
+        text = "".join(rng.choices(few, k=rng.randint(1, 40)))
+        assert np.frombuffer(tokens.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    ordinary, plain = S.Tokens(FILE, P.PATTERN, False, by_rank), Tokenizer.from_file(FILE)
     plain.encode_special_tokens = True
     assert np.frombuffer(ordinary.ids("x<|endoftext|>"), "<u4").tolist() == plain.encode("x<|endoftext|>", add_special_tokens=False).ids
 
 
-def test_long_texts_are_cut_where_a_pre_token_ends(library, monkeypatch):
+def test_ids_are_ranks_only_where_they_are(tmp_path):
+    import json
+    assert S.ids_are_ranks(FILE)
+    whole = json.load(open(FILE, encoding="utf-8"))
+    model = whole["model"]
+    other = {**whole, "model": {**model, "merges": [*model["merges"][1:], model["merges"][0]]}}       # not in the order of the ids
+    (tmp_path / "order.json").write_text(json.dumps(other))
+    assert not S.ids_are_ranks(str(tmp_path / "order.json"))
+    other = {**whole, "model": {**model, "vocab": {**model["vocab"], "zqzqzq": 60_000}}}              # no merge gives it
+    (tmp_path / "extra.json").write_text(json.dumps(other))
+    assert not S.ids_are_ranks(str(tmp_path / "extra.json"))
+
+
+def test_very_long_runs(library):
+    for by_rank in (True, False):
+        tokens = S.Tokens(FILE, P.PATTERN, by_rank=by_rank)
+        for text in (" " * 300_000 + "x", "\n" * 200_000, "a" * 50_000, "-" * 50_000, "word " * 60_000):
+            assert np.frombuffer(tokens.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text[:5]
+
+
+@pytest.mark.parametrize("by_rank", [True, False])
+def test_long_texts_are_cut_where_a_pre_token_ends(library, monkeypatch, by_rank):
     monkeypatch.setattr(S, "CHUNK", 7)
     monkeypatch.setattr(S, "REMEMBER", 20)
-    rng, tokens = random.Random(4), S.Tokens(FILE, P.PATTERN)
+    rng, tokens = random.Random(4), S.Tokens(FILE, P.PATTERN, by_rank=by_rank)
     for _ in range(400):
         text = "".join(rng.choices(["word", "'s", " ", "  ", "\n", "\t", " ", "é", "12", "!!", "\x1c", "<|endoftext|>"], k=40))
         assert np.frombuffer(tokens.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids

@@ -408,6 +408,9 @@ found_matches AS (
   FROM phased WHERE {keep})
 """
     out["match_extract_html"] = read_pages() + "SELECT * EXCLUDE (page_id, pos) FROM found_matches"
+    out["pages_to_table"] = read_pages() + """
+SELECT * EXCLUDE (page_id, pos) REPLACE (CAST(match_date AS DATE) AS match_date, CAST(home_goals AS INTEGER) AS home_goals,
+                                         CAST(away_goals AS INTEGER) AS away_goals) FROM found_matches"""
     out["extract_limited"] = read_pages() + f"""
 SELECT * FROM found_matches
 QUALIFY row_number() OVER (PARTITION BY competition ORDER BY page_id, pos) <= {xq.LIMIT}"""

@@ -61,3 +61,35 @@ def test_query_digests(spark, tmp_path):
     for i, n, text in edited([(i, t or "") for i, t in rows]):
         assert (got[i].n_chars, got[i].edited_sha256) == (n, hashlib.sha256(text.encode()).hexdigest())
         assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+
+
+def brute_sketch(text):
+    import re
+    from xxhash import xxh64_intdigest
+    words = re.findall(r"[^\x20\x09-\x0D]+", text.translate({c: c + 32 for c in range(65, 91)}))
+    every = set()
+    for k in range(max(len(words) - 4, 1) if words else 0):
+        fold = 42                                                      # as Spark hashes an array: each element's hash seeds the next
+        for w in words[k:k + 5]:
+            fold = xxh64_intdigest(xxh64_intdigest(w.encode(), 42).to_bytes(8, "little"), fold)
+        every.add(fold)
+    return {h for h in every if h < 1 << 61} or ({min(every)} if every else set())
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    from scoreline.llm.queries import op10_fingerprint
+    rng = random.Random(5)
+    words = [f"{c}{i}" for i in range(60) for c in ("W", "é")]
+    rows = [(i * 2, rng.choice([" ", "\t", "\n "]).join(rng.choice(words) for _ in range(rng.choice([0, 1, 4, 5, 30, 300])))) for i in range(60)]
+    rows += [(1, rows[0][1]), (200, None), (202, rows[-1][1])]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op10_fingerprint(spark, str(tmp_path)).collect()}
+    rows = sorted((i, t or "") for i, t in rows)
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    text = lambda s: "".join(f"{h:016x}" for h in sorted(s, key=signed))
+    for k, (i, _, after) in enumerate(edited(rows)):
+        own, new, other = (brute_sketch(t) for t in (rows[k][1], after, rows[(k + 1) % len(rows)][1]))
+        r = got[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (text(own), text(new)), i
+        assert (r.near_edited, r.near_next) == (like(own, new), like(own, other)), i

@@ -131,3 +131,11 @@ def test_window_bounds_with_short_parts_and_malformed(spark):
     got = {(r.competition, r.d): r.in_window for r in dates.in_window(df, twice, "competition", "d").collect()}
     assert got == {("UCL", "1999-10-01"): False, ("UCL", "2025-10-01"): True, ("UEL", "2025-10-01"): False, ("UECL", "2025-10-01"): True}
     assert dates.in_window(df, twice, "competition", "d").count() == 4
+
+
+def test_windows_do_not_gather_the_matches_of_a_competition(spark):
+    from scoreline.sources.params import params_from_dict
+    w = params_from_dict(spark, {"UCL_LEAGUE_PHASE_INITIAL_DATE": "2025-09-16", "UCL_LEAGUE_PHASE_END_DATE": "2026-01-28"})
+    df = spark.range(10).selectExpr("'UCL' AS competition", "'2025-10-01' AS d")
+    plan = dates.in_window(df, w, "competition", "d")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

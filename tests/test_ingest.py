@@ -286,3 +286,24 @@ def test_stream_goes_on_beside_broken_files(spark, tmp_path, monkeypatch):
     files = spark.createDataFrame([], landing.FILE_LIST)
     file_stream.load_batch(files, 0, str(d), out)
     assert file_stream.loaded_log(spark, out).count() == 5
+
+
+def test_broken_files_among_many_cost_each_file_two_writes_at_most(spark, monkeypatch):
+    files, broken = [f"f{i}" for i in range(64)], {"f10", "f41"}
+    writes = {f: 0 for f in files}
+
+    def write(group, attempt):
+        for f in group:
+            writes[f] += 1
+        if broken & set(group):
+            raise OSError("broken")
+        return len(group)
+    monkeypatch.setattr(csv_ingest, "_readable", lambda spark, group: not broken & set(group))
+    total, bad = csv_ingest.isolate(spark, files, write)
+    assert total == 62 and set(bad) == broken and max(writes.values()) == 2
+
+
+def test_a_scan_of_one_row_group_is_dealt_out(spark):
+    from scoreline.plans import ingest_queries
+    plan = ingest_queries.raw_feed(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" in plan

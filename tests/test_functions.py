@@ -136,6 +136,6 @@ def test_window_bounds_with_short_parts_and_malformed(spark):
 def test_windows_do_not_gather_the_matches_of_a_competition(spark):
     from scoreline.sources.params import params_from_dict
     w = params_from_dict(spark, {"UCL_LEAGUE_PHASE_INITIAL_DATE": "2025-09-16", "UCL_LEAGUE_PHASE_END_DATE": "2026-01-28"})
-    df = spark.range(10).selectExpr("'UCL' AS competition", "'2025-10-01' AS d")
+    df = spark.createDataFrame([("UCL", "2025-10-01"), ("UEL", "2025-10-01")], "competition string, d string")
     plan = dates.in_window(df, w, "competition", "d")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

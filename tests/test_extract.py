@@ -220,3 +220,30 @@ def test_lines_are_dealt_out_by_order_before_they_are_rendered(spark):
     exchange = next(x for x in plan.splitlines() if "Exchange" in x)
     assert plan.count("Exchange hashpartitioning") == 1 and "l_orderkey" in exchange
     assert plan.index("participant") < plan.index("Exchange")          # a plan is printed from its end
+
+
+def test_only_pages_without_a_match_are_searched_by_the_broad_rule(spark):
+    """The pattern stands behind the page pass, which sorts the rows once."""
+    df = spark.createDataFrame([(1, "UCL", f"<p>Club A 1 : 2 Club B, FC Ajax 1 : 1 FC Porto, Club C 3 : 0 Club D</p>{line(team('FC One', 'FC Two'), box('score', '1'))}"),
+                                (2, "UCL", "<p>Club A 1 : 2 Club B, and 4 : 4 , Club C 3 : 0 Club D</p>"),
+                                (2, None, "<p>Club E 5 : 2 Club F</p>"),
+                                (3, "UCL", f"<p>Club G 1 : 2 Club H</p>{line(team('FC One', 'FC Two'), box('score', '1'), box('score', '2'))}")], PAGES.format("long"))
+    found = extract.extract_matches(spark, df, as_of=F.lit(AS_OF))
+    got = sorted((r.page_id, r.pos, r.home_team, r.home_goals, r.season) for r in found.collect())
+    assert [g for g in got if g[0] > 1] == [(2, -1, "Club A", 1, "2025/2026"), (2, -1, "Club C", 3, "2025/2026"),
+                                             (2, -1, "Club E", 5, "2025/2026"), (3, 0, "FC One", 1, "2025/2026")]
+    assert [g[2:4] for g in got if g[0] == 1] == [("Club A", 1), ("Club C", 3), ("FC Ajax", 1)]
+    # the plan is printed from the result down to the scan
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("regexp_extract_all") < plan.index("Window") and "regexp_extract_all" not in plan[plan.rindex("Window"):]
+    steps = found._jdf.queryExecution().executedPlan().toString()
+    steps = steps.split("Initial Plan")[-1]
+    assert steps.count("Sort [") == 1 and steps.count("Exchange ") == 1
+
+
+def test_a_page_of_plain_marks_is_cut_at_them_alone():
+    for page in ("a <b", "<b>x", "<title>a&amp;b</title>", "<title>a<b></title>", "<b>a</ b>", "<script></script>", "text", "<a href=\">\">"):
+        assert H._parse_plain(page) is None
+    root = H._parse_plain("x &lt; y<TITLE>a > b</title><div class=Score>1 > 0&nbsp;</DIV><br><template><p>z</p></template>")
+    assert root.text() == "x < ya > b1 > 0\xa0"
+    assert [n.tag for n in root.descendants()] == ["title", "div", "br", "template", "p"]

@@ -2,7 +2,9 @@ import os
 import subprocess
 import sys
 
-from scoreline.session import checkpoint_root, scratch_path
+import pytest
+
+from scoreline.session import checkpoint_root, compiled_methods, scratch_path
 from scoreline.sources import tables
 
 
@@ -30,3 +32,12 @@ def test_a_local_session_without_a_checkpoint_folder_gets_one():
             "assert s.range(3).checkpoint().count() == 3\n")
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], check=True, cwd=root, timeout=300, capture_output=True)
+
+
+def test_the_method_size_setting_is_put_back(spark):
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    with pytest.raises(ValueError), compiled_methods(spark):
+        assert spark.conf.get(key) == "8000"
+        raise ValueError
+    assert spark.conf.get(key) == before

@@ -207,6 +207,8 @@ def read_raw_split(spark: SparkSession, paths, glob: str | None = None, recursiv
     text = F.regexp_replace(F.replace(F.make_valid_utf8(F.col("record").cast("string")), F.lit("\r\n"), F.lit("\n")), r"\r$", "")
     options = {k: v for k, v in CSV_READ_OPTIONS.items() if k not in ("header", "enforceSchema", "encoding")}
     fields = ", ".join(f"{c} string" for c in RAW_MATCH_COLUMNS)
-    parsed = found.select(F.from_csv(text, fields, options).alias("r"), "file_path", "file_name", "changed")
-    return parsed.select(*[F.col(f"r.{c}").alias(c) for c in RAW_MATCH_COLUMNS], "file_path", "file_name",
+    # as a generator's row a record is parsed once: a filter on its columns would else
+    # be moved before the parse and repeat it for each of them
+    parsed = found.select(F.inline(F.array(F.from_csv(text, fields, options))), "file_path", "file_name", "changed")
+    return parsed.select(*RAW_MATCH_COLUMNS, "file_path", "file_name",
                          F.timestamp_micros("changed").alias("file_modification_time"))

@@ -50,3 +50,11 @@ def test_a_record_over_many_splits_and_bad_bytes(spark, tmp_path):
     (tmp_path / "long.csv").write_bytes(f"{HEADER}\na,b,{long},d,e,f,g,1,2\nlast,".encode() + b"\xff\xfe,c\n")
     got, want, tasks = both(spark, tmp_path, 64)
     assert tasks > 5 and len(got) == 2 and got == want
+
+
+def test_a_record_is_parsed_once_under_a_filter(spark, tmp_path):
+    (tmp_path / "UCL_x_matches.csv").write_text(f"{HEADER}\na,UCL,s,p,2025-10-01,A,B,1,2\nb,UCL,s,p,no date,A,B,1,2\n")
+    got = csv_ingest.accepted(csv_ingest.typed_with_reason(split_csv.read_raw_split(spark, str(tmp_path), glob="*.csv")))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_csv(") == 1, plan
+    assert [r.match_id for r in got.collect()] == ["a"]

@@ -303,6 +303,36 @@ def test_broken_files_among_many_cost_each_file_two_writes_at_most(spark, monkey
     assert total == 62 and set(bad) == broken and max(writes.values()) == 2
 
 
+def test_files_beside_broken_ones_are_written_by_one_job_for_each_packing(spark, monkeypatch):
+    files = [f"f{i}.csv" for i in range(40)] + [f"g{i}.csv.gz" for i in range(24)]
+    broken, calls = {"g3.csv.gz", "g17.csv.gz", "f9.csv"}, []
+
+    def write(group, attempt):
+        calls.append((attempt, set(group)))
+        if broken & set(group):
+            raise OSError("broken")
+        return len(group)
+    tests = []
+    monkeypatch.setattr(csv_ingest, "_readable", lambda spark, group: tests.append(len(group)) or not broken & set(group))
+    total, bad = csv_ingest.isolate(spark, files, write)
+    assert total == 61 and sorted(bad) == sorted(broken)
+    assert [len(group) for _, group in calls] == [64, 22, 39] and len({attempt for attempt, _ in calls}) == 3
+    assert len(tests) <= 36 and sum(tests) <= 4 * 64
+
+
+def test_a_fault_that_is_no_files_is_raised_after_a_second_try(spark, monkeypatch):
+    calls = []
+
+    def write(group, attempt):
+        calls.append(list(group))
+        raise OSError("disk full")
+    monkeypatch.setattr(csv_ingest, "_readable", lambda spark, group: True)
+    with pytest.raises(OSError, match="disk full"):
+        csv_ingest.isolate(spark, ["a.csv", "b.csv", "c.csv"], write)
+    assert calls == [["a.csv", "b.csv", "c.csv"]] * 2
+    assert csv_ingest.isolate(spark, [], write) == (0, []) and len(calls) == 2
+
+
 def test_a_scan_of_one_row_group_is_dealt_out(spark):
     from scoreline.plans import ingest_queries
     plan = ingest_queries.raw_feed(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()

@@ -5,11 +5,13 @@
    hash, so equal windows pick the same gram wherever they stand.  Runs of
    windows with one anchor (about 18 windows) are the unit of work.
 2. Screen.  Anchor hashes (six bytes each, once a document) are shuffled and
-   counted; those of two documents or more set bits in a filter of fixed size
-   (``FILTER_BITS``) that all tasks get.  False hits only cost work.
+   counted; those of two documents or more set bits in a filter that all tasks
+   get (16 MB, and up to 64 MB where many are shared).  False hits only cost work.
 3. Shards.  Runs whose anchor passes travel, with the bytes their windows
    cover, to the shard of the anchor, where all equal windows meet.
-4. Two-stage sorting in each shard.  Equal runs are merged to one.  Of the
+4. Two-stage sorting in each shard.  Equal runs are merged to one, and of those
+   left only the ones that may share a window with another document go on
+   (a window holds half of its other bytes before or behind the anchor).  Of the
    window starts, only suffixes smaller than their successors are sorted
    directly (on their first 56 bytes); the others are induced by scanning the
    buckets of first bytes in ascending order.  Neighbours in that order whose
@@ -36,56 +38,70 @@ from pyspark.sql import types as T
 from scoreline.llm.common import partitions, plain, small_batches
 
 LENGTH, GRAM = 50, 16
-FILTER_BITS, SEGMENTS = 1 << 27, 256
-#: bytes hashed at a time; bytes of runs sorted at a time
-CHUNK, PART = 1 << 18, 1 << 24
+#: the filter: segments by the first byte of a hash, bits of each at least and at most, bits wanted for a shared anchor
+SEGMENTS, LEAST_BITS, MOST_BITS, BITS_EACH = 256, 1 << 19, 1 << 21, 8
+#: windows looked at at a time; bytes of texts whose runs are sent together; bytes of runs read, and of texts sorted, at a time
+CHUNK, SENT, PART, SORT = (1 << 16) - 128, 1 << 25, 1 << 25, 1 << 22
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-_LOW = np.uint64((1 << 24) - 1)
+#: a number for each byte, and odd factors: a cheap hash that anchors are chosen by
+_BYTE = np.random.default_rng(50).integers(0, 1 << 32, 256, np.uint32)
+_STEPS = [(1, np.uint32(0x9E3779B1)), (2, np.uint32(0x85EBCA77)), (4, np.uint32(0xC2B2AE3D)), (8, np.uint32(0x27D4EB2F))]
 
 
-def _gram_hash(buf: bytes, n: int) -> np.ndarray:
-    """A 64-bit hash of the 16 bytes at each of the first ``n`` places."""
-    words = np.ndarray((n + 8,), "<u8", buf, strides=(1,))
-    h = words[:n] * _C1
-    h ^= h >> np.uint64(29)
-    h += words[8:n + 8] * _C2
+def _words(data: np.ndarray | bytes) -> np.ndarray:
+    """The eight bytes at each place; the last place is eight before the end."""
+    return np.ndarray((max(len(data) - 7, 0),), "<u8", data, strides=(1,))
+
+
+def _mixed(words: Iterator[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of each row of some columns of words."""
+    h = np.uint64(0)
+    for w in words:
+        h = (h ^ w) * _C1
+        h ^= h >> np.uint64(29)
+    h *= _C2
     h ^= h >> np.uint64(32)
     h *= _C3
-    h ^= h >> np.uint64(29)
-    return h
+    return h ^ (h >> np.uint64(29))
 
 
 def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> Iterator[tuple[np.ndarray, ...]]:
     """Runs of windows with one anchor in texts that lie one after another in
-    ``data``: (first window, windows, anchor's place after it, 48-bit hash)."""
+    ``data``: (first window, windows, anchor's place after it, 48-bit hash, text's
+    number).  Of a window's grams the anchor is the first of least cheap hash."""
     width = length - GRAM + 1
     starts, ends = offsets[:-1], offsets[1:]
+    cuts = np.sort(np.concatenate([starts, np.maximum(ends - length + 1, starts)]))
     for a in range(0, len(data) - length + 1, CHUNK):
         part = data[a:a + CHUNK + length - 1]
         m = len(part) - length + 1
         n = len(part) - GRAM + 1
-        h = _gram_hash(part.tobytes() + b"\0" * 8, n)
-        low = (h & ~_LOW) | np.arange(n, dtype=np.uint64)
+        low = _BYTE.take(part)
+        for span, factor in _STEPS:                    # hashes of 2, 4, 8 and 16 bytes
+            after = low[span:]
+            low = low[:-span] * factor
+            low += after
+        low &= np.uint32(0xFFFF0000)
+        low |= np.arange(n, dtype=np.uint32)
         span = 1
         while 2 * span <= width:
             low = np.minimum(low[:-span], low[span:])
             span *= 2
         if span < width:
             low = np.minimum(low[:len(low) - (width - span)], low[width - span:])
-        at = (low[:m] & _LOW).astype(np.int64)
-        # windows may not reach over the end of their text
-        over = np.zeros(m + 1, np.int32)
-        some = slice(np.searchsorted(ends, a, "right"), np.searchsorted(starts, a + m + length) + 1)
-        np.add.at(over, np.clip(np.maximum(starts[some], ends[some] - length + 1) - a, 0, m), 1)
-        np.add.at(over, np.clip(ends[some] - a, 0, m), -1)
-        fits = np.cumsum(over[:m]) == 0
+        at = low[:m].astype(np.uint16)
         fresh = np.ones(m, bool)
-        fresh[1:] = (at[1:] != at[:-1]) | (fits[1:] != fits[:-1])
+        np.not_equal(at[1:], at[:-1], out=fresh[1:])
+        # a run ends where a text begins or where its windows would reach over the end of theirs
+        fresh[cuts[np.searchsorted(cuts, a):np.searchsorted(cuts, a + m)] - a] = True
         first = np.flatnonzero(fresh)
         count = np.diff(first, append=m)
-        good = fits[first]
-        first, count = first[good], count[good]
-        yield first + a, count, at[first] - first, h[at[first]] >> np.uint64(16)
+        text = np.searchsorted(ends, first + a, "right")
+        good = first + a + length <= ends[text]
+        first, count, text = first[good], count[good], text[good]
+        gram = at[first].astype(np.int64)
+        words = _words(part)
+        yield first + a, count, gram - first, _mixed(words[gram + k] for k in range(0, GRAM, 8)) >> np.uint64(16), text
 
 
 def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,31 +114,21 @@ def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _screen(rows: DataFrame, length: int) -> bytes:
-    """Bits of the anchors that two or more documents hold."""
-    each = FILTER_BITS // SEGMENTS
+    """Bits of the anchors that two or more documents hold: as many for each segment."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 1 << 16) for b in batches for i in range(0, len(b), 1 << 16)):
             data, offsets = _texts(batch.column("text"))
-            docs, hashes = [], []
-            for first, _, _, h in anchored_runs(data, offsets, length):
-                docs.append(np.searchsorted(offsets, first, "right"))
-                hashes.append(h)
-            if not hashes:
+            found = [h << np.uint64(16) | text.astype(np.uint64) for _, _, _, h, text in anchored_runs(data, offsets, length)]
+            if not found:
                 continue
-            doc, h = np.concatenate(docs), np.concatenate(hashes)
-            order = np.lexsort((doc, h))
-            doc, h = doc[order], h[order]
-            once = np.ones(len(h), bool)               # an anchor counts once a document, at most twice a batch
-            once[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            h = h[once]
-            third = np.zeros(len(h), bool)
+            both = np.sort(np.concatenate(found))
+            h = both[np.append(True, both[1:] != both[:-1])] >> np.uint64(16)
+            third = np.zeros(len(h), bool)             # an anchor counts once a document, at most twice a batch
             third[2:] = (h[2:] == h[:-2])
             h = h[~third]
-            segment = (h % np.uint64(FILTER_BITS) // np.uint64(each)).astype(np.int64)
-            order = np.argsort(segment, kind="stable")
-            packed = np.ascontiguousarray(h[order]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            cuts = np.searchsorted(segment[order], np.arange(SEGMENTS + 1))
+            packed = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            cuts = np.searchsorted(h, np.arange(SEGMENTS + 1, dtype=np.uint64) << np.uint64(40))
             some = np.flatnonzero(np.diff(cuts))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(some, pa.int64()), pa.array([packed[cuts[s]:cuts[s + 1]].tobytes() for s in some], pa.binary())],
@@ -139,14 +145,24 @@ def _screen(rows: DataFrame, length: int) -> bytes:
             h[:, :6] = raw
             h = np.sort(h.view("<u8").ravel())
             shared = h[1:][h[1:] == h[:-1]]
+            wanted = BITS_EACH * (1 + int(np.count_nonzero(shared[1:] != shared[:-1])))
+            each = min(max(1 << (wanted - 1).bit_length(), LEAST_BITS), MOST_BITS)
             flags = np.zeros(each, np.uint8)
-            flags[(shared % np.uint64(FILTER_BITS)).astype(np.int64) - segment * each] = 1
+            flags[(shared & np.uint64(each - 1)).astype(np.int64)] = 1
             yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()),
                                               pa.array([np.packbits(flags).tobytes()], pa.binary())], ["segment", "bits"])
 
     spread = rows.select("text").mapInArrow(anchors, "segment bigint, hashes binary").repartition("segment")
     found = {r.segment: bytes(r.bits) for r in spread.mapInArrow(bits, "segment bigint, bits binary").collect()}
-    return b"".join(found.get(s, bytes(each // 8)) for s in range(SEGMENTS))
+    size = max(map(len, found.values()), default=LEAST_BITS // 8)
+    # a smaller segment repeats: it was filled by fewer low bits
+    return b"".join(found[s] * (size // len(found[s])) if s in found else bytes(size) for s in range(SEGMENTS))
+
+
+def _in_screen(flags: np.ndarray, h: np.ndarray) -> np.ndarray:
+    each = np.uint64(len(flags) // SEGMENTS * 8)
+    bit = ((h >> np.uint64(40)) * each + (h & (each - np.uint64(1)))).astype(np.int64)
+    return (flags[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 #: bytes of a suffix that its place in the order goes by
@@ -200,98 +216,193 @@ def two_stage_order(t: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return order[wanted[order]]
 
 
-def repeated_in(pieces: list[bytes], docs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Covered byte ranges (piece, start, end) of ``pieces``: all windows of them
-    that also start in a piece of a smaller document."""
-    known: dict[bytes, int] = {}
-    text_of = np.fromiter((known.setdefault(p, len(known)) for p in pieces), np.int64, len(pieces))
-    texts = list(known)
-    low = np.full(len(texts), np.iinfo(np.int64).max)
-    np.minimum.at(low, text_of, docs)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    t = np.frombuffer(b"\xff".join(texts) + b"\xff" * 65, np.uint8) + np.uint8(1)   # 0xFF, never in UTF-8, becomes 0
-    begin = np.append(0, np.cumsum(sizes + 1))[:-1]
+def _alike(words: np.ndarray, start: np.ndarray, size: np.ndarray, length: int) -> Iterator[np.ndarray]:
+    """The size of each run's text, and words that between them cover it."""
+    yield size.astype(np.uint64)
+    for k in range(0, length - 7, 8):
+        yield words[start + k]
+    for k in range(8, 2 * length - GRAM - length // 8 * 8 + 8, 8):
+        yield words[start + size - k]
+
+
+def _by_hash(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in an order that brings equal hashes together, and where each new one
+    begins.  So many low bits as the places need are left out of the comparison."""
+    bits = np.uint64(len(h).bit_length())
+    both = np.sort(h >> bits << bits | np.arange(len(h), dtype=np.uint64))
+    h = both >> bits
+    return (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+
+
+def _merge_equal(text: np.ndarray, start: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each run, equal where the texts are, and a run of each number."""
+    words = _words(text)
+    order, heads = _by_hash(_mixed(_alike(words, start, size, length)))
+    text_of = np.empty(len(start), np.int64)
+    text_of[order] = np.repeat(np.arange(len(heads)), np.diff(heads, append=len(order)))
+    texts = order[heads]
+    later = np.flatnonzero(texts[text_of] != np.arange(len(start)))
+    model = texts[text_of[later]]
+    other = np.zeros(len(later), bool)                  # of equal hash, but not equal
+    for a, b in zip(_alike(words, start[later], size[later], length), _alike(words, start[model], size[model], length)):
+        other |= a != b
+    if other.any():
+        known: dict[bytes, int] = {}
+        runs = later[other]
+        text_of[runs] = [known.setdefault(text[start[i]:start[i] + size[i]].tobytes(), len(texts) + len(known)) for i in runs]
+        new, at = np.unique(text_of[runs], return_index=True)
+        texts = np.append(texts, runs[at])
+    return text_of, texts
+
+
+def _may_meet(text: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.ndarray, low: np.ndarray, length: int) -> np.ndarray:
+    """The runs that may share a window with one of another smallest document: they
+    have the anchor and half of a window's other bytes, before or behind it, alike."""
+    words, half = _words(text), (length - GRAM + 1) // 2
+    at, need = start + anchor, np.zeros(len(start), bool)
+    for some, begin in ((np.flatnonzero(anchor >= half), -half), (np.flatnonzero(size - anchor - GRAM >= half), 0)):
+        if len(some):
+            x = at[some] + begin
+            order, heads = _by_hash(_mixed(words[x + min(k, half + GRAM - 8)] for k in range(0, half + GRAM, 8)))
+            docs = low[some[order]]
+            differ = np.minimum.reduceat(docs, heads) != np.maximum.reduceat(docs, heads)
+            need[some[order]] |= np.repeat(differ, np.diff(heads, append=len(order)))
+    return np.flatnonzero(need)
+
+
+def _laid_out(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The texts one after another."""
+    return text[np.repeat(start - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())]
+
+
+def _sorted_repeats(text: np.ndarray, start: np.ndarray, size: np.ndarray, low: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges (text, start, end) of windows that also stand in a text of a smaller document."""
+    begin = np.append(0, np.cumsum(size + 1))[:-1]
+    t = np.zeros(int((size + 1).sum()) + 65, np.uint8)
+    t[np.repeat(np.arange(len(size)), size) + np.arange(size.sum())] = _laid_out(text, start, size) + np.uint8(1)   # 0xFF is never in UTF-8
     edges = np.zeros(len(t) + 1, np.int8)
     edges[begin] += 1
-    edges[begin + sizes - length + 1] -= 1
+    edges[begin + size - length + 1] -= 1
     wanted = np.cumsum(edges[:-1], dtype=np.int8) > 0
     order = two_stage_order(t, wanted)
     # common prefixes of neighbours, as far as they matter
-    words = np.ndarray((len(t) - 7,), ">u8", t.tobytes(), strides=(1,))
-    same = np.ones(max(len(order) - 1, 0), bool)
+    words = np.ndarray((len(t) - 7,), ">u8", t, strides=(1,))
+    same = np.ones(len(order) - 1, bool)
     for k in range(0, length, 8):
         shift = np.uint64(8 * max(0, 8 - (length - k)))
         w = words[order + k].astype(np.uint64) >> shift
         same &= w[1:] == w[:-1]
-    group = np.append(0, np.cumsum(~same)) if len(order) else np.empty(0, np.int64)
+    heads = np.flatnonzero(np.append(True, ~same))
     owner = np.searchsorted(begin, order, "right") - 1
-    heads = np.flatnonzero(np.append(True, ~same)) if len(order) else np.empty(0, np.int64)
-    least = np.minimum.reduceat(low[owner], heads)[group] if len(order) else np.empty(0, np.int64)
-    held = order[least < low[owner]]                                # windows that the text's first holder loses
-    held.sort()
+    least = np.repeat(np.minimum.reduceat(low[owner], heads), np.diff(heads, append=len(order)))
+    held = np.sort(order[least < low[owner]])           # windows that the text's first holder loses
     split = np.flatnonzero(np.append(True, np.diff(held) != 1)) if len(held) else np.empty(0, np.int64)
     run_text = np.searchsorted(begin, held[split], "right") - 1
-    run_from = held[split] - begin[run_text]
-    run_to = held[np.append(split[1:], len(held)) - 1] - begin[run_text] + length if len(held) else run_from
+    run_to = held[np.append(split[1:], len(held)) - 1] - begin[run_text] + length if len(held) else split
+    return run_text, held[split] - begin[run_text], run_to
+
+
+def repeated_in(text: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.ndarray, docs: np.ndarray,
+                length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Covered byte ranges (run, start, end) of runs: all windows of them that also
+    start in a run of a smaller document.  Windows are only equal under one anchor."""
+    text_of, texts = _merge_equal(text, start, size, length)
+    low = np.full(len(texts), np.iinfo(np.int64).max)
+    np.minimum.at(low, text_of, docs)
+    some = _may_meet(text, start[texts], size[texts], anchor[texts], low, length)
+    found = [(np.empty(0, np.int64),) * 3]
+    if len(some):
+        at = (start + anchor)[texts[some]]
+        order, heads = _by_hash(_mixed(_words(text)[at + k] for k in range(0, GRAM, 8)))
+        some = some[order]
+        filled = np.append(0, np.cumsum(size[texts[some]]))[np.append(heads, len(some))]
+        cut = 0
+        while cut < len(heads):                        # texts of one anchor are sorted together
+            end = max(cut + 1, int(np.searchsorted(filled, filled[cut] + SORT, "right")) - 1)
+            x = some[heads[cut]:heads[end] if end < len(heads) else len(some)]
+            which, a, b = _sorted_repeats(text, start[texts[x]], size[texts[x]], low[x], length)
+            found.append((x[which], a, b))
+            cut = end
+    run_text, run_from, run_to = (np.concatenate(c) for c in zip(*found))
+    order = np.argsort(run_text, kind="stable")
+    run_text, run_from, run_to = run_text[order], run_from[order], run_to[order]
     # later holders lose the whole text; the first holder loses the runs found
     later = np.flatnonzero(docs > low[text_of])
     first = np.flatnonzero(docs == low[text_of])
     a, b = np.searchsorted(run_text, text_of[first]), np.searchsorted(run_text, text_of[first], "right")
     pick = np.repeat(a - np.append(0, np.cumsum(b - a))[:-1], b - a) + np.arange((b - a).sum())
     return (np.concatenate([later, np.repeat(first, b - a)]), np.concatenate([np.zeros(len(later), np.int64), run_from[pick]]),
-            np.concatenate([sizes[text_of[later]], run_to[pick]]))
-
+            np.concatenate([size[later], run_to[pick]]))
 
-_HEAD = 8 + 8 + 4 + 1 + 1          # bytes a run has beside its text: id, text hash, place, windows, anchor
 
+#: what a run has beside its text: id, text hash, place, windows, anchor
+_HEAD = (("<i8", 8), ("<i8", 8), ("<i4", 4), ("u1", 1), ("u1", 1))
 
-def _pack(doc: np.ndarray, tie: np.ndarray, place: np.ndarray, count: np.ndarray, anchor: np.ndarray, text: bytes) -> bytes:
-    parts = [doc.astype("<i8"), tie.astype("<i8"), place.astype("<i4"), count.astype("u1"), anchor.astype("u1")]
-    return zstandard.ZstdCompressor(level=1).compress(len(doc).to_bytes(8, "little") + b"".join(p.tobytes() for p in parts) + text)
 
-
-def _unpack(packed: bytes) -> tuple:
-    raw = zstandard.ZstdDecompressor().decompress(packed)
+def _unpack(raw: bytes) -> list[np.ndarray]:
     n, at, out = int.from_bytes(raw[:8], "little"), 8, []
-    for kind, size in (("<i8", 8), ("<i8", 8), ("<i4", 4), ("u1", 1), ("u1", 1)):
+    for kind, size in _HEAD:
         out.append(np.frombuffer(raw, kind, n, at))
         at += size * n
-    return *out, raw[at:]
+    return [*out, np.frombuffer(raw, np.uint8, offset=at)]
+
+
+def shard_runs(batches: Iterator[pa.RecordBatch], bits: np.ndarray, shards: int, length: int = LENGTH) -> Iterator[pa.RecordBatch]:
+    """(shard, runs): the runs whose anchors pass the screen, packed for each shard.
+    Those of several batches go together: a pack costs the same however few runs it
+    holds, and batches times shards would grow with the square of the input."""
+    texts, kept, size = [], [], 0
+    for batch in batches:
+        data, offsets = _texts(batch.column("text"))
+        ids, ties = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "tie"))
+        for first, count, anchor, h, text in anchored_runs(data, offsets, length):
+            hit = np.flatnonzero(_in_screen(bits, h))
+            first, text = first[hit], text[hit]
+            kept.append((first + size, count[hit], anchor[hit], (h[hit] % np.uint64(shards)).astype(np.int64),
+                         ids[text], ties[text], first - offsets[text]))
+        texts.append(data)
+        size += len(data)
+        if size >= SENT:
+            yield from _packed(np.concatenate(texts), kept, length)
+            texts, kept, size = [], [], 0
+    if texts:
+        yield from _packed(np.concatenate(texts), kept, length)
+
+
+def _packed(data: np.ndarray, kept: list[tuple[np.ndarray, ...]], length: int) -> Iterator[pa.RecordBatch]:
+    if not sum(len(k[0]) for k in kept):
+        return
+    pack = zstandard.ZstdCompressor(level=1).compress
+    columns = [np.concatenate(c) for c in zip(*kept)]
+    order = np.argsort(columns[3], kind="stable")
+    first, count, anchor, shard, doc, tie, place = (c[order] for c in columns)
+    some, cuts = np.unique(shard, return_index=True)
+    cuts = np.append(cuts, len(shard))
+    size = count + length - 1
+    ends = np.append(0, np.cumsum(size))[cuts]
+    heads = [c.astype(kind) for c, (kind, _) in zip((doc, tie, place, count, anchor), _HEAD)]
+    blobs, at = [], 0
+    while at < len(some):                              # about SORT bytes are laid out at a time
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + SORT, "right")) - 1)
+        text = _laid_out(data, first[cuts[at]:cuts[to]], size[cuts[at]:cuts[to]]).tobytes()
+        for s in range(at, to):
+            x = slice(cuts[s], cuts[s + 1])
+            blobs.append(pack(b"".join([int(x.stop - x.start).to_bytes(8, "little"), *(c[x].tobytes() for c in heads),
+                                        text[ends[s] - ends[at]:ends[s + 1] - ends[at]]])))
+        at = to
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(blobs, pa.binary())], ["shard", "runs"])
 
 
 def covered_ranges(docs: DataFrame, length: int = LENGTH, shards: int | None = None) -> DataFrame:
     """(id, tie, start, end): byte ranges of texts to be cut; they may overlap.
     ``docs``: id bigint, tie bigint (tells rows of one id apart), text binary."""
     spark = docs.sparkSession
-    shards = shards or 4 * partitions(spark)
+    shards = shards or 2 * partitions(spark)
     rows = docs.where(F.col("id").isNotNull() & (F.octet_length("text") >= length))
     flags = spark.sparkContext.broadcast(_screen(rows, length))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(flags.value, np.uint8)
-        for batch in batches:
-            data, offsets = _texts(batch.column("text"))
-            ids, ties = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "tie"))
-            kept = []
-            for first, count, anchor, h in anchored_runs(data, offsets, length):
-                bit = (h % np.uint64(FILTER_BITS)).astype(np.int64)
-                hit = (bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
-                kept.append((first[hit], count[hit], anchor[hit], (h[hit] % np.uint64(shards)).astype(np.int64)))
-            if not kept:
-                continue
-            first, count, anchor, shard = (np.concatenate(x) for x in zip(*kept))
-            order = np.argsort(shard, kind="stable")
-            first, count, anchor, shard = first[order], count[order], anchor[order], shard[order]
-            cuts = np.searchsorted(shard, np.arange(shards + 1))
-            doc = np.searchsorted(offsets, first, "right") - 1
-            numbers, blobs = [], []
-            for s in np.flatnonzero(np.diff(cuts)):
-                x = slice(cuts[s], cuts[s + 1])
-                sizes = count[x] + length - 1
-                index = np.repeat(first[x] - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())
-                numbers.append(int(s))
-                blobs.append(_pack(ids[doc[x]], ties[doc[x]], first[x] - offsets[doc[x]], count[x], anchor[x], data[index].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], ["shard", "runs"])
+        return shard_runs(batches, np.frombuffer(flags.value, np.uint8), shards, length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "tie", "start", "end"]
@@ -310,28 +421,28 @@ def covered_ranges(docs: DataFrame, length: int = LENGTH, shards: int | None = N
 
     def sort_shard(held: list[bytes], size: int, names: list[str]) -> Iterator[pa.RecordBatch]:
         parts = -(-size // PART)
+        unpack = zstandard.ZstdDecompressor().decompress
         for part in range(parts):
-            pieces: list[bytes] = []
-            columns: list[tuple[np.ndarray, ...]] = []
+            columns: list[list[np.ndarray]] = []
             for packed in held:
-                doc, tie, place, count, anchor, text = _unpack(packed)
-                ends = np.cumsum(count.astype(np.int64) + length - 1)
-                starts = np.append(0, ends[:-1])
-                some = np.arange(len(doc))
+                doc, tie, place, count, anchor, text = _unpack(unpack(packed))
+                sizes = count.astype(np.int64) + length - 1
                 if parts > 1:                          # runs of one anchor stay in one part
-                    words = np.ndarray((max(len(text) - 7, 0),), "<u8", text, strides=(1,))
-                    h = words[starts + anchor] * _C1 ^ words[starts + anchor + 8] * _C2
-                    h ^= h >> np.uint64(31)
-                    some = np.flatnonzero((h * _C3 >> np.uint64(20)) % np.uint64(parts) == part)
-                pieces += [text[i:j] for i, j in zip(starts[some].tolist(), ends[some].tolist())]
-                columns.append((doc[some], tie[some], place[some]))
-            if not pieces:
+                    starts = np.cumsum(sizes) - sizes
+                    words = _words(text)
+                    h = _mixed(words[starts + anchor + k] for k in range(0, GRAM, 8))
+                    some = np.flatnonzero((h >> np.uint64(20)) % np.uint64(parts) == part)
+                    doc, tie, place, anchor, text = doc[some], tie[some], place[some], anchor[some], _laid_out(text, starts[some], sizes[some])
+                    sizes = sizes[some]
+                columns.append([doc, tie, place, sizes, anchor, text])
+            doc, tie, place, sizes, anchor, text = (np.concatenate(c) for c in zip(*columns))
+            columns.clear()
+            if not len(doc):
                 continue
-            doc, tie, place = (np.concatenate(x) for x in zip(*columns))
-            piece, start, end = repeated_in(pieces, doc, length)
-            if len(piece):
-                place = place[piece].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[piece]), pa.array(tie[piece]),
+            run, start, end = repeated_in(np.append(text, np.zeros(16, np.uint8)), np.cumsum(sizes) - sizes, sizes, anchor.astype(np.int64), doc, length)
+            if len(run):
+                place = place[run].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[run]), pa.array(tie[run]),
                                                   pa.array(place + start), pa.array(place + end)], names)
 
     return (rows.mapInArrow(runs, "shard bigint, runs binary").repartition("shard").sortWithinPartitions("shard")

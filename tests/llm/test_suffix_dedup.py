@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +105,58 @@ def test_length_beyond_the_sorted_bytes_is_an_error_not_a_short_result(spark):
         with pytest.raises(ValueError):
             S.cut_repeats(df, length=length)
     assert [r.cut_text for r in S.cut_repeats(df, length=56).orderBy("doc_id").collect()] == ["a" * 300, ""]
+
+
+def batch_of(texts):
+    n = np.arange(len(texts))
+    return pa.RecordBatch.from_arrays([pa.array(n), pa.array(n), pa.array(texts, pa.binary())], ["id", "tie", "text"])
+
+
+def test_runs_of_many_batches_share_a_pack():
+    # one pack a shard, not one for each batch and shard
+    rng = random.Random(2)
+    batches = [batch_of([bytes(rng.choice(b"abcdefgh") for _ in range(400))]) for _ in range(30)]
+    every = np.full(S.SEGMENTS * S.LEAST_BITS // 8, 255, np.uint8)
+    sent = [s for b in S.shard_runs(iter(batches), every, 3) for s in b.column("shard").to_pylist()]
+    assert sorted(sent) == [0, 1, 2]
+
+
+def laid(texts):
+    """Runs of one window or more around the gram in the middle, as a shard has them."""
+    sizes = np.array([len(t) for t in texts])
+    return np.frombuffer(b"".join(texts) + bytes(16), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def test_only_what_may_meet_is_sorted(monkeypatch):
+    rng = random.Random(5)
+    word = lambda n: bytes(rng.choice(range(97, 123)) for _ in range(n))
+    gram = word(16)
+    left, right = word(30), word(30)
+    alone, copy = word(30) + gram + word(30), word(30) + gram + word(30)
+    texts = [left + gram + b"same" + b"x" * 26, left + gram + b"same" + b"y" * 26, word(30) + gram + right, word(30) + gram + right, alone, copy, copy]
+    docs, anchor = np.array([4, 2, 9, 9, 1, 5, 6]), np.full(7, 30)
+    seen, real = [], S._sorted_repeats
+    monkeypatch.setattr(S, "_sorted_repeats", lambda text, start, size, *a: seen.append(len(start)) or real(text, start, size, *a))
+    run, start, end = S.repeated_in(*laid(texts), anchor, docs)
+    assert seen == [2]                                 # one document's and lone ones are not, nor is a copy
+    assert sorted(zip(run.tolist(), start.tolist(), end.tolist())) == [(0, 0, 50), (6, 0, 76)]
+
+
+def test_texts_of_one_hash_that_differ_stay_apart(monkeypatch):
+    rng = random.Random(6)
+    texts = [bytes(rng.choice(b"ab") for _ in range(60)) for _ in range(20)]
+    texts += texts[:5]
+    monkeypatch.setattr(S, "_mixed", lambda words: np.zeros(len(next(words)), np.uint64))
+    text_of, some = S._merge_equal(*laid(texts), S.LENGTH)
+    assert len(some) == 20 and all(texts[i] == texts[some[c]] for i, c in enumerate(text_of))
+
+
+def test_the_screen_grows_with_shared_anchors(spark, monkeypatch):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abcdefghijklmnop") for _ in range(4000)) for _ in range(20)]
+    rows = spark.createDataFrame([(bytearray(t, "ascii"),) for t in texts * 2], "text binary")
+    monkeypatch.setattr(S, "LEAST_BITS", 64)
+    bits = np.frombuffer(S._screen(rows, 50), np.uint8)
+    assert len(bits) > S.SEGMENTS * 8 and np.unpackbits(bits).mean() < 0.2
+    data, offsets = S._texts(pa.array([t.encode() for t in texts], pa.binary()))
+    assert all(S._in_screen(bits, h).all() for _, _, _, h, _ in S.anchored_runs(data, offsets))
